@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import in_groups
+from periodica.llm.common import components, in_groups
 
 
 def in_blocks(rows: DataFrame, group: str, spread: str, rows_in_block: int, function: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str, volume: str | None = None, volume_in_block: int = 0) -> DataFrame:
@@ -43,3 +43,13 @@ def smallest_linked(linked: np.ndarray) -> np.ndarray:
             label[new] = start
             front = new
     return label
+
+
+def settled(links: DataFrame) -> DataFrame:
+    """(key, component, links) from rows (key, root, links, whole) of pairs of blocks; groups of one block need no more than their root."""
+    whole = links.where("whole").select("key", F.col("root").alias("component"), "links")
+    split = links.where("not whole")
+    if not split.take(1):
+        return whole
+    joined = components(split.where(F.col("key") != F.col("root")), "key", "root").withColumnRenamed("id", "key")
+    return whole.union(split.groupBy("key").agg(F.sum("links").alias("links")).join(joined, "key", "left").select("key", F.coalesce("component", "key"), "links"))

@@ -55,7 +55,7 @@ def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Itera
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for frame in function(b.to_pandas(integer_object_nulls=True) for b in batches):
             if len(frame):
-                yield pa.RecordBatch.from_pandas(frame, schema=kind, preserve_index=False)
+                yield from pa.Table.from_pandas(frame, schema=kind, preserve_index=False).to_batches()
 
     return df.mapInArrow(run, schema)
 

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.blocks import in_blocks, smallest_linked
+from periodica.llm.blocks import in_blocks, settled, smallest_linked
 from periodica.llm.common import components, encoded, map_frames, shingles, stored
 
 TREES, DEPTH, FLOOR = 16, 8, 4
@@ -216,11 +216,7 @@ def near_duplicates(docs: DataFrame, row: str = "doc_id", width: int = 5, simila
     found = texts.join(wanted.withColumnRenamed("row", "wanted"), texts["row"].eqNullSafe(F.col("wanted")))
     members = map_frames(found.select("candidates", "key", "copies", "size", "text"), sets, "candidates binary, key binary, copies long, size long, set binary")
     links = stored(verified(members, similarity), "ngram-links")
-    split = links.where("not whole and key != root")
-    whole = links.where("whole").select("key", F.col("root").alias("component"))
-    parts = whole.union(components(split, "key", "root").select(F.col("id").alias("key"), "component")) if split.take(1) else whole
-    counted = links.groupBy("key").agg(F.sum("links").alias("links"))
-    grouped = classes.drop("sig", "size").join(parts, "key", "left").join(counted, "key", "left").withColumn("component", F.coalesce("component", "key"))
+    grouped = classes.drop("sig", "size").join(settled(links), "key", "left").withColumn("component", F.coalesce("component", "key"))
     totals = grouped.groupBy("component").agg(F.min("row").alias("class_id"), F.sum("copies").alias("class_size"))
     classed = grouped.join(totals, "component").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return each.join(classed, "key", "left").select("row", own("class_id", F.col("row")), own("n_links", F.lit(0)), own("class_size", F.lit(1))).withColumnRenamed("row", row)
