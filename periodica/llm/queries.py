@@ -7,7 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, embedding_dedup, mixing, ngram_join, packing, secrets
+from periodica.llm import ann, embedding_dedup, mixing, ngram_join, packing, secrets, toxicity
+
+#: Documents of at least this score count as toxic.
+TOXIC_FROM = 0.3
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +41,11 @@ def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"), "neighbours", "terms")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken", "source")
@@ -52,6 +60,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op3_secret_scan": op3_secret_scan,
     "op4_embedding_dedup": op4_embedding_dedup,
+    "op5_toxicity": op5_toxicity,
     "op6_mixing": op6_mixing,
     "op9_ngram_join": op9_ngram_join,
 }
