@@ -128,18 +128,20 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     random. Runs that overlap a base span are not tested.
 
     Null text is empty; empty text has no spans. Null and repeated doc_ids keep a row each; extra columns are ignored.
-    Returns doc_id, n_assign, n_access, n_hex, n_random, base (array of kind, start, end), found (the same with random).
+    Returns doc_id, text_hash (xxhash64 of the text), n_assign, n_access, n_hex, n_random, base (array of kind, start, end), found (the same with random).
     """
     text = F.coalesce("text", F.lit(""))
     one = docs.select("doc_id", text.alias("text"))
-    one = one.select("doc_id", "text", located(F.col("text"), PATTERNS["assign"], 2).alias("assign"), located(F.col("text"), PATTERNS["access"]).alias("access"), located(F.col("text"), PATTERNS["hex"]).alias("hex"), located(F.col("text"), CANDIDATE).alias("maybe"))
-    base = F.concat(*[F.transform(F.filter(k, (lambda x: x["size"] >= ASSIGN_LENGTH) if k == "assign" else (lambda x: F.lit(True))), lambda x, i=i: F.struct(x["start"].alias("start"), F.lit(i).alias("order"), x["end"].alias("end"))) for i, k in enumerate(PATTERNS)])
+    one = one.select("doc_id", "text", F.xxhash64("text").alias("text_hash"), located(F.col("text"), PATTERNS["assign"], 2).alias("assign"), located(F.col("text"), PATTERNS["access"]).alias("access"), located(F.col("text"), PATTERNS["hex"]).alias("hex"), located(F.col("text"), CANDIDATE).alias("maybe"))
+    long_enough = {"assign": lambda x: x["size"] >= ASSIGN_LENGTH}
+    ordered = lambda i: lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("order"), x["end"].alias("end"))
+    base = F.concat(*[F.transform(F.filter(k, long_enough.get(k, lambda x: F.lit(True))), ordered(i)) for i, k in enumerate(PATTERNS)])
     one = one.withColumn("base", F.array_sort(base))
     token = lambda x: F.substring(F.col("text"), x["start"] + 1, x["end"] - x["start"])
     mixed = lambda t: (t.rlike("[a-z]").cast("int") + t.rlike("[A-Z]").cast("int") + t.rlike("[0-9]").cast("int")) >= 2
     free = F.filter("maybe", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     free = F.filter(F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), token(x).alias("token"))), lambda x: mixed(x["token"]))
-    kept = stored(one.select("doc_id", "base", free.alias("free")), "secret-spans")
+    kept = stored(one.select("doc_id", "text_hash", "base", free.alias("free")), "secret-spans")
     tested = randomness(kept.select(F.explode("free.token").alias("token")).groupBy("token").count()).withColumn("weight", F.col("count"))
     limits = {(r[0], r[1]): r[2] for r in thresholds(tested, level).collect()}  # at most 25 rows
     tested = tested.withColumn("step", F.least(F.lit(2000), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 50)).cast("int")).withColumn("class", length_class(F.col("n")))
@@ -155,9 +157,23 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     named = lambda spans: F.transform(spans, lambda x: F.struct(kinds[x["order"]].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
     count = lambda i: F.size(F.filter("base", lambda x: x["order"] == i)).cast("long")
     everything = F.array_sort(F.concat("base", F.coalesce("random", F.expr("slice(base, 1, 0)"))))
-    return out.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"), named(F.col("base")).alias("base"), named(everything).alias("found"))
+    return out.select("doc_id", "text_hash", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.coalesce(F.size("random"), F.lit(0)).cast("long").alias("n_random"), named(F.col("base")).alias("base"), named(everything).alias("found"))
 
 
 def written(spans: Column) -> Column:
     """kind:start:end, comma-joined."""
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def redact(docs: DataFrame, mark: str = "[SECRET]", level: float = 0.05) -> DataFrame:
+    """docs with every found span in text replaced by mark (overlapping spans by one); null texts, and all else, stay as they are."""
+    found = scan(docs, level).where(F.size("found") > 0).dropDuplicates(["doc_id", "text_hash"]).select(F.col("doc_id").alias("found_id"), "text_hash", F.col("found").alias("secrets_found"))
+    joined = docs.join(found, docs["doc_id"].eqNullSafe(F.col("found_id")) & (F.xxhash64(docs["text"]) == F.col("text_hash")), "left")
+
+    def step(state: Column, x: Column) -> Column:
+        gap = F.when(x["start"] >= state["at"], F.concat(F.substring(docs["text"], state["at"] + 1, x["start"] - state["at"]), F.lit(mark))).otherwise("")
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), F.concat(state["out"], gap).alias("out"))
+
+    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    clean = F.aggregate("secrets_found", begin, step, lambda s: F.concat(s["out"], F.substring(docs["text"], s["at"] + 1, F.length(docs["text"]))))
+    return joined.select(*[F.when(F.col("secrets_found").isNull(), docs["text"]).otherwise(clean).alias("text") if c == "text" else docs[c] for c in docs.columns])
