@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
@@ -99,7 +100,7 @@ def hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int)
     return int(np.clip(round(random.normal(n * p, spread)), max(0, n - bad), min(good, n)))
 
 
-def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit: int = 3, block_words: int = 65_536, shard_blocks: int = 1024, seed: int = 7) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit: int = 3, block_words: int = 65_536, shard_blocks: int = 1024, seed: int = 7, carry: str = "") -> DataFrame:
     """Mix all documents (doc_id, text, source) so that each source's words come to its target.
 
     A document's size is its number of words (runs of other characters than blanks). Sources in order of code points,
@@ -115,9 +116,11 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit:
     Null or blank text has size 0 and is taken 0 words of; null or repeated doc_ids are mixed like others; equal rows
     may swap. Extra columns are ignored. An empty table gives no rows. Reruns give the same.
 
-    Returns per document: doc_id, source, size, source_size, target, taken, pieces (copy, shard, slot, start, length).
+    Returns per document: doc_id, source, size, source_size, target, taken, pieces (copy, shard, slot, start, length),
+    and the columns that carry names (DDL) as they are.
     """
-    sized = docs.select("doc_id", "source", F.xxhash64("doc_id", "text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANKS)).cast("long").alias("size"))
+    carried = [c.split()[0] for c in carry.split(",") if c]
+    sized = docs.select("doc_id", "source", *carried, F.xxhash64("doc_id", "text").alias("h"), F.regexp_count(F.coalesce("text", F.lit("")), F.lit(BLANKS)).cast("long").alias("size"))
     sized = sized.withColumn("bucket", F.pmod("h", F.lit(BUCKETS)))
     sums = sized.groupBy("source", "bucket").agg(F.sum("size").alias("n"))
     before = lambda *by: Window.partitionBy("source", *by[:-1]).orderBy(*by[-1]).rowsBetween(Window.unboundedPreceding, -1)
@@ -181,9 +184,33 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit:
                 taken.append(sum(p["length"] for p in own))
                 pieces.append(own)
             index = [number[s] for s in batch["source"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "size": batch["size"], "source_size": [sizes[i] for i in index], "target": [aims[i] for i in index], "taken": taken, "pieces": pieces})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "source": batch["source"], "size": batch["size"], "source_size": [sizes[i] for i in index], "target": [aims[i] for i in index], "taken": taken, "pieces": pieces, **{c: batch[c] for c in carried}})
 
     within = Window.partitionBy("source", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.join(base, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b")))
-    placed = placed.select("doc_id", "source", "size", (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("at"))
-    return map_frames(placed, run, "doc_id long, source string, size long, source_size long, target double, taken long, pieces array<struct<copy int, shard long, slot long, start long, length long>>")
+    placed = placed.select("doc_id", "source", "size", *carried, (F.col("base") + F.coalesce(F.sum("size").over(within), F.lit(0))).alias("at"))
+    return map_frames(placed, run, "doc_id long, source string, size long, source_size long, target double, taken long, pieces array<struct<copy int, shard long, slot long, start long, length long>>" + (f", {carry}" if carry else ""))
+
+
+def drawn(docs: DataFrame, **how: object) -> DataFrame:
+    """The mix itself: docs (doc_id, text, source, lang, n_chars), a row for each run of words of a document that one copy takes, with these words as text; a text taken whole stays as it is."""
+    word = re.compile(BLANKS)
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                runs: list[list[int]] = []
+                for p in sorted(r.pieces, key=lambda p: (p["copy"], p["start"])):
+                    if runs and runs[-1][0] == p["copy"] and runs[-1][2] == p["start"]:
+                        runs[-1][2] += p["length"]
+                    else:
+                        runs.append([p["copy"], p["start"], p["start"] + p["length"]])
+                spans = [m.span() for m in word.finditer(r.text)] if any(b - a < r.size for _, a, b in runs) else []
+                for _, a, b in runs:
+                    text = r.text if b - a == r.size else r.text[spans[a][0] : spans[b - 1][1]]
+                    out.append((r.doc_id, text, r.lang, r.source, len(text)))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"])
+
+    mixed = mix(docs, carry="text string, lang string", **how)
+    return map_frames(mixed.where("taken > 0").select("doc_id", "text", "lang", "source", "size", "pieces"), cut, "doc_id long, text string, lang string, source string, n_chars long")

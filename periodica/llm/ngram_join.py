@@ -54,7 +54,7 @@ def hash_functions(seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signed(docs: DataFrame, row: str, width: int, seed: int) -> DataFrame:
-    """(row, key, size, sig) of each document; key tells sets of shingles apart, sig is null without shingles."""
+    """(at, row, text_hash, key, size, sig) of each document, where at numbers them; key tells sets of shingles apart, sig is null without shingles."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         a, b = hash_functions(seed)
@@ -67,9 +67,9 @@ def signed(docs: DataFrame, row: str, width: int, seed: int) -> DataFrame:
                 keys.append(key)
                 sizes.append(len(values))
                 sigs.append(done[key])
-            yield pd.DataFrame({"row": batch["row"], "key": keys, "size": sizes, "sig": sigs})
+            yield pd.DataFrame({"at": batch["at"], "row": batch["row"], "text_hash": batch["text_hash"], "key": keys, "size": sizes, "sig": sigs})
 
-    return map_frames(docs.select(F.col(row).alias("row"), "text"), run, "row long, key binary, size long, sig binary")
+    return map_frames(docs.select(F.monotonically_increasing_id().alias("at"), F.col(row).alias("row"), F.xxhash64("text").alias("text_hash"), "text"), run, "at long, row long, text_hash long, key binary, size long, sig binary")
 
 
 def tries(classes: DataFrame) -> DataFrame:
@@ -192,18 +192,19 @@ def near_duplicates(docs: DataFrame, row: str = "doc_id", width: int = 5, simila
     included, without any pair being written.
 
     Returns one row per document: row, class_id (smallest row of all that links lead to; its own without links; null if
-    that is null), n_links (other documents linked directly), class_size. Repeated rows count as documents
+    that is null), n_links (other documents linked directly), class_size, kept (true for one row of each group, of the smallest
+    row, and for all rows outside groups), text_hash, size (distinct n-grams). Repeated rows count as documents
     of their own; extra columns are ignored; an empty table gives no rows.
     """
     each = stored(signed(docs, row, width, seed), "ngram-signatures")
-    classes = each.where("sig is not null").groupBy("key").agg(F.min("row").alias("row"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"))
+    classes = each.where("sig is not null").groupBy("key").agg(F.min("row").alias("row"), F.min(F.struct(F.isnull("row"), "row", "at")).alias("head"), F.count("*").alias("copies"), F.max("size").alias("size"), F.first("sig").alias("sig"))
     classes = stored(classes, "ngram-classes")
     edges = stored(tries(classes), "ngram-tries")
     added = {(r[0], r[1]): r[2] for r in edges.groupBy("tree", "depth").count().collect()}  # at most TREES x DEPTH rows
     chosen = depths(added, similarity, recall)
     near = edges.where(F.col("depth") >= F.element_at(F.array(*[F.lit(d) for d in chosen]), F.col("tree") + 1))
     candidates = components(near.select("a", "b").distinct())
-    wanted = candidates.select(F.col("id").alias("key"), F.col("component").alias("candidates")).join(classes.drop("sig"), "key")
+    wanted = candidates.select(F.col("id").alias("key"), F.col("component").alias("candidates")).join(classes.drop("sig", "head"), "key")
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -217,11 +218,29 @@ def near_duplicates(docs: DataFrame, row: str = "doc_id", width: int = 5, simila
     members = map_frames(found.select("candidates", "key", "copies", "size", "text"), sets, "candidates binary, key binary, copies long, size long, set binary")
     links = stored(verified(members, similarity), "ngram-links")
     grouped = classes.drop("sig", "size").join(settled(links), "key", "left").withColumn("component", F.coalesce("component", "key"))
-    totals = grouped.groupBy("component").agg(F.min("row").alias("class_id"), F.sum("copies").alias("class_size"))
-    classed = grouped.join(totals, "component").select("key", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return each.join(classed, "key", "left").select("row", own("class_id", F.col("row")), own("n_links", F.lit(0)), own("class_size", F.lit(1))).withColumnRenamed("row", row)
+    totals = grouped.groupBy("component").agg(F.min("row").alias("class_id"), F.min("head").alias("head"), F.sum("copies").alias("class_size"))
+    classed = grouped.drop("head").join(totals, "component").select("key", "head", "class_id", "class_size", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return each.join(classed, "key", "left").select("row", own("class_id", F.col("row")), own("n_links", F.lit(0)), own("class_size", F.lit(1)), ((F.col("size") == 0) | (F.col("at") == F.col("head.at"))).alias("kept"), "text_hash", "size").withColumnRenamed("row", row)
 
 
 def own(name: str, otherwise: Column) -> Column:
     """The class's value, or otherwise for a document without n-grams."""
     return F.when(F.col("size") > 0, F.col(name)).otherwise(otherwise).cast("long").alias(name)
+
+
+def one_of_each(docs: DataFrame) -> DataFrame:
+    """The documents (doc_id, text and more) of which near_duplicates keeps one of each group; all columns stay."""
+    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "size")
+    kept = stored(kept.groupBy("kept_id", "kept_hash").agg(F.max("size").alias("size")), "ngram-kept")
+    same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_hash"))
+    left = docs.join(kept, same, "left_semi")
+    repeated = docs.groupBy("doc_id", F.xxhash64("text").alias("text_hash")).count().where("count > 1").drop("count")
+    if not repeated.take(1):
+        return left
+    # rows equal in doc_id and text: one of them stays, unless they have no n-grams
+    again = F.broadcast(repeated) if repeated.limit(10_001).count() <= 10_000 else repeated
+    of = lambda other: left["doc_id"].eqNullSafe(other["doc_id"]) & (F.xxhash64(left["text"]) == other["text_hash"])
+    twice = left.join(again, of(again), "left_semi")
+    bare = twice.where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    worded = twice.where(F.coalesce("text", F.lit("")).rlike(r"[^\x20\x09-\x0D]")).dropDuplicates(["doc_id", "text"])
+    return left.join(again, of(again), "left_anti").unionByName(bare).unionByName(worded)

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from periodica.llm.common import map_frames
 
 #: Characters of the property White_Space, and the sign that opens a word.
-BLANKS = re.compile("[\t-\r \x85\xa0  -     　]+")
+BLANKS = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 WORD_BEGIN = "▁"
 #: Fixed value: an unknown character scores so much below the least piece.
 UNKNOWN_PENALTY = 10.0

@@ -181,7 +181,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, l
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 6000, least_gain: float = 10.0, neighbours: int = 32, per_block: int = 64) -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 6000, least_gain: float = 10.0, neighbours: int = 32, per_block: int = 64, carry: str = "") -> DataFrame:
     """Probability that each document (doc_id, text) would be marked in labels (doc_id, toxic).
 
     Labelled examples are a bounded sample: at most max_examples labelled documents whose crc32 of doc_id modulo 4 is not
@@ -195,9 +195,11 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_te
     Labels other than 0 and 1 are ignored, of contradicting ones the largest counts. Repeated doc_ids keep a row each, and the
     first found text of them is the example. Extra columns are ignored; an empty table gives no rows.
 
-    Returns doc_id, held_out, score, neighbours (ids of the nearest examples), terms (up to 8 that weigh most).
+    Returns doc_id, held_out, score, neighbours (ids of the nearest examples), terms (up to 8 that weigh most), and the
+    columns that carry names (DDL) as they are.
     """
     model = fit(docs, labels, max_examples, max_terms, least_gain, neighbours, per_block)
+    names = [c.split()[0] for c in carry.split(",") if c]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -205,8 +207,10 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_te
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
             out = [m.score(vocabulary.counts(t)) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": [[m.terms[i] for i in t[:8].tolist()] for _, _, t in out]})
+            kept = {c: batch[c] for c in names}
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": [[m.terms[i] for i in t[:8].tolist()] for _, _, t in out], **kept})
 
-    scored = map_frames(docs.select("doc_id", "text"), run, "doc_id long, score double, neighbours array<long>, terms array<string>")
+    columns = ["doc_id", *dict.fromkeys(["text", *names])]
+    scored = map_frames(docs.select(columns), run, "doc_id long, score double, neighbours array<long>, terms array<string>" + (f", {carry}" if carry else ""))
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
-    return scored.select("doc_id", held_out.alias("held_out"), "score", "neighbours", "terms")
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "neighbours", "terms", *names)
