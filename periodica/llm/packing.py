@@ -17,35 +17,69 @@ from pyspark.sql import functions as F
 from periodica.llm.common import map_frames, stored
 
 CACHE_WORDS = 600_000
+TEXTS_AT_ONCE = 512
 #: Beyond so many sources, sources share queues by hash.
 MAX_QUEUES = 4096
 #: Characters that str.split takes for blanks and the tokenizer does not, and the start of special tokens.
 UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
 
 
+#: Words of which lower case and parts are the same by character as in the tokenizer: no apostrophes, which begin contractions.
+SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+WORD_END = "</w>"
+JOINED_PARTS = 20_000
+
+
 class WordIds(dict):
-    """Ids of a word between blanks, as little-endian 16-bit numbers; asks the tokenizer once per word."""
+    """Ids of a word between blanks, as little-endian 16-bit numbers.
+
+    The tokenizer cuts words into parts (letters, single digits, other signs) whose ids do not depend on their
+    neighbours; new parts are handed to it many at a time, and told apart by the ids that end a part.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        if self.tokenizer.get_vocab_size() > 1 << 16:
+        vocabulary = self.tokenizer.get_vocab()
+        if max(vocabulary.values()) >= 1 << 16:
             raise ValueError("ids must fit in 16 bits")
+        self.ends = np.zeros(1 << 16, bool)
+        self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
+        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
         self[word] = ids = self.whole(word)
         return ids
 
-    def text(self, text: str) -> bytes:
-        if UNUSUAL.search(text):
-            return self.whole(text)
-        return b"".join(map(self.__getitem__, text.split()))
+    def learn(self, words: set[str]) -> None:
+        """Take in the words that are not known yet."""
+        if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
+            self.clear()
+            self.parts.clear()
+        cut = {w: (w.lower(),) if w.isascii() and w.isalpha() else PARTS.findall(w.lower()) for w in words if w not in self and ((w.isascii() and w.isalpha()) or SIMPLE.fullmatch(w))}
+        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
+        for low in range(0, len(new), JOINED_PARTS):
+            some = new[low : low + JOINED_PARTS]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
+            last = np.flatnonzero(self.ends[ids]) + 1
+            if len(last) == len(some) and last[-1] == len(ids):
+                coded, bounds = ids.tobytes(), [0, *(2 * last).tolist()]
+                self.parts.update((p, coded[a:b]) for p, a, b in zip(some, bounds, bounds[1:]))
+            else:
+                self.parts.update((p, self.whole(p)) for p in some)
+        for word, parts in cut.items():
+            self[word] = b"".join([self.parts[p] for p in parts])
+
+    def texts(self, texts: list[str]) -> list[bytes]:
+        odd = [bool(UNUSUAL.search(t)) for t in texts]
+        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
+        self.learn(set().union(*split))
+        return [self.whole(t) if o else b"".join(map(self.__getitem__, words)) for t, o, words in zip(texts, odd, split, strict=True)]
 
 
 @lru_cache(maxsize=2)
@@ -60,7 +94,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
         ids, end = word_ids(tokenizer_path), np.array([end_id], "<u2").tobytes()
         task, begun = TaskContext.get().partitionId(), {}
         for batch in batches:
-            coded = [(ids.text(t) if isinstance(t, str) else b"") + end for t in batch["text"]]
+            coded = [c + end for low in range(0, len(batch), TEXTS_AT_ONCE) for c in ids.texts([t if isinstance(t, str) else "" for t in batch["text"].iloc[low : low + TEXTS_AT_ONCE]])]
             sizes = [len(c) // 2 for c in coded]
             starts = []
             for source, size in zip(batch["source_key"], sizes, strict=True):

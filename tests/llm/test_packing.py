@@ -19,7 +19,7 @@ def test_words_are_cut_like_the_tokenizer():
     path = tokenizer_file("word_bpe_49k.json")
     ids = packing.WordIds(path)
     for text in ["It's  THE\tend of ΣΑΣ é ²³ 12a_b", "a\x1cb <|endoftext|> c", "", "́x y", "İstanbul ﬁn 'S don't", " z　q"]:
-        assert np.frombuffer(ids.text(text), "<u2").tolist() == expected(path, [text])[0][:-1]
+        assert np.frombuffer(ids.texts([text])[0], "<u2").tolist() == expected(path, [text])[0][:-1]
 
 
 def test_round_trip_offsets_and_mixture(odd, odd_rows):
