@@ -111,8 +111,7 @@ def thresholds(tested: DataFrame, level: float) -> DataFrame:
     p is counted in 2,000 steps of its logarithm, so the ranking is over at most 5 x 5 x 2,001 rows whatever the input;
     rounding up to a step can only keep more tokens.
     """
-    step = F.least(F.lit(2000), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 50)).cast("int")
-    counted = tested.groupBy("encoding", length_class(F.col("n")).alias("class"), step.alias("step")).count()
+    counted = tested.groupBy("encoding", "class", "step").count()
     stratum = Window.partitionBy("encoding", "class")
     ranked = counted.withColumn("rank", F.sum("count").over(stratum.orderBy(F.desc("step")))).withColumn("all", F.sum("count").over(stratum))
     met = F.pow(F.lit(10.0), -F.col("step") / 50.0) <= F.lit(level) * F.col("rank") / F.col("all")
@@ -142,9 +141,10 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     free = F.filter("maybe", lambda x: ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"])))
     free = F.filter(F.transform(free, lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), token(x).alias("token"))), lambda x: mixed(x["token"]))
     kept = stored(one.select("doc_id", "text_hash", "base", free.alias("free")), "secret-spans")
-    tested = randomness(kept.select(F.explode("free.token").alias("token")).groupBy("token").count()).withColumn("weight", F.col("count"))
+    step = F.least(F.lit(2000), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 50)).cast("int")
+    tested = randomness(kept.select(F.explode("free.token").alias("token")).distinct()).select("token", "encoding", length_class(F.col("n")).alias("class"), step.alias("step"))
+    tested = stored(tested, "secret-tokens")  # else the filter below would take the whole battery into each of its terms
     limits = {(r[0], r[1]): r[2] for r in thresholds(tested, level).collect()}  # at most 25 rows
-    tested = tested.withColumn("step", F.least(F.lit(2000), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 50)).cast("int")).withColumn("class", length_class(F.col("n")))
     rejected = F.lit(False)
     for (code, size), step in limits.items():
         rejected = rejected | ((F.col("encoding") == code) & (F.col("class") == size) & (F.col("step") >= step))
