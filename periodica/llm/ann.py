@@ -122,7 +122,7 @@ def index(ready: DataFrame, longest: float, shards: int, degree: int, beam: int,
             part = frame.iloc[a:b].sort_values("row")
             graph, start = build_graph(lifted(matrix(part["vector"]), longest), degree, beam, alpha, seed)
             out.append((part["shard"].iloc[0], b - a, start, part["row"].to_numpy().astype("<i8").tobytes(), part["vec_id"].to_numpy().astype("<i8").tobytes(), b"".join(part["vector"]), graph.astype("<i4").tobytes()))
-        return pd.DataFrame(out, columns=["shard", "n", "start", "rows", "ids", "vectors", "graph"])
+        return pd.DataFrame(out, columns=["shard", "n", "start", "rows", "ids", "vectors", "graph"], dtype=object)
 
     dealt = ready.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("int"))
     return in_groups(dealt, ["shard"], build, "shard int, n int, start int, rows binary, ids binary, vectors binary, graph binary")

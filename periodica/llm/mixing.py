@@ -210,7 +210,7 @@ def drawn(docs: DataFrame, **how: object) -> DataFrame:
                 for _, a, b in runs:
                     text = r.text if b - a == r.size else r.text[spans[a][0] : spans[b - 1][1]]
                     out.append((r.doc_id, text, r.lang, r.source, len(text)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"])
+            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"], dtype=object)
 
     mixed = mix(docs, carry="text string, lang string", **how)
     return map_frames(mixed.where("taken > 0").select("doc_id", "text", "lang", "source", "size", "pieces"), cut, "doc_id long, text string, lang string, source string, n_chars long")

@@ -223,7 +223,7 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 4096, end_
                     piece = ids[4 * done : 4 * (done + length)]
                     rows.append((doc, key, done, length, piece, zlib.crc32(piece), n, (p << 24) + w, int(offsets[w, q] + here - column[w])))
                     done += length
-            yield pd.DataFrame(rows, columns=["doc_id", "source_key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
+            yield pd.DataFrame(rows, columns=["doc_id", "source_key", "start", "length", "ids", "ids_crc32", "doc_tokens", "sequence_id", "offset"], dtype=object)
 
     placed = coded.join(base, ["source_key", "task"]).select("doc_id", "source_key", "n", (F.col("begun") + F.col("base")).alias("at"), "queue", "ids")
     return map_frames(placed, run, "doc_id long, source_key string, start long, length long, ids binary, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -14,26 +14,15 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import encoded, in_groups, map_frames, mix64, powers, stored
+from periodica.llm.common import in_groups, map_frames, mix64, powers, stored
 from periodica.llm.deep_shallow import sort
+from periodica.llm.shared_hashes import packed_texts, shared_places, sliding
 
 GRAM = 20
-ANCHORS_IN_RANGE = 4_000_000
-LEAST_RANGES = 16
-BATCH_BYTES = 8 << 20
 #: Ids that stand in for missing ones, and sort after all others.
 LAST = (1 << 63) - 1
 
 
-def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
-    """pick over all runs of width values, by doubling."""
-    step = 1
-    while step * 2 <= width:
-        values = pick(values[:-step], values[step:])
-        step *= 2
-    return pick(values[: len(values) - (width - step)], values[width - step :]) if width > step else values
-
-
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, place) of every run of GRAM bytes whose hash is the least in some run of length bytes: equal runs of length bytes have equal anchors, wherever they stand."""
     window = length - GRAM + 1
@@ -54,81 +43,6 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return hashes[at], text, at - begins[text]
 
 
-def text_batches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, list[bytes]]]:
-    for batch in batches:
-        texts = encoded(batch["text"])
-        low = 0
-        while low < len(texts):
-            high, size = low, 0
-            while high < len(texts) and (high == low or size + len(texts[high]) <= BATCH_BYTES):
-                size += len(texts[high])
-                high += 1
-            yield batch.iloc[low:high], texts[low:high]
-            low = high
-
-
-def several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
-    """Whether the key of each place has more than one owner; places must be sorted by key."""
-    if not len(keys):
-        return np.zeros(0, bool)
-    new = np.concatenate([[True], keys[1:] != keys[:-1]])
-    group = np.cumsum(new) - 1
-    first = owners[np.flatnonzero(new)][group]
-    return np.bincount(group, owners != first)[group] > 0
-
-
-def shared_anchors(docs: DataFrame, length: int, ranges: int) -> DataFrame:
-    """(doc, places): anchors whose hash stands in at least two documents.
-
-    Hashes shared within a batch are settled there and only one of each travels on, so a passage of very many documents
-    sends at most one row per batch. Rows carry the anchors of a batch in one range of hashes as packed arrays.
-    """
-
-    def scatter(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch, texts in text_batches(batches):
-            hashes, text, place = anchors(texts, length)
-            owner = batch["doc"].to_numpy().astype(np.int64)[text]
-            order = np.argsort(hashes, kind="stable")
-            hashes, owner, place = hashes[order], owner[order], place[order]
-            settled = several(hashes, owner)
-            first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
-            part = (hashes % np.uint64(ranges)).astype(np.int64)
-            travels = ~settled | first
-            rows = []
-            for direct, chosen in ((False, travels), (True, settled)):
-                by = np.flatnonzero(chosen)
-                by = by[np.lexsort((place[by], owner[by], part[by]))]
-                bounds = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1], [True]])) if len(by) else []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = by[a:b]
-                    docs_, counts = np.unique(owner[own], return_counts=True)
-                    rows.append((int(part[own[0]]), direct, docs_.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.diff(place[own], prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), b"" if direct else (hashes[own] // np.uint64(ranges)).astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "direct", "docs", "counts", "steps", "hashes"])
-
-    def gather(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
-        out = []
-        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
-            rows = frame.iloc[a:b]
-            owner = np.repeat(np.frombuffer(b"".join(rows["docs"]), "<i8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
-            place = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(s, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)) for s in rows["steps"]])
-            sizes = [len(s) // 4 for s in rows["steps"]]
-            direct = np.repeat(rows["direct"].to_numpy().astype(bool), sizes)
-            hashes = np.frombuffer(b"".join(rows["hashes"]), "<u4")
-            keep = direct.copy()
-            open_ = np.flatnonzero(~direct)
-            order = np.argsort(hashes, kind="stable")
-            keep[open_[order]] = several(hashes[order], owner[open_[order]])
-            owner, place = owner[keep], place[keep]
-            order = np.lexsort((place, owner))
-            owner, place = owner[order], place[order]
-            docs_, first = np.unique(owner, return_index=True)
-            out.append(pd.DataFrame({"doc": docs_, "places": np.split(place.astype(np.int32), first[1:])}) if len(docs_) else pd.DataFrame({"doc": [], "places": []}))
-        return pd.concat(out)
-
-    found = map_frames(docs.select("doc", "text"), scatter, "part long, direct boolean, docs binary, counts binary, steps binary, hashes binary")
-    return in_groups(found, ["part"], gather, "doc long, places array<int>")
-
-
 def slices(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right); left is reversed, both reach as far as a passage can."""
 
@@ -141,7 +55,7 @@ def slices(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                 for p in np.unique(np.concatenate(list(places))).tolist():
                     if p + GRAM <= len(text):
                         rows.append((rank, text_hash, p, text[max(0, p - length + GRAM) : p][::-1], text[p : p + length]))
-            yield pd.DataFrame(rows, columns=["rank", "text_hash", "place", "left", "right"])
+            yield pd.DataFrame(rows, columns=["rank", "text_hash", "place", "left", "right"], dtype=object)
 
     gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places"))
     packed = packed_texts(docs).join(gathered, "doc").select("rank", "text_hash", "packed", "places")
@@ -150,17 +64,6 @@ def slices(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
     return rows.select(gram.alias("gram"), F.xxhash64("left", "right", F.lit(length)).alias("slice"), "rank", "text_hash", "place", "left", "right")
 
 
-def packed_texts(docs: DataFrame) -> DataFrame:
-    """Texts compressed for a shuffle."""
-
-    def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
-        for batch in batches:
-            yield batch.drop(columns="text").assign(packed=[press.compress(t) for t in encoded(batch["text"])])
-
-    return map_frames(docs.select("doc", "doc_id", "rank", "text_hash", "text"), pack, "doc long, doc_id long, rank long, text_hash long, packed binary")
-
-
 def matrix(parts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
     """Byte strings as rows filled up with zeros, and their lengths."""
     return np.frombuffer(b"".join(p.ljust(width, b"\0") for p in parts), np.uint8).reshape(-1, width), np.array([len(p) for p in parts])
@@ -227,8 +130,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
     named = docs.select("doc_id", "text", text_hash.alias("text_hash"), F.coalesce("doc_id", text_hash).alias("doc"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(LEAST_RANGES, int(size * 2 / (length - GRAM + 2)) // ANCHORS_IN_RANGE)
-    shared = shared_anchors(named, length, ranges)
+    shared = shared_places(named, lambda texts: anchors(texts, length), int(size * 2 / (length - GRAM + 2)))
     around = stored(slices(named, shared, length), "suffix-slices")
     distinct = around.groupBy("gram", "slice").agg(F.min("rank").alias("rank"), F.first("left").alias("left"), F.first("right").alias("right"))
     judged = verdicts(distinct, length).where(F.size("runs") > 0)
@@ -252,7 +154,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                     kept.append(text[done : s["start"]])
                     done = s["end"]
                 out.append((doc_id, len(text), merged, b"".join([*kept, text[done:]])))
-            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"])
+            yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object)
 
     texts = packed_texts(named).join(removed, ["rank", "text_hash"], "left")
     return map_frames(texts.select("doc_id", "packed", "spans"), keep, "doc_id long, n_bytes long, spans array<struct<start int, end int>>, kept binary")

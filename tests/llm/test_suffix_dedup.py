@@ -2,7 +2,7 @@ import hashlib
 import random
 from collections import defaultdict
 
-from periodica.llm import suffix_dedup
+from periodica.llm import shared_hashes
 from periodica.llm.queries import op10_suffix_dedup
 
 
@@ -35,7 +35,7 @@ def test_odd_rows(spark, odd, odd_rows, none, tmp_path):
 
 
 def test_passages_at_all_offsets(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(suffix_dedup, "BATCH_BYTES", 3000)
+    monkeypatch.setattr(shared_hashes, "BATCH_BYTES", 3000)
     random.seed(8)
     make = lambda n, letters="abcdefgh ": "".join(random.choice(letters) for _ in range(n))
     passage = make(300)
