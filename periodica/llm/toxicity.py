@@ -24,21 +24,26 @@ def terms_of(word: str) -> list[str]:
     return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-class Vocabulary:
-    """Numbers of the terms of a text."""
+class Vocabulary(dict):
+    """Numbers of the terms of a text; a dictionary of the words met."""
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.begins = [(k, {t[:-1]: i for t, i in self.number.items() if t[-1] == "*" and len(t) == k + 1}) for k in PREFIXES]
+
+    def __missing__(self, word: str) -> tuple[int, ...]:
+        own = (self.number[word],) if word in self.number else ()
+        for k, numbers in self.begins:
+            if len(word) > k and word[:k] in numbers:
+                own += (numbers[word[:k]],)
+        self[word] = own
+        return own
 
     def counts(self, text: str | None) -> Counter:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
+        if len(self) > CACHE_WORDS:
+            self.clear()
         out: Counter = Counter()
-        for word in WORD.findall((text or "").lower()):
-            own = self.known.get(word)
-            if own is None:
-                own = self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        for own in filter(None, map(self.__getitem__, WORD.findall((text or "").lower()))):
             for i in own:
                 out[i] += 1
         return out
@@ -66,27 +71,39 @@ class BlockIndex:
         top = np.zeros(terms * blocks)
         np.maximum.at(top, cell, weight)
         begin = np.searchsorted(cell[order], np.arange(terms * blocks + 1))
-        return cls(len(vectors), per_block, top.reshape(terms, blocks), begin, example[order].astype(np.int32), weight[order])
+        bounds = np.nextafter(top.reshape(terms, blocks).astype(np.float32), np.float32(2))  # never below
+        return cls(len(vectors), per_block, bounds, begin.astype(np.int32), example[order].astype(np.int32), weight[order])
 
-    def scored(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray, into: np.ndarray) -> None:
-        cells = (ids[:, None] * self.top.shape[1] + blocks[None, :]).reshape(-1)
-        low, count = self.begin[cells], self.begin[cells + 1] - self.begin[cells]
+    def scored(self, weights: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
+        """Sums over runs of postings, one weight for each run."""
         ends = np.cumsum(count)
         at = np.arange(ends[-1]) + np.repeat(low - (ends - count), count)
-        np.add.at(into, self.example[at], np.repeat(np.repeat(weights, len(blocks)), count) * self.weight[at])
+        return np.bincount(self.example[at], np.repeat(weights, count) * self.weight[at], self.size)
+
+    def blocks_scored(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        cells = (ids[:, None] * self.top.shape[1] + blocks[None, :]).reshape(-1)
+        low = self.begin[cells]
+        return self.scored(np.repeat(weights, len(blocks)), low, self.begin[cells + 1] - low)
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine over 0 and their cosines, ties to the earlier: blocks whose bound cannot reach the k-th best found are never read."""
+        """The k examples of largest cosine over 0 and their cosines, ties to the earlier: blocks whose bound cannot reach the k-th best found are not read, unless so few can be left out that whole lists are read faster."""
         bound = weights @ self.top[ids]
-        order = np.argsort(-bound, kind="stable")
-        scores = np.zeros(self.size)
+        blocks = len(bound)
         first = -(-2 * k // self.per_block)
-        self.scored(ids, weights, order[:first], scores)
+        best = np.argpartition(-bound, first)[:first] if blocks > first else np.arange(blocks)
+        scores = self.blocks_scored(ids, weights, best)
         least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-        more = order[first:][bound[order[first:]] >= max(least * (1 - 1e-9), 1e-12)]
-        if len(more):
-            self.scored(ids, weights, more, scores)
-        found = np.flatnonzero(scores >= max(least * (1 - 1e-9), 1e-12))
+        floor = max(least * (1 - 1e-6), 1e-12)
+        open_ = bound >= floor
+        open_[best] = False
+        if open_.sum() * 4 > blocks:
+            low = self.begin[ids * blocks]
+            scores = self.scored(weights, low, self.begin[(ids + 1) * blocks] - low)
+        elif open_.any():
+            scores += self.blocks_scored(ids, weights, np.flatnonzero(open_))
+        found = np.flatnonzero(scores >= floor)
+        if len(found) > 4 * k:
+            found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
         found = found[np.lexsort((found, -scores[found]))][:k]
         return found, scores[found]
 

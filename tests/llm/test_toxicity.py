@@ -48,4 +48,6 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(none, labels).count() == 0
     assert {r.score for r in toxicity.score(odd, labels.where(F.lit(False))).collect()} == {0.0}
+    some = list(dict.fromkeys(t for w in ("abcdefgh", "abc", "abcd") for t in toxicity.terms_of(w)))
+    assert all(set(toxicity.Vocabulary(some).counts(w)) == {some.index(t) for t in toxicity.terms_of(w)} for w in ("abcdefgh", "abc"))
     assert toxicity.Vocabulary(["ab", "abcd*"]).counts("Ab abcdef, abcd 9") == Counter({0: 1, 1: 1})
