@@ -17,7 +17,7 @@ TREES, DEPTH, FLOOR = 16, 8, 4
 ROWS_IN_BLOCK, SHINGLES_IN_BLOCK = 1024, 2_000_000
 VOCABULARY_STEP = 4096
 #: Texts are hashed in batches of about so many bytes.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 1 << 20
 
 
 def distinct_shingles(texts: pd.Series, width: int) -> Iterator[np.ndarray]:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from periodica.llm.common import map_frames, stored
 
-CACHE_WORDS = 600_000
+CACHE_PARTS = 350_000
 TEXTS_AT_ONCE = 512
 #: Beyond so many sources, sources share queues by hash.
 MAX_QUEUES = 4096
@@ -24,18 +24,20 @@ MAX_QUEUES = 4096
 UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
 
 
-#: Words of which lower case and parts are the same by character as in the tokenizer: no apostrophes, which begin contractions.
+#: Texts and words of which lower case and parts are the same by character as in the tokenizer: no apostrophes, which begin contractions.
+SIMPLE_TEXT = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~ \t\n\r\x0b\x0c]*")
 SIMPLE = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~]+")
-PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[^a-zß-öø-ÿ0-9]+")
+PARTS = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 WORD_END = "</w>"
 JOINED_PARTS = 20_000
 
 
 class WordIds(dict):
-    """Ids of a word between blanks, as little-endian 16-bit numbers.
+    """Ids of parts of texts, as little-endian 16-bit numbers.
 
-    The tokenizer cuts words into parts (letters, single digits, other signs) whose ids do not depend on their
-    neighbours; new parts are handed to it many at a time, and told apart by the ids that end a part.
+    The tokenizer cuts texts into parts (letters, single digits, other signs) whose ids do not depend on their
+    neighbours; new parts are handed to it many at a time, and told apart by the ids that end a part. Words of other
+    characters are handed over whole.
     """
 
     def __init__(self, path: str):
@@ -47,7 +49,6 @@ class WordIds(dict):
             raise ValueError("ids must fit in 16 bits")
         self.ends = np.zeros(1 << 16, bool)
         self.ends[[i for piece, i in vocabulary.items() if piece.endswith(WORD_END)]] = True
-        self.parts: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u2").tobytes()
@@ -56,30 +57,34 @@ class WordIds(dict):
         self[word] = ids = self.whole(word)
         return ids
 
-    def learn(self, words: set[str]) -> None:
-        """Take in the words that are not known yet."""
-        if len(self) > CACHE_WORDS or len(self.parts) > CACHE_WORDS:
-            self.clear()
-            self.parts.clear()
-        cut = {w: (w.lower(),) if w.isascii() and w.isalpha() else PARTS.findall(w.lower()) for w in words if w not in self and ((w.isascii() and w.isalpha()) or SIMPLE.fullmatch(w))}
-        new = list({p for parts in cut.values() for p in parts if p not in self.parts})
-        for low in range(0, len(new), JOINED_PARTS):
-            some = new[low : low + JOINED_PARTS]
+    def learn(self, parts: list[str]) -> None:
+        """Take in simple parts that are not known yet."""
+        for low in range(0, len(parts), JOINED_PARTS):
+            some = parts[low : low + JOINED_PARTS]
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u2")
             last = np.flatnonzero(self.ends[ids]) + 1
             if len(last) == len(some) and last[-1] == len(ids):
                 coded, bounds = ids.tobytes(), [0, *(2 * last).tolist()]
-                self.parts.update((p, coded[a:b]) for p, a, b in zip(some, bounds, bounds[1:]))
+                self.update((p, coded[a:b]) for p, a, b in zip(some, bounds, bounds[1:]))
             else:
-                self.parts.update((p, self.whole(p)) for p in some)
-        for word, parts in cut.items():
-            self[word] = b"".join([self.parts[p] for p in parts])
+                self.update((p, self.whole(p)) for p in some)
+
+    def cut(self, text: str) -> list[str]:
+        """Parts of simple words, and other words as they are."""
+        if SIMPLE_TEXT.fullmatch(text):
+            return PARTS.findall(text.lower())
+        out: list[str] = []
+        for word in text.split():
+            out += PARTS.findall(word.lower()) if SIMPLE.fullmatch(word) else [word]
+        return out
 
     def texts(self, texts: list[str]) -> list[bytes]:
+        if len(self) > CACHE_PARTS:
+            self.clear()
         odd = [bool(UNUSUAL.search(t)) for t in texts]
-        split = [[] if o else t.split() for t, o in zip(texts, odd, strict=True)]
-        self.learn(set().union(*split))
-        return [self.whole(t) if o else b"".join(map(self.__getitem__, words)) for t, o, words in zip(texts, odd, split, strict=True)]
+        cut = [[] if o else self.cut(t) for t, o in zip(texts, odd, strict=True)]
+        self.learn([p for p in set().union(*cut).difference(self) if SIMPLE.fullmatch(p)])
+        return [self.whole(t) if o else b"".join(map(self.__getitem__, parts)) for t, o, parts in zip(texts, odd, cut, strict=True)]
 
 
 @lru_cache(maxsize=2)
