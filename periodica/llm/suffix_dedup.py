@@ -43,8 +43,8 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return hashes[at], text, at - begins[text]
 
 
-def slices(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
-    """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right); left is reversed, both reach as far as a passage can."""
+def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) -> DataFrame:
+    """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right), for the first document of each text; left is reversed, both reach as far as a passage can."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
@@ -57,8 +57,8 @@ def slices(docs: DataFrame, shared: DataFrame, length: int) -> DataFrame:
                         rows.append((rank, text_hash, p, text[max(0, p - length + GRAM) : p][::-1], text[p : p + length]))
             yield pd.DataFrame(rows, columns=["rank", "text_hash", "place", "left", "right"], dtype=object)
 
-    gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places"))
-    packed = packed_texts(docs).join(gathered, "doc").select("rank", "text_hash", "packed", "places")
+    gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places")).join(first, "doc")
+    packed = packed_texts(docs).join(gathered, "doc").where("rank = first").dropDuplicates(["doc"]).select("rank", "text_hash", "packed", "places")
     rows = map_frames(packed, cut, "rank long, text_hash long, place int, left binary, right binary")
     gram = F.xxhash64(F.substring("right", 1, GRAM))
     return rows.select(gram.alias("gram"), F.xxhash64("left", "right", F.lit(length)).alias("slice"), "rank", "text_hash", "place", "left", "right")
@@ -117,7 +117,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Cut from each document (doc_id, text) all bytes covered by a run of length bytes that also starts in a document with a smaller doc_id.
 
     Texts count as UTF-8 bytes and are taken whole; runs never cross documents; overlaps count, and all runs are judged on
-    the input. Work is spread by anchor hashes, distinct contexts and documents; contexts that many documents share are reduced to one
+    the input. Of equal texts (by a 64-bit hash) only the first is looked into; all others are repeats as a whole. Work is spread by anchor hashes, distinct contexts and documents; contexts that many documents share are reduced to one
     with their smallest doc_id before they meet, so no task gathers all occurrences of a passage.
 
     Null text is empty. Rows with one and the same doc_id never cut each other. Rows without doc_id count as last: they
@@ -128,24 +128,26 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
     text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.select("doc_id", "text", text_hash.alias("text_hash"), F.coalesce("doc_id", text_hash).alias("doc"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
+    named = docs.select("doc_id", "text", text_hash.alias("text_hash"), text_hash.alias("doc"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
+    first = named.groupBy("doc").agg(F.min("rank").alias("first"))
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = shared_places(named, lambda texts: anchors(texts, length), int(size * 2 / (length - GRAM + 2)))
-    around = stored(slices(named, shared, length), "suffix-slices")
+    around = stored(slices(named, shared, first, length), "suffix-slices")
     distinct = around.groupBy("gram", "slice").agg(F.min("rank").alias("rank"), F.first("left").alias("left"), F.first("right").alias("right"))
     judged = verdicts(distinct, length).where(F.size("runs") > 0)
     places = around.select("slice", "gram", "rank", "text_hash", "place").join(judged, ["slice", "gram"])
     hit = F.filter("runs", lambda r: r["first"] < F.col("rank"))
     cut = places.select("rank", "text_hash", F.explode(F.transform(hit, lambda r: F.struct((F.col("place") - r["high"]).alias("start"), (F.col("place") - r["low"] + length).alias("end")))).alias("span"))
-    removed = cut.groupBy("rank", "text_hash").agg(F.collect_set("span").alias("spans"))
+    removed = first.join(cut.groupBy(F.col("text_hash").alias("doc")).agg(F.collect_set("span").alias("spans")), "doc", "left")
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             out = []
-            for doc_id, packed, spans in zip(batch["doc_id"], batch["packed"], batch["spans"], strict=True):
+            for doc_id, packed, later, spans in zip(batch["doc_id"], batch["packed"], batch["later"], batch["spans"], strict=True):
                 text, merged, kept, done = unpack.decompress(packed), [], [], 0
-                for a, b in sorted((s["start"], s["end"]) for s in spans) if spans is not None else ():
+                found = sorted((s["start"], s["end"]) for s in spans) if spans is not None else []
+                for a, b in [(0, len(text))] if later and len(text) >= length else found:
                     if merged and a <= merged[-1]["end"]:
                         merged[-1]["end"] = max(merged[-1]["end"], b)
                     else:
@@ -156,5 +158,5 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 out.append((doc_id, len(text), merged, b"".join([*kept, text[done:]])))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object)
 
-    texts = packed_texts(named).join(removed, ["rank", "text_hash"], "left")
-    return map_frames(texts.select("doc_id", "packed", "spans"), keep, "doc_id long, n_bytes long, spans array<struct<start int, end int>>, kept binary")
+    texts = packed_texts(named).join(removed, "doc").withColumn("later", F.col("rank") > F.col("first"))
+    return map_frames(texts.select("doc_id", "packed", "later", "spans"), keep, "doc_id long, n_bytes long, spans array<struct<start int, end int>>, kept binary")
