@@ -49,7 +49,7 @@ def several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
 
 
 def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], expected: int) -> DataFrame:
-    """(doc, places) of the hashes that find gives (hash, text, place) for texts and that at least two documents have; docs has doc and text, expected is about the number of hashes.
+    """(doc, places) of the hashes that find gives (hash, text, place) for texts and that at least two documents have; docs has text and doc, which tells documents apart; expected is about the number of hashes.
 
     Hashes shared within a batch are settled there and only one of each travels on, so what
     stands in very many documents sends at most one row per batch. Rows carry the hashes of a batch in one range of hashes as packed arrays.
