@@ -72,3 +72,33 @@ def rescaled_range(series: DataFrame, column: str, lags: tuple[int, ...] = (10,
     means = each.groupBy("series_id", "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs")).where("rs > 0")
     slope = F.regr_slope(F.ln("rs"), F.ln("lag"))
     return means.groupBy("series_id").agg(F.least(F.greatest(slope, F.lit(0.0)), F.lit(1.0)).alias("hurst"))
+
+
+def welch(series: DataFrame, column: str, segment: int = 256) -> DataFrame:
+    """Mean power over half-overlapping, mean-removed, Hann-tapered segments of min(segment, n // 2) bars, over its largest: (series_id, k, length, period, power)."""
+    bars = numbered(series).select("series_id", "bar", F.col(column).alias("x"), F.count("*").over(whole()).alias("n")).where("n >= 32")
+    rows = bars.withColumn("length", F.least(F.lit(segment), F.floor(F.col("n") / 2))).withColumn("step", F.col("length") - F.floor(F.col("length") / 2))
+    last = F.floor((F.col("n") - F.col("length")) / F.col("step"))
+    low, high = F.greatest(F.ceil((F.col("bar") - F.col("length") + 1) / F.col("step")), F.lit(0)), F.least(F.floor(F.col("bar") / F.col("step")), last)
+    rows = rows.where(high >= low).withColumn("part", F.explode(F.sequence(low, high))).withColumn("place", F.col("bar") - F.col("part") * F.col("step"))
+    each = Window.partitionBy("series_id", "part")
+    rows = rows.withColumn("w", (F.col("x") - F.avg("x").over(each)) * (0.5 - 0.5 * F.cos(2 * math.pi * F.col("place") / F.col("length"))))
+    rows = rows.withColumn("k", F.explode(F.sequence(F.lit(1), F.floor(F.col("length") / 2))))
+    angle = 2 * math.pi * (F.col("k") * F.col("place") % F.col("length")) / F.col("length")
+    sums = rows.groupBy("series_id", "length", "part", "k").agg(F.sum(F.col("w") * F.cos(angle)).alias("re"), F.sum(F.col("w") * F.sin(angle)).alias("im"))
+    mean = sums.groupBy("series_id", "length", "k").agg(F.avg(F.col("re") * F.col("re") + F.col("im") * F.col("im")).alias("p"))
+    doubled = F.when(2 * F.col("k") == F.col("length"), F.col("p")).otherwise(2 * F.col("p"))
+    return mean.withColumn("p", doubled).select("series_id", "k", "length", (F.col("length") / F.col("k")).alias("period"), (F.col("p") / F.max("p").over(whole())).alias("power"))
+
+
+def lomb_scargle(series: DataFrame, column: str, min_period: float = 5.0, max_period: float = 200.0, grid: int = 500) -> DataFrame:
+    """Generalised Lomb-Scargle power with a floating mean at grid frequencies between 1 / max_period and 1 / min_period: the share of variance that the best sine explains."""
+    bars = numbered(series).select("series_id", "bar", F.col(column).cast("double").alias("x")).where("x is not null")
+    step = (1 / min_period - 1 / max_period) / (grid - 1)
+    rows = bars.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("a", 2 * math.pi * (1 / max_period + F.col("j") * step) * F.col("bar"))
+    c, s = F.cos("a"), F.sin("a")
+    out = rows.groupBy("series_id", "j").agg(*[F.covar_pop(a, b).alias(n) for n, a, b in (("yy", "x", "x"), ("yc", "x", c), ("ys", "x", s), ("cc", c, c), ("ss", s, s), ("cs", c, s))], F.count("*").alias("n")).where("n >= 32 and yy > 0")
+    det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
+    power = (F.col("ss") * F.col("yc") * F.col("yc") + F.col("cc") * F.col("ys") * F.col("ys") - 2 * F.col("cs") * F.col("yc") * F.col("ys")) / (F.col("yy") * det)
+    frequency = 1 / max_period + F.col("j") * step
+    return out.where(det > 1e-12).select("series_id", F.col("j").alias("k"), frequency.alias("frequency"), (1 / frequency).alias("period"), power.alias("power"))

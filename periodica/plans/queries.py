@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from periodica.operators import cleaning, features, patterns, relations, spectral
+from periodica.operators import cleaning, features, models, patterns, relations, spectral, stability
 from periodica.sources import bars as sources
 
 DIGITS = 6
@@ -131,6 +131,29 @@ add("lag_correlation", lambda b: relations.lag_correlation(b.select("series_id",
   select a.series_id, b.series_id as other_id, lag, count(*) as n, corr(a.value, b.value) as r from p a join (select *, unnest(range(-5, 6)) as lag from p where series_id >= '4') b on a.bar = b.bar + lag where a.series_id < '3' group by 1, 2, 3 having count(*) >= 30""")
 add("false_discovery", lambda b: relations.false_discovery(b.select("series_id", "ts", (F.floor(F.pmod(F.col("close"), F.lit(100.0)) * 10) / 1000).alias("p")), by=("series_id",), level=0.2), [*KEYS, "is_significant"], ["p", "corrected"], f"""select series_id, ts, p, corrected, corrected <= 0.2 as is_significant from (select series_id, ts, p, least(min(p * m / k) over (partition by series_id order by p desc range between unbounded preceding and current row), 1) as corrected
   from (select *, count(*) over (partition by series_id order by p range between unbounded preceding and current row) as k, count(*) over (partition by series_id) as m from (select series_id, ts, floor((close % 100) * 10) / 1000 as p from bars)))""")
+add("welch", lambda b: spectral.welch(b, "close"), ["series_id", "k", "length"], ["period", "power"], f"""with z as (select series_id, bar, close as x, n, least(256, n // 2) as length from (select *, count(*) over (partition by series_id) as n from ({NUMBERED_SQL}))),
+  g as (select *, bar - part * (length - length // 2) as place from (select *, unnest(range((n - length) // (length - length // 2) + 1)) as part from z) where bar between part * (length - length // 2) and part * (length - length // 2) + length - 1),
+  w as (select series_id, length, part, place, (x - avg(x) over (partition by series_id, part)) * (0.5 - 0.5 * cos(2 * pi() * place / length)) as v from g),
+  p as (select series_id, length, k, avg(re * re + im * im) * case when 2 * k = length then 1 else 2 end as p from (select series_id, length, part, k, sum(v * cos(2 * pi() * ((k * place) % length) / length)) as re, sum(v * sin(2 * pi() * ((k * place) % length) / length)) as im from (select *, unnest(range(1, length // 2 + 1)) as k from w) group by 1, 2, 3, 4) group by 1, 2, 3)
+  select series_id, k, length, length / k as period, p / max(p) over (partition by series_id) as power from p""")
+add("lomb_scargle", lambda b: spectral.lomb_scargle(b, "close", grid=100), ["series_id", "k"], ["period", "power"], f"""select series_id, j as k, 1 / (0.005 + j * 0.195 / 99) as period, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) as power from (select series_id, j, covar_pop(x, x) as yy, covar_pop(x, cos(a)) as yc, covar_pop(x, sin(a)) as ys, covar_pop(cos(a), cos(a)) as cc, covar_pop(sin(a), sin(a)) as ss, covar_pop(cos(a), sin(a)) as cs
+  from (select series_id, close as x, j, 2 * pi() * (0.005 + j * 0.195 / 99) * bar as a from (select *, unnest(range(100)) as j from ({NUMBERED_SQL}))) group by 1, 2)""")
+add("hopping_windows", lambda b: models.hopping_windows(b).select("series_id", "start_bar", F.posexplode("window").alias("place", "z")), ["series_id", "start_bar", "place"], ["z"], f"""select series_id, start_bar, place, (close - m) / s as z from (select *, bar - start_bar as place, avg(close) over (partition by series_id, start_bar) as m, stddev_pop(close) over (partition by series_id, start_bar) as s
+  from (select b.*, start_bar from (select *, count(*) over (partition by series_id) as n from ({NUMBERED_SQL})) b join (select unnest(range(0, 100000, 5)) as start_bar) on bar between start_bar and start_bar + 19 and start_bar < n - 20)) where s > 1e-8""")
+add("variance_thirds", lambda b: stability.variance_thirds(cleaning.returns(b)), ["series_id"], ["v1", "v2", "v3", "ratio_12", "ratio_23", "variance_stability"], f"""select *, least(greatest(1 - 0.5 * abs(1 - ratio_12), 0), 1) as variance_stability from (select *, round(v1 / (v2 + 1e-10), 4) as ratio_12, round(v2 / (v3 + 1e-10), 4) as ratio_23 from (select series_id, var_pop(log_return) filter (part < 0.25) as v1, var_pop(log_return) filter (part >= 0.25 and part < 0.75) as v2, var_pop(log_return) filter (part >= 0.75) as v3
+  from (select series_id, log_return, (row_number() over ({W}) - 1) / count(*) over (partition by series_id) as part from ({RETURNS_SQL})) group by 1))""")
+CYCLES = [5.0, 20.0, 60.0]
+
+
+def fixed_cycles(b: DataFrame) -> DataFrame:
+    return b.select("series_id").distinct().withColumn("period", F.explode(F.array(*map(F.lit, CYCLES))))
+
+
+add("walk_forward", lambda b: stability.walk_forward(b, fixed_cycles(b)), ["series_id", "n_windows", "half_life_bars"], ["period", "detection_rate", "power_mean", "power_std", "decay_per_year"], None)
+add("out_of_sample", lambda b: stability.out_of_sample(b, fixed_cycles(b)), ["series_id"], ["period", "is_power", "oos_power", "oos_ratio"], None)
+add("shape_clusters", lambda b: models.shape_clusters(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar", "cluster"], ["similarity"], None)
+add("linear_embeddings", lambda b: models.linear_embeddings(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar"], ["reconstruction_error", "anomaly_score"], None)
+add("forest_importance", lambda b: models.forest_importance(features.target(features.momentum(b)), ["ret_1", "ret_5", "ret_20", "momentum_5_20"]), ["feature"], ["importance"], None)
 
 
 def event_bars(spark: SparkSession, sf_dir: str) -> DataFrame:
