@@ -153,7 +153,7 @@ class Model:
         return min(1.0, max(0.0, rate)), found, ids[np.argsort(-weights, kind="stable")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, least_gain: float, neighbours: int, per_block: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, least_gain: float, least_lift: float, neighbours: int, per_block: int) -> Model:
     """A model from at most max_examples labelled documents outside the held-out quarter, the first in the order of a hash of their ids."""
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # bounded, so it may be broadcast
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, l
     part = lambda seen, n: F.when(seen > 0, seen * F.log(seen / (n * (F.col("a") + F.col("b")) / max(n0 + n1, 1)))).otherwise(0.0)
     rest = lambda seen, n: F.when(n - seen > 0, (n - seen) * F.log((n - seen) / (n * (1 - (F.col("a") + F.col("b")) / max(n0 + n1, 1))))).otherwise(0.0)
     gain = 2 * (part(F.col("a"), F.lit(n0)) + part(F.col("b"), F.lit(n1)) + rest(F.col("a"), F.lit(n0)) + rest(F.col("b"), F.lit(n1)))
-    best = found.where(F.col("b") * n0 > F.col("a") * n1).withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
+    best = found.where(F.col("b") * n0 > least_lift * F.col("a") * n1).withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
     terms = sorted(r.term for r in best)
     seen_in = {r.term: r.a + r.b for r in best}
     idf = np.array([np.log((n0 + n1) / seen_in[t]) + 1 for t in terms])
@@ -198,12 +198,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, l
     return model
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 6000, least_gain: float = 10.0, neighbours: int = 32, per_block: int = 64, carry: str = "") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 6000, least_gain: float = 10.0, least_lift: float = 2.0, neighbours: int = 32, per_block: int = 64, carry: str = "") -> DataFrame:
     """Probability that each document (doc_id, text) would be marked in labels (doc_id, toxic).
 
     Labelled examples are a bounded sample: at most max_examples labelled documents whose crc32 of doc_id modulo 4 is not
     2, first in the order of a hash of doc_id. Terms are words and their first 3, 4 and 7 letters; the max_terms that
-    speak most for toxic examples (log-likelihood ratio of at least least_gain) span the TF-IDF space. Nearest examples
+    speak most for toxic examples (log-likelihood ratio of at least least_gain, and more than least_lift times as
+    frequent in toxic as in other examples) span the TF-IDF space. Nearest examples
     are exact: a block of 64 examples is skipped only if its bound lies below the k-th best. Votes weigh the squared
     cosine and are calibrated by isotonic regression on leave-one-out votes of the examples. Index and vocabulary are
     bounded by these parameters and broadcast; all documents are scored by whole text where they lie.
@@ -215,7 +216,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_te
     Returns doc_id, held_out, score, neighbours (ids of the nearest examples), terms (up to 8 that weigh most), and the
     columns that carry names (DDL) as they are.
     """
-    model = fit(docs, labels, max_examples, max_terms, least_gain, neighbours, per_block)
+    model = fit(docs, labels, max_examples, max_terms, least_gain, least_lift, neighbours, per_block)
     names = [c.split()[0] for c in carry.split(",") if c]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
