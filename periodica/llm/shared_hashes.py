@@ -107,7 +107,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     """Texts compressed for a shuffle."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=3, write_checksum=False)
+        press = zstandard.ZstdCompressor(level=6, write_checksum=False)
         for batch in batches:
             yield batch.drop(columns="text").assign(packed=[press.compress(t) for t in encoded(batch["text"])])
 

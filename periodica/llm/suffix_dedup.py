@@ -23,16 +23,23 @@ GRAM = 20
 LAST = (1 << 63) - 1
 
 
+def gram_hashes(texts: list[bytes]) -> np.ndarray:
+    """Hash of every run of GRAM bytes of the texts, one behind the other."""
+    buffer = np.frombuffer(b"".join(texts), np.uint8)
+    if len(buffer) < GRAM:
+        return np.zeros(0, np.uint64)
+    up, down = powers(len(buffer) + 1)
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
+    return mix64((sums[GRAM:] - sums[:-GRAM]) * down[: len(buffer) - GRAM + 1])
+
+
 def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash, text, place) of every run of GRAM bytes whose hash is the least in some run of length bytes: equal runs of length bytes have equal anchors, wherever they stand."""
     window = length - GRAM + 1
     ends = np.cumsum([len(t) for t in texts])
-    buffer = np.frombuffer(b"".join(texts), np.uint8)
-    if len(buffer) < length:
+    hashes = gram_hashes(texts)
+    if len(hashes) < window:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    up, down = powers(len(buffer) + 1)
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((buffer.astype(np.uint64) + np.uint64(1)) * up[:-1], dtype=np.uint64)])
-    hashes = mix64((sums[GRAM:] - sums[:-GRAM]) * down[: len(buffer) - GRAM + 1])
     least = sliding(hashes, window, np.minimum)
     edge = np.zeros(window - 1, np.uint64)
     at = np.flatnonzero(hashes == sliding(np.concatenate([edge, least, edge]), window, np.maximum))
@@ -43,8 +50,22 @@ def anchors(texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, np
     return hashes[at], text, at - begins[text]
 
 
+def starts(hashes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """First and last start of the runs of length bytes, within one text, whose least hash is the one at each place (last before first if none)."""
+    reach, n = length - GRAM, len(hashes)
+    offsets = np.arange(1, reach + 1)
+    none = np.uint64(0xFFFFFFFFFFFFFFFF)
+    padded = np.concatenate([np.full(reach, none), hashes, np.full(reach, none)])
+    own = hashes[at][:, None]
+    left = padded[at[:, None] + reach - offsets] < own
+    right = padded[at[:, None] + reach + offsets] < own
+    before = np.where(left.any(axis=1), left.argmax(axis=1), reach)
+    after = np.where(right.any(axis=1), right.argmax(axis=1), reach)
+    return np.maximum(at - before, 0), np.minimum(np.minimum(at, at + after - reach), n - 1 - reach)
+
+
 def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) -> DataFrame:
-    """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right), for the first document of each text; left is reversed, both reach as far as a passage can."""
+    """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right), for the first document of each text; left is reversed, and both reach as far as runs go of which the anchor is the least: each run is judged at one anchor, the same in all texts."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
@@ -52,16 +73,18 @@ def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) ->
             rows = []
             for rank, text_hash, packed, places in zip(batch["rank"], batch["text_hash"], batch["packed"], batch["places"], strict=True):
                 text = unpack.decompress(packed)
-                for p in np.unique(np.concatenate(list(places))).tolist():
-                    if p + GRAM <= len(text):
-                        rows.append((rank, text_hash, p, text[max(0, p - length + GRAM) : p][::-1], text[p : p + length]))
+                at = np.unique(np.concatenate(list(places))).astype(np.int64)
+                first, last = starts(gram_hashes([text]), at, length)
+                for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
+                    if a <= b:
+                        rows.append((rank, text_hash, p, text[a:p][::-1], text[p : b + length]))
             yield pd.DataFrame(rows, columns=["rank", "text_hash", "place", "left", "right"], dtype=object)
 
     gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places")).join(first, "doc")
     packed = packed_texts(docs).join(gathered, "doc").where("rank = first").dropDuplicates(["doc"]).select("rank", "text_hash", "packed", "places")
     rows = map_frames(packed, cut, "rank long, text_hash long, place int, left binary, right binary")
     gram = F.xxhash64(F.substring("right", 1, GRAM))
-    return rows.select(gram.alias("gram"), F.xxhash64("left", "right", F.lit(length)).alias("slice"), "rank", "text_hash", "place", "left", "right")
+    return rows.select(gram.alias("gram"), F.xxhash64("left", "right").alias("slice"), "rank", "text_hash", "place", "left", "right")
 
 
 def matrix(parts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -70,7 +93,7 @@ def matrix(parts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verdicts(distinct: DataFrame, length: int) -> DataFrame:
-    """(gram, slice, runs): for each distinct slice, runs of window starts before the anchor (from, to) that also stand in a document of rank first."""
+    """(slice, runs): for each distinct slice, runs of window starts before the anchor (from, to) that also stand in a document of rank first."""
     reach = length - GRAM
 
     def judge(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
@@ -108,9 +131,9 @@ def verdicts(distinct: DataFrame, length: int) -> DataFrame:
             begin = row[bounds[i] : bounds[i + 1]]
             end = np.append(begin[1:], reach + 1) - 1
             runs.append([{"low": int(a), "high": int(b), "first": int(first[a, i])} for a, b in zip(begin, end, strict=True) if first[a, i] != LAST])
-        return pd.DataFrame({"slice": frame["slice"], "gram": frame["gram"], "runs": runs})
+        return pd.DataFrame({"slice": frame["slice"], "runs": runs})
 
-    return in_groups(distinct, ["gram"], judge, "gram long, slice long, runs array<struct<low int, high int, first long>>")
+    return in_groups(distinct, ["gram"], judge, "slice long, runs array<struct<low int, high int, first long>>")
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
@@ -135,7 +158,7 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     around = stored(slices(named, shared, first, length), "suffix-slices")
     distinct = around.groupBy("gram", "slice").agg(F.min("rank").alias("rank"), F.first("left").alias("left"), F.first("right").alias("right"))
     judged = verdicts(distinct, length).where(F.size("runs") > 0)
-    places = around.select("slice", "gram", "rank", "text_hash", "place").join(judged, ["slice", "gram"])
+    places = around.select("slice", "rank", "text_hash", "place").join(judged, "slice")
     hit = F.filter("runs", lambda r: r["first"] < F.col("rank"))
     cut = places.select("rank", "text_hash", F.explode(F.transform(hit, lambda r: F.struct((F.col("place") - r["high"]).alias("start"), (F.col("place") - r["low"] + length).alias("end")))).alias("span"))
     removed = first.join(cut.groupBy(F.col("text_hash").alias("doc")).agg(F.collect_set("span").alias("spans")), "doc", "left")
