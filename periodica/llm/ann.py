@@ -113,28 +113,46 @@ def lifted(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0, 1 - np.einsum("ij,ij->i", x, x)))[:, None]], axis=1).astype(np.float32)
 
 
-def index(ready: DataFrame, longest: float, shards: int, degree: int, beam: int, alpha: float, seed: int) -> DataFrame:
-    """One row per shard: its rows, ids, vectors and graph as binary."""
+def nodes(ready: DataFrame, k: int, salts: int = 16) -> DataFrame:
+    """One row per distinct vector: (row, vector, members), members being its k smallest (vec_id, row) in order and row the first's.
+
+    Copies are thinned to k within each of a few hash classes first, so no task meets all copies of a common vector.
+    """
+    thinned = ready.withColumn("salt", F.pmod(F.xxhash64("row", F.lit(29)), F.lit(salts)))
+    for by in (["vector", "salt"], ["vector"]):
+        place = F.row_number().over(Window.partitionBy(*by).orderBy("vec_id", "row"))
+        thinned = thinned.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    grouped = thinned.groupBy("vector").agg(F.array_sort(F.collect_list(F.struct("vec_id", "row"))).alias("members"))
+    return grouped.select(F.col("members")[0]["row"].alias("row"), "vector", "members")
+
+
+def index(points: DataFrame, longest: float, shards: int, degree: int, beam: int, alpha: float, seed: int) -> DataFrame:
+    """One row per shard of points (row, vector, members): vectors, graph and, side by side with -1 for none, rows and ids of the members of each, as binary."""
 
     def build(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         out = []
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             part = frame.iloc[a:b].sort_values("row")
             graph, start = build_graph(lifted(matrix(part["vector"]), longest), degree, beam, alpha, seed)
-            out.append((part["shard"].iloc[0], b - a, start, part["row"].to_numpy().astype("<i8").tobytes(), part["vec_id"].to_numpy().astype("<i8").tobytes(), b"".join(part["vector"]), graph.astype("<i4").tobytes()))
+            members = list(part["members"])
+            rows, ids = np.full((2, b - a, max(map(len, members))), -1, "<i8")
+            for at, some in enumerate(members):
+                rows[at, : len(some)], ids[at, : len(some)] = [m["row"] for m in some], [m["vec_id"] for m in some]
+            out.append((part["shard"].iloc[0], b - a, start, rows.tobytes(), ids.tobytes(), b"".join(part["vector"]), graph.astype("<i4").tobytes()))
         return pd.DataFrame(out, columns=["shard", "n", "start", "rows", "ids", "vectors", "graph"], dtype=object)
 
-    dealt = ready.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("int"))
+    dealt = points.withColumn("shard", F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(shards)).cast("int"))
     return in_groups(dealt, ["shard"], build, "shard int, n int, start int, rows binary, ids binary, vectors binary, graph binary")
 
 
 def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int = 8192, degree: int = 40, build_beam: int = 100, beam: int = 192, alpha: float = 1.2, query_block: int = 1024, seed: int = 5) -> DataFrame:
     """The k rows of largest inner product for each row whose vec_id is divisible by every, among all other rows.
 
-    Vectors are dealt out at random to shards of about shard_rows. Each shard gets a directed graph: points enter one
+    Equal vectors are one point with the k + 1 smallest vec_ids, which is all of its copies that an answer can hold.
+    Points are dealt out at random to shards of about shard_rows. Each shard gets a directed graph: points enter one
     batch after another, a greedy search over the graph so far proposes their neighbours, pruning with slack alpha keeps
     diverse ones, and edges back are pruned alike. Inner products become distances by one more component.
-    Blocks of queries then walk every shard's graph with a beam; the best of all shards are ranked by their inner products
+    Blocks of queries then walk every shard's graph with a beam; copies of the points found, of all shards, are ranked by their inner products
     in double precision. Recall against a full comparison is measured in the tests.
 
     Vectors that are null, empty, zero or hold null or non-finite components take no part, nor do rows without vec_id or
@@ -153,11 +171,12 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int =
             x = matrix(batch["vector"])
             yield pd.DataFrame({"length": np.sqrt(np.einsum("ij,ij->i", x, x))})
 
-    n, longest = map_frames(ready.select("vector"), lengths, "length double").agg(F.count("*"), F.max("length")).first()
+    points = stored(nodes(ready, k + 1), "ann-points")
+    n, longest = map_frames(points.select("vector"), lengths, "length double").agg(F.count("*"), F.max("length")).first()
     shards = max(1, -(-n // shard_rows))
-    built = stored(index(ready, float(longest or 1), shards, degree, build_beam, alpha, seed), "ann-index")
+    built = stored(index(points, float(longest or 1), shards, degree, build_beam, alpha, seed), "ann-index")
     asked = ready.where(F.col("vec_id") % every == 0)
-    blocks = max(1, -(-n // (every * query_block)))
+    blocks = max(1, -(-ready.count() // (every * query_block)))
     grouped = asked.withColumn("block", F.pmod(F.xxhash64("row", F.lit(seed + 1)), F.lit(blocks)).cast("int")).groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "vector")).alias("q"))
     work = grouped.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))).join(built, "shard")
 
@@ -165,7 +184,7 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int =
         for batch in batches:
             for r in batch.itertuples(index=False):
                 x = np.frombuffer(r.vectors, "<f8").reshape(r.n, -1)
-                rows, ids, graph = np.frombuffer(r.rows, "<i8"), np.frombuffer(r.ids, "<i8"), np.frombuffer(r.graph, "<i4").reshape(r.n, -1)
+                rows, ids, graph = np.frombuffer(r.rows, "<i8").reshape(r.n, -1), np.frombuffer(r.ids, "<i8").reshape(r.n, -1), np.frombuffer(r.graph, "<i4").reshape(r.n, -1)
                 light = lifted(x, float(longest))
                 for low in range(0, len(r.q), 256):
                     part = r.q[low : low + 256]
@@ -173,12 +192,17 @@ def nearest(vectors: DataFrame, every: int = 20, k: int = 20, shard_rows: int =
                     own, name = np.array([p["row"] for p in part]), np.array([p["vec_id"] for p in part])
                     scaled = q / np.sqrt(np.einsum("ij,ij->i", q, q))[:, None]
                     found, _ = beam_search(light, graph, r.start, np.concatenate([scaled, np.zeros((len(part), 1))], axis=1).astype(np.float32), max(beam, 2 * k))
-                    exact = np.where((found >= 0) & (rows[found] != own[:, None]), np.einsum("ijk,ik->ij", x[found], q), -np.inf)
-                    order = np.lexsort((ids[found], -exact), axis=1)[:, :k]
+                    exact = np.where(found >= 0, np.einsum("ijk,ik->ij", x[found], q), -np.inf)
+                    order = np.lexsort((ids[found, 0], -exact), axis=1)[:, : k + 1]  # one more, since the query's own row may be a point's only member
+                    near = np.take_along_axis(found, order, 1)
+                    member, names = rows[near].reshape(len(part), -1), ids[near].reshape(len(part), -1)
+                    exact = np.repeat(np.take_along_axis(exact, order, 1), rows.shape[1], axis=1)
+                    exact = np.where((member >= 0) & (member != own[:, None]), exact, -np.inf)
+                    order = np.lexsort((names, -exact), axis=1)[:, :k]
                     best = np.take_along_axis(exact, order, 1)
                     row, col = np.nonzero(best > -np.inf)
-                    at = np.take_along_axis(found, order, 1)[row, col]
-                    yield pd.DataFrame({"query_row": own[row], "query_id": name[row], "vec_id": ids[at], "score": best[row, col]})
+                    at = np.take_along_axis(names, order, 1)[row, col]
+                    yield pd.DataFrame({"query_row": own[row], "query_id": name[row], "vec_id": at, "score": best[row, col]})
 
     pairs = map_frames(work.select("q", "n", "start", "rows", "ids", "vectors", "graph"), search, "query_row long, query_id long, vec_id long, score double")
     place = F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))

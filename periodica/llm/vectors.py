@@ -13,7 +13,7 @@ from periodica.llm.common import map_frames
 
 
 def usable(vectors: DataFrame, row: str, keep: str = "") -> DataFrame:
-    """(row, *keep, vector): double-precision components as binary; null where the vector is null, empty, zero or has null or non-finite components. keep: DDL of columns that go along."""
+    """(row, *keep, vector): double-precision components as binary; zeros without a sign; null where the vector is null, empty, zero or has null or non-finite components. keep: DDL of columns that go along."""
     names = [x.split()[0] for x in keep.split(",") if x]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -21,7 +21,7 @@ def usable(vectors: DataFrame, row: str, keep: str = "") -> DataFrame:
             out = []
             for v in batch["embedding"]:
                 v = np.zeros(0) if v is None else np.array([np.nan if x is None else x for x in v], np.float64) if v.dtype == object else np.asarray(v, np.float64)
-                out.append(v.astype("<f8").tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
+                out.append((v + 0.0).astype("<f8").tobytes() if len(v) and np.isfinite(v).all() and v.any() else None)
             yield batch.drop(columns="embedding").assign(vector=out)
 
     return map_frames(vectors.select(F.col(row).alias("row"), *names, "embedding"), run, "row long, " + "".join(f"{x.strip()}, " for x in keep.split(",") if x) + "vector binary")

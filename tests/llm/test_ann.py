@@ -38,3 +38,26 @@ def test_few_rows_and_none(spark):
     got = ann.nearest(spark.createDataFrame([(*r, 1, 1, 1, "s") for r in rows], KIND)).collect()
     assert sorted((r.query_id, r.rank, r.vec_id, r.score) for r in got) == [(0, 1, 20, 4.0), (0, 2, 21, 4.0), (20, 1, 21, 5.0), (20, 2, 0, 4.0)]
     assert ann.nearest(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_copies_are_all_found_in_order_of_their_ids(spark):
+    random = np.random.default_rng(8)
+    hot, other = random.standard_normal(12), random.standard_normal(12)
+    rows = [(i, random.standard_normal(12).tolist()) for i in range(400)]
+    rows += [(1000 + i, (hot * 9).tolist()) for i in range(700)] + [(3000 + i, (other * 5).tolist()) for i in range(6)]
+    random.shuffle(rows)
+    rows = [(int(i), v) for i, v in rows]
+    got = ann.nearest(spark.createDataFrame([(*r, 1, 1, 1, "s") for r in rows], KIND).repartition(4), shard_rows=300, query_block=10).collect()
+    answers = {}
+    for r in sorted(got, key=lambda r: r.rank):
+        answers.setdefault(r.query_id, []).append(r.vec_id)
+    assert len(got) == 20 * len([i for i, _ in rows if i % 20 == 0])
+    x, ids = np.array([v for _, v in rows]), np.array([i for i, _ in rows])
+    hits = 0
+    for q, found in answers.items():
+        scores = (x @ x[ids == q][0]).round(9)
+        want = [int(ids[i]) for i in np.lexsort((ids, -scores)) if ids[i] != q][:20]
+        hits += len(set(found) & set(want))
+        if 1000 <= q < 1700:
+            assert found == want
+    assert hits >= 0.99 * len(got)
