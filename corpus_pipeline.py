@@ -33,7 +33,7 @@ def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Words of all sources by their target weights: a row for each run of words that a copy takes of a document."""
+    """Words of all sources by their target weights: a row for each part of a drawn block, in the order in which blocks are dealt to shards and slots."""
     return mixing.drawn(docs).select(COLUMNS)
 
 

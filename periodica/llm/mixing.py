@@ -16,6 +16,8 @@ from periodica.llm.common import map_frames
 BLANKS = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 MAX_SOURCES = 100_000
+#: Slots of a shard that stay together, so that no task has to hold a whole shard.
+CHUNK = 64
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], limit: float = 3.0) -> list[float]:
@@ -193,24 +195,25 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit:
 
 
 def drawn(docs: DataFrame, **how: object) -> DataFrame:
-    """The mix itself: docs (doc_id, text, source, lang, n_chars), a row for each run of words of a document that one copy takes, with these words as text; a text taken whole stays as it is."""
+    """The mix itself: docs (doc_id, text, source, lang, n_chars), a row for each part of a drawn block that one document fills, with these words as text; a text that one block takes whole stays as it is.
+
+    Rows lie in the order of the deal: a partition holds runs of CHUNK slots of output shards, each block at its slot, so
+    neither copies of a document nor blocks of a source stand together. Also returns shard and slot.
+    """
     word = re.compile(BLANKS)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
-                runs: list[list[int]] = []
-                for p in sorted(r.pieces, key=lambda p: (p["copy"], p["start"])):
-                    if runs and runs[-1][0] == p["copy"] and runs[-1][2] == p["start"]:
-                        runs[-1][2] += p["length"]
-                    else:
-                        runs.append([p["copy"], p["start"], p["start"] + p["length"]])
-                spans = [m.span() for m in word.finditer(r.text)] if any(b - a < r.size for _, a, b in runs) else []
-                for _, a, b in runs:
+                spans = [m.span() for m in word.finditer(r.text)] if any(p["length"] < r.size for p in r.pieces) else []
+                for p in r.pieces:
+                    a, b = p["start"], p["start"] + p["length"]
                     text = r.text if b - a == r.size else r.text[spans[a][0] : spans[b - 1][1]]
-                    out.append((r.doc_id, text, r.lang, r.source, len(text)))
-            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars"], dtype=object)
+                    out.append((r.doc_id, text, r.lang, r.source, len(text), p["shard"], p["slot"], a))
+            yield pd.DataFrame(out, columns=["doc_id", "text", "lang", "source", "n_chars", "shard", "slot", "start"], dtype=object)
 
     mixed = mix(docs, carry="text string, lang string", **how)
-    return map_frames(mixed.where("taken > 0").select("doc_id", "text", "lang", "source", "size", "pieces"), cut, "doc_id long, text string, lang string, source string, n_chars long")
+    rows = map_frames(mixed.where("taken > 0").select("doc_id", "text", "lang", "source", "size", "pieces"), cut, "doc_id long, text string, lang string, source string, n_chars long, shard long, slot long, start long")
+    dealt = rows.withColumn("chunk", F.floor(F.col("slot") / CHUNK)).repartition("shard", "chunk")
+    return dealt.sortWithinPartitions("shard", "slot", "doc_id", "start").drop("chunk", "start")

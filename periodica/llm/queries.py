@@ -48,7 +48,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mixing.mix(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "size", "source_size", "target", "taken", "source")
+    return out.select("doc_id", "size", "source_size", "target", "taken", "source", "pieces")
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

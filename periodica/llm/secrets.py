@@ -24,6 +24,7 @@ ALPHABETS = {
     "hex": "0123456789abcdef",
     "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567",
     "base36": "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ",
+    "letters": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz",
     "base64": "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/",
 }
 #: Upper ends of the length classes in which false discovery is controlled separately.
@@ -57,11 +58,12 @@ def upper_tail(z: Column) -> Column:
 
 
 def encoding(token: Column) -> Column:
-    """The smallest alphabet that writes the token, its padding and dashes left out."""
+    """The smallest alphabet that writes the token, its padding and dashes left out; all but letters and base64 in either case."""
     bare = F.regexp_replace(token, "[=-]", "")
     return (
         F.when(bare.rlike("^[0-9]+$"), "decimal").when(bare.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex")
-        .when(bare.rlike("^[A-Z2-7]+$"), "base32").when(bare.rlike("^[A-Z0-9]+$"), "base36").otherwise("base64")
+        .when(bare.rlike("^([A-Z2-7]+|[a-z2-7]+)$"), "base32").when(bare.rlike("^([A-Z0-9]+|[a-z0-9]+)$"), "base36")
+        .when(bare.rlike("^[A-Za-z]+$"), "letters").otherwise("base64")
     )
 
 
@@ -73,7 +75,7 @@ def randomness(tokens: DataFrame) -> DataFrame:
     A token of equal symbols has p_serial 0; one wholly on one side of the middle has p_runs from its chance, 2**(1-n).
     """
     code = F.col("encoding")
-    clean = F.when(code == "hex", F.lower(F.regexp_replace("token", "[=-]", ""))).when(code == "base64", F.translate(F.regexp_replace("token", "=", ""), "-_", "+/")).otherwise(F.regexp_replace("token", "[=-]", ""))
+    clean = F.when(code == "hex", F.lower(F.regexp_replace("token", "[=-]", ""))).when(code.isin("base32", "base36"), F.upper(F.regexp_replace("token", "[=-]", ""))).when(code == "base64", F.translate(F.regexp_replace("token", "=", ""), "-_", "+/")).otherwise(F.regexp_replace("token", "[=-]", ""))
     alphabet = F.coalesce(*[F.when(code == k, F.lit(a)) for k, a in ALPHABETS.items()])
     out = tokens.withColumn("encoding", encoding(F.col("token"))).withColumn("alphabet", alphabet).withColumn("clean", clean)
     out = out.withColumn("values", F.transform(F.filter(F.split("clean", ""), lambda c: c != ""), lambda c: (F.instr("alphabet", c) - 1).cast("double")))
@@ -108,7 +110,7 @@ def length_class(n: Column) -> Column:
 def thresholds(tested: DataFrame, level: float) -> DataFrame:
     """Benjamini-Hochberg within each encoding and length class: p at most the threshold is found not to be random.
 
-    p is counted in 2,000 steps of its logarithm, so the ranking is over at most 5 x 5 x 2,001 rows whatever the input;
+    p is counted in 2,000 steps of its logarithm, so the ranking is over at most 6 x 5 x 2,001 rows whatever the input;
     rounding up to a step can only keep more tokens.
     """
     counted = tested.groupBy("encoding", "class", "step").count()
@@ -144,7 +146,7 @@ def scan(docs: DataFrame, level: float = 0.05) -> DataFrame:
     step = F.least(F.lit(2000), F.floor(-F.log10(F.greatest("p", F.lit(1e-40))) * 50)).cast("int")
     tested = randomness(kept.select(F.explode("free.token").alias("token")).distinct()).select("token", "encoding", length_class(F.col("n")).alias("class"), step.alias("step"))
     tested = stored(tested, "secret-tokens")  # else the filter below would take the whole battery into each of its terms
-    limits = {(r[0], r[1]): r[2] for r in thresholds(tested, level).collect()}  # at most 25 rows
+    limits = {(r[0], r[1]): r[2] for r in thresholds(tested, level).collect()}  # at most 30 rows
     rejected = F.lit(False)
     for (code, size), step in limits.items():
         rejected = rejected | ((F.col("encoding") == code) & (F.col("class") == size) & (F.col("step") >= step))

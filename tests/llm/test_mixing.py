@@ -45,3 +45,18 @@ def test_sources_meet_targets(odd, odd_rows, none):
     key = lambda r: (r.doc_id is None, r.doc_id, r.size, r.taken)
     assert sorted(map(key, rows), key=str) == sorted(map(key, again), key=str)
     assert mixing.mix(none).count() == 0
+
+
+def test_drawn_blocks_lie_at_their_shards_and_slots(spark, tmp_path):
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(20 + i % 50)), "en", f"s{i % 3}", 0) for i in range(300)], "doc_id long, text string, lang string, source string, n_chars long")
+    pieces = [(r.doc_id, p.shard, p.slot, p.length) for r in mixing.mix(docs, block_words=50, shard_blocks=100).collect() for p in r.pieces]
+    placed = mixing.drawn(docs, block_words=50, shard_blocks=100)
+    placed.write.parquet(f"{tmp_path}/mix")
+    rows = [[(r.doc_id, r.shard, r.slot, len(r.text.split())) for r in spark.read.parquet(str(f)).collect()] for f in sorted((tmp_path / "mix").glob("*.parquet"))]
+    assert sorted(x for part in rows for x in part) == sorted(pieces)
+    for part in rows:
+        assert [x[1:3] for x in part] == sorted(x[1:3] for x in part)
+    chunks = [{(s, slot // mixing.CHUNK) for _, s, slot, _ in part} for part in rows]
+    assert sum(map(len, chunks)) == len(set().union(*chunks))
+    source = [d % 3 for part in rows for d, *_ in part]
+    assert sum(a != b for a, b in zip(source, source[1:])) > 50

@@ -52,3 +52,20 @@ def test_tail_and_empty(spark, none):
     got = spark.createDataFrame([(0.0,), (1.96,), (-1.96,), (5.0,)], "z double").select(secrets.upper_tail(F.col("z"))).collect()
     assert all(abs(g[0] - w) < 1e-6 for g, w in zip(got, [0.5, 0.0249979, 0.9750021, 2.8665e-7], strict=True))
     assert secrets.scan(none).count() == 0
+
+
+def test_random_tokens_of_each_alphabet_are_not_told_from_random(spark):
+    import random
+
+    random.seed(4)
+    lower, upper = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    alphabets = {"base32": (lower + "234567", upper + "234567"), "base36": (lower + "0123456789", upper + "0123456789"), "letters": (lower + upper,), "base64": (lower + upper + "0123456789+/",)}
+    rows = [(code, i, n, "".join(random.choice(a) for _ in range(n))) for code, some in alphabets.items() for i, a in enumerate(some) for n in (24, 40, 48, 64, 100) for _ in range(100)]
+    tested = secrets.randomness(spark.createDataFrame(rows, "code string, i int, size int, token string")).where("code = encoding")
+    shares = tested.groupBy("code", "i", "size").agg(F.count("*").alias("n"), F.avg((F.col("p") <= 0.05).cast("int")).alias("share")).collect()
+    assert len(shares) == 30 and all(r.n >= 95 or r.code == "base36" or r.size == 24 for r in shares) and all(r.share <= 0.15 for r in shares)
+    keys = [r[3] for r in rows if r[:3] in (("base32", 0, 64), ("base36", 0, 64))]
+    words = ["the2the2the2the2the2the2the2the2the2the2" + "abcdefgh"[i % 8] * (i // 8 % 20) for i in range(160)]
+    docs = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate(keys + words)], "doc_id long, text string")
+    found = {r.doc_id: r.n_random for r in secrets.scan(docs).collect()}
+    assert sum(found[i] for i in range(len(keys))) >= 0.9 * len(keys) and sum(found[i] for i in range(len(keys), len(found))) == 0
