@@ -35,5 +35,29 @@ def test_all_links_are_counted(spark, monkeypatch):
     assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == plain(rows)
 
 
+def test_passes_find_links_of_dense_labels(spark):
+    random = np.random.default_rng(9)
+    rows = []
+    for label, common in ((0, 0.0), (1, 0.7)):
+        axis = np.eye(32)[0] * np.sqrt(common)
+        centre = np.array([axis + v / np.linalg.norm(v) * np.sqrt(1 - common) for v in random.standard_normal((2500, 32))])
+        for i, c in enumerate(centre):
+            rows.append((len(rows), c.tolist(), label))
+            if i % 10 == 0:  # a partner just over the threshold
+                away = random.standard_normal(32)
+                away -= (away @ c) * c / (c @ c)
+                rows.append((len(rows), (c * 0.982 + away / np.linalg.norm(away) * np.linalg.norm(c) * np.sqrt(1 - 0.982**2)).tolist(), label))
+    got = embedding_dedup.near_duplicates(spark.createDataFrame([(*r, 5, 5) for r in rows], KIND), window=16).collect()
+    x = np.array([r[1] for r in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    label = np.array([r[2] for r in rows])
+    linked = (x @ x.T >= 0.98) & (label[:, None] == label[None, :])
+    links = linked.sum(axis=1) - 1
+    found = np.zeros(len(rows), int)
+    found[[r.vec_id for r in got]] = [r.n_links for r in got]
+    assert (found <= links).all() and links.sum() >= 1000
+    assert found.sum() >= 0.995 * links.sum()
+
+
 def test_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
