@@ -7,9 +7,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from periodica.llm.common import encoded, in_groups, map_frames
+from periodica.llm.common import encoded, in_groups, map_frames, stored
 
 HASHES_IN_RANGE = 4_000_000
 LEAST_RANGES = 16
@@ -49,10 +50,10 @@ def several(keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
 
 
 def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray, np.ndarray]], expected: int) -> DataFrame:
-    """(doc, places) of the hashes that find gives (hash, text, place) for texts and that at least two documents have; docs has text and doc, which tells documents apart; expected is about the number of hashes.
+    """(doc, places) of the hashes that find gives (hash, text, place) for texts and that at least two documents have; docs has text and doc, which tells documents apart; expected is about the number of hashes. A doc may have several rows.
 
-    Hashes shared within a batch are settled there and only one of each travels on, so what
-    stands in very many documents sends at most one row per batch. Rows carry the hashes of a batch in one range of hashes as packed arrays.
+    Places whose hash two documents of a batch share are settled: they stay with their document, and one of each hash travels
+    on, so what stands in very many documents sends at most one place per batch. What travels is packed, by batch and range of hashes.
     """
 
     ranges = max(LEAST_RANGES, expected // HASHES_IN_RANGE)
@@ -66,17 +67,16 @@ def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarra
             settled = several(hashes, owner)
             first = np.concatenate([[True], hashes[1:] != hashes[:-1]]) if len(hashes) else np.zeros(0, bool)
             part = (hashes % np.uint64(ranges)).astype(np.int64)
-            travels = ~settled | first
+            by = np.flatnonzero(~settled | first)
+            by = by[np.lexsort((place[by], owner[by], part[by]))]
+            bounds = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1], [True]])) if len(by) else []
             rows = []
-            for direct, chosen in ((False, travels), (True, settled)):
-                by = np.flatnonzero(chosen)
-                by = by[np.lexsort((place[by], owner[by], part[by]))]
-                bounds = np.flatnonzero(np.concatenate([[True], part[by][1:] != part[by][:-1], [True]])) if len(by) else []
-                for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-                    own = by[a:b]
-                    docs_, counts = np.unique(owner[own], return_counts=True)
-                    rows.append((int(part[own[0]]), direct, docs_.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.diff(place[own], prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), b"" if direct else (hashes[own] // np.uint64(ranges)).astype("<u4").tobytes()))
-            yield pd.DataFrame(rows, columns=["part", "direct", "docs", "counts", "steps", "hashes"], dtype=object)
+            for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+                own = by[a:b]
+                docs_, counts = np.unique(owner[own], return_counts=True)
+                rows.append((int(part[own[0]]), docs_.astype("<i8").tobytes(), counts.astype("<u4").tobytes(), np.diff(place[own], prepend=0).astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes(), (hashes[own] // np.uint64(ranges)).astype("<u4").tobytes(), None, None))
+            rows += [(None,) * 5 + (int(d), p) for d, p in by_owner(owner[settled], place[settled])]
+            yield pd.DataFrame(rows, columns=["part", "docs", "counts", "steps", "hashes", "doc", "places"], dtype=object)
 
     def gather(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
         out = []
@@ -84,23 +84,28 @@ def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarra
             rows = frame.iloc[a:b]
             owner = np.repeat(np.frombuffer(b"".join(rows["docs"]), "<i8"), np.frombuffer(b"".join(rows["counts"]), "<u4"))
             place = np.concatenate([np.cumsum(np.ascontiguousarray(np.frombuffer(s, np.uint8).reshape(4, -1).T).view("<i4").reshape(-1)) for s in rows["steps"]])
-            sizes = [len(s) // 4 for s in rows["steps"]]
-            direct = np.repeat(rows["direct"].to_numpy().astype(bool), sizes)
             hashes = np.frombuffer(b"".join(rows["hashes"]), "<u4")
-            keep = direct.copy()
-            open_ = np.flatnonzero(~direct)
             order = np.argsort(hashes, kind="stable")
-            keep[open_[order]] = several(hashes[order], owner[open_[order]])
-            owner, place = owner[keep], place[keep]
-            order = np.lexsort((place, owner))
-            owner, place = owner[order], place[order]
-            docs_, first = np.unique(owner, return_index=True)
-            if len(docs_):
-                out.append(pd.DataFrame({"doc": docs_, "places": np.split(place.astype(np.int32), first[1:])}))
-        return pd.concat(out) if out else pd.DataFrame()
-
-    found = map_frames(docs.select("doc", "text"), scatter, "part long, direct boolean, docs binary, counts binary, steps binary, hashes binary")
-    return in_groups(found, ["part"], gather, "doc long, places array<int>")
+            keep = order[several(hashes[order], owner[order])]
+            out += by_owner(owner[keep], place[keep])
+        return pd.DataFrame(out, columns=["doc", "places"])
+
+    found = stored(map_frames(docs.select("doc", "text"), scatter, "part long, docs binary, counts binary, steps binary, hashes binary, doc long, places array<int>"), "hash-places")
+    travelled = in_groups(found.where("part is not null").select("part", "docs", "counts", "steps", "hashes"), ["part"], gather, "doc long, places array<int>")
+    return found.where("doc is not null").select("doc", "places").union(travelled)
+
+
+def by_owner(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Sorted places of each owner."""
+    order = np.lexsort((place, owner))
+    owner, place = owner[order], place[order].astype(np.int32)
+    names, first = np.unique(owner, return_index=True)
+    return list(zip(names.tolist(), np.split(place, first[1:]), strict=True)) if len(names) else []
+
+
+def second_hash(text: Column) -> Column:
+    """60 bits of another hash: with xxhash64 they tell texts apart."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:

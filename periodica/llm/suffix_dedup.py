@@ -14,11 +14,13 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import in_groups, map_frames, mix64, powers, stored
+from periodica.llm.common import freed, in_groups, map_frames, mix64, powers, stored
 from periodica.llm.deep_shallow import sort
-from periodica.llm.shared_hashes import packed_texts, shared_places, sliding
+from periodica.llm.shared_hashes import packed_texts, second_hash, shared_places, sliding
 
 GRAM = 20
+#: Slices of one anchor that a task sorts at most.
+HOT = 20_000
 #: Ids that stand in for missing ones, and sort after all others.
 LAST = (1 << 63) - 1
 
@@ -65,26 +67,26 @@ def starts(hashes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 
 
 def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) -> DataFrame:
-    """What stands around each shared anchor: (gram, slice, rank, text_hash, place, left, right), for the first document of each text; left is reversed, and both reach as far as runs go of which the anchor is the least: each run is judged at one anchor, the same in all texts."""
+    """What stands around each shared anchor: (slice, other, rank, doc, text_hash, place, left, right), for the first document of each text; left is reversed, and both reach as far as runs go of which the anchor is the least: each run is judged at one anchor, the same in all texts. slice and other, two hashes, tell pairs of left and right apart."""
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
             rows = []
-            for rank, text_hash, packed, places in zip(batch["rank"], batch["text_hash"], batch["packed"], batch["places"], strict=True):
+            for rank, doc, text_hash, packed, places in zip(batch["rank"], batch["doc"], batch["text_hash"], batch["packed"], batch["places"], strict=True):
                 text = unpack.decompress(packed)
                 at = np.unique(np.concatenate(list(places))).astype(np.int64)
+                at = at[at <= len(text) - GRAM]
                 first, last = starts(gram_hashes([text]), at, length)
                 for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
                     if a <= b:
-                        rows.append((rank, text_hash, p, text[a:p][::-1], text[p : b + length]))
-            yield pd.DataFrame(rows, columns=["rank", "text_hash", "place", "left", "right"], dtype=object)
+                        rows.append((rank, doc, text_hash, p, text[a:p][::-1], text[p : b + length]))
+            yield pd.DataFrame(rows, columns=["rank", "doc", "text_hash", "place", "left", "right"], dtype=object)
 
     gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places")).join(first, "doc")
-    packed = packed_texts(docs).join(gathered, "doc").where("rank = first").dropDuplicates(["doc"]).select("rank", "text_hash", "packed", "places")
-    rows = map_frames(packed, cut, "rank long, text_hash long, place int, left binary, right binary")
-    gram = F.xxhash64(F.substring("right", 1, GRAM))
-    return rows.select(gram.alias("gram"), F.xxhash64("left", "right").alias("slice"), "rank", "text_hash", "place", "left", "right")
+    packed = packed_texts(docs).join(gathered, ["doc", "text_hash"]).where("rank = first").dropDuplicates(["doc", "text_hash"]).select("rank", "doc", "text_hash", "packed", "places")
+    rows = map_frames(packed, cut, "rank long, doc long, text_hash long, place int, left binary, right binary")
+    return rows.select(F.xxhash64("left", "right").alias("slice"), F.xxhash64("right", F.lit(1), "left").alias("other"), "rank", "doc", "text_hash", "place", "left", "right")
 
 
 def matrix(parts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -93,7 +95,7 @@ def matrix(parts: pd.Series, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def verdicts(distinct: DataFrame, length: int) -> DataFrame:
-    """(slice, runs): for each distinct slice, runs of window starts before the anchor (from, to) that also stand in a document of rank first."""
+    """(slice, other, runs): for each distinct slice, runs of window starts before the anchor (from, to) that also stand in a document of rank first."""
     reach = length - GRAM
 
     def judge(frame: pd.DataFrame, cuts: np.ndarray) -> pd.DataFrame:
@@ -131,17 +133,30 @@ def verdicts(distinct: DataFrame, length: int) -> DataFrame:
             begin = row[bounds[i] : bounds[i + 1]]
             end = np.append(begin[1:], reach + 1) - 1
             runs.append([{"low": int(a), "high": int(b), "first": int(first[a, i])} for a, b in zip(begin, end, strict=True) if first[a, i] != LAST])
-        return pd.DataFrame({"slice": frame["slice"], "runs": runs})
+        return pd.DataFrame({"slice": frame["slice"], "other": frame["other"], "runs": runs})
+
+    return in_groups(distinct, ["gram"], judge, "slice long, other long, runs array<struct<low int, high int, first long>>")
 
-    return in_groups(distinct, ["gram"], judge, "slice long, runs array<struct<low int, high int, first long>>")
+
+def hot_verdicts(distinct: DataFrame, length: int) -> DataFrame:
+    """As verdicts, for anchors with so many different slices that no task should hold them: each run of length bytes over the anchor stands for itself, and the least rank of each is an aggregation."""
+    reach = length - GRAM
+    fits = F.filter(F.sequence(F.lit(0), F.lit(reach)), lambda j: (F.octet_length("left") >= j) & (F.octet_length("right") >= length - j))
+    each = distinct.select("slice", "other", "rank", F.explode(fits).alias("j"), "left", "right")
+    run = F.concat(F.hex(F.expr("substring(left, 1, j)")), F.lit(":"), F.hex(F.expr(f"substring(right, 1, {length} - j)")))
+    each = each.select("slice", "other", "rank", "j", F.md5(run).alias("run"))
+    first = each.groupBy("j", "run").agg(F.min("rank").alias("first"))
+    met = each.join(first, ["j", "run"]).select("slice", "other", F.struct(F.col("j").alias("low"), F.col("j").alias("high"), "first").alias("run"))
+    return met.groupBy("slice", "other").agg(F.array_sort(F.collect_list("run")).alias("runs"))
 
 
 def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """Cut from each document (doc_id, text) all bytes covered by a run of length bytes that also starts in a document with a smaller doc_id.
 
     Texts count as UTF-8 bytes and are taken whole; runs never cross documents; overlaps count, and all runs are judged on
-    the input. Of equal texts (by a 64-bit hash) only the first is looked into; all others are repeats as a whole. Work is spread by anchor hashes, distinct contexts and documents; contexts that many documents share are reduced to one
-    with their smallest doc_id before they meet, so no task gathers all occurrences of a passage.
+    the input. Of equal texts (by 124 bits of two hashes) only the first is looked into; all others are repeats as a whole. Work is spread by anchor hashes, distinct contexts and documents; contexts that many documents share are reduced to one
+    with their smallest doc_id before they meet, so no task gathers all occurrences of a passage. An anchor with more than HOT
+    different contexts is judged by an aggregation over its runs instead of by sorting.
 
     Null text is empty. Rows with one and the same doc_id never cut each other. Rows without doc_id count as last: they
     lose what any numbered row has, and cut nothing. Extra columns are ignored; an empty table gives no rows.
@@ -150,18 +165,24 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
     """
     if length <= GRAM:
         raise ValueError(f"length must be above {GRAM}")
-    text_hash = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = docs.select("doc_id", "text", text_hash.alias("text_hash"), text_hash.alias("doc"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
-    first = named.groupBy("doc").agg(F.min("rank").alias("first"))
+    text = F.coalesce("text", F.lit(""))
+    named = docs.select("doc_id", "text", second_hash(text).alias("text_hash"), F.xxhash64(text).alias("doc"), F.coalesce("doc_id", F.lit(LAST)).alias("rank"))
+    first = stored(named.groupBy("doc", "text_hash").agg(F.min("rank").alias("first")), "suffix-texts")
     size = named.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     shared = shared_places(named, lambda texts: anchors(texts, length), int(size * 2 / (length - GRAM + 2)))
     around = stored(slices(named, shared, first, length), "suffix-slices")
-    distinct = around.groupBy("gram", "slice").agg(F.min("rank").alias("rank"), F.first("left").alias("left"), F.first("right").alias("right"))
-    judged = verdicts(distinct, length).where(F.size("runs") > 0)
-    places = around.select("slice", "rank", "text_hash", "place").join(judged, "slice")
+    gram = F.xxhash64(F.substring("right", 1, GRAM))
+    distinct = stored(around.groupBy("slice", "other").agg(F.min("rank").alias("rank"), F.first("left").alias("left"), F.first("right").alias("right")).withColumn("gram", gram), "suffix-distinct")
+    many = distinct.groupBy("gram").count().where(F.col("count") > HOT).select("gram")
+    judged = verdicts(distinct.join(many, "gram", "left_anti"), length)
+    if many.take(1):
+        judged = judged.union(hot_verdicts(distinct.join(many, "gram"), length))
+    judged = stored(judged.where(F.exists("runs", lambda r: r["first"] < LAST)), "suffix-verdicts")
+    places = around.select("slice", "other", "rank", "doc", "text_hash", "place").join(judged, ["slice", "other"])
     hit = F.filter("runs", lambda r: r["first"] < F.col("rank"))
-    cut = places.select("rank", "text_hash", F.explode(F.transform(hit, lambda r: F.struct((F.col("place") - r["high"]).alias("start"), (F.col("place") - r["low"] + length).alias("end")))).alias("span"))
-    removed = first.join(cut.groupBy(F.col("text_hash").alias("doc")).agg(F.collect_set("span").alias("spans")), "doc", "left")
+    cut = places.select("doc", "text_hash", F.explode(F.transform(hit, lambda r: F.struct((F.col("place") - r["high"]).alias("start"), (F.col("place") - r["low"] + length).alias("end")))).alias("span"))
+    removed = stored(first.join(cut.groupBy("doc", "text_hash").agg(F.collect_set("span").alias("spans")), ["doc", "text_hash"], "left"), "suffix-removed")
+    freed(first, around, distinct, judged)
 
     def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
@@ -181,5 +202,5 @@ def remove_repeats(docs: DataFrame, length: int = 50) -> DataFrame:
                 out.append((doc_id, len(text), merged, b"".join([*kept, text[done:]])))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "spans", "kept"], dtype=object)
 
-    texts = packed_texts(named).join(removed, "doc").withColumn("later", F.col("rank") > F.col("first"))
+    texts = packed_texts(named).join(removed, ["doc", "text_hash"]).withColumn("later", F.col("rank") > F.col("first"))
     return map_frames(texts.select("doc_id", "packed", "later", "spans"), keep, "doc_id long, n_bytes long, spans array<struct<start int, end int>>, kept binary")

@@ -2,7 +2,9 @@ import hashlib
 import random
 from collections import defaultdict
 
-from periodica.llm import shared_hashes
+import pytest
+
+from periodica.llm import shared_hashes, suffix_dedup
 from periodica.llm.queries import op10_suffix_dedup
 
 
@@ -34,7 +36,9 @@ def test_odd_rows(spark, odd, odd_rows, none, tmp_path):
     assert got(spark, none, tmp_path / "b") == []
 
 
-def test_passages_at_all_offsets(spark, tmp_path, monkeypatch):
+@pytest.mark.parametrize("hot", [3, 20_000])
+def test_passages_at_all_offsets(spark, tmp_path, monkeypatch, hot):
+    monkeypatch.setattr(suffix_dedup, "HOT", hot)
     monkeypatch.setattr(shared_hashes, "BATCH_BYTES", 3000)
     random.seed(8)
     make = lambda n, letters="abcdefgh ": "".join(random.choice(letters) for _ in range(n))
