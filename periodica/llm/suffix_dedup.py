@@ -21,6 +21,8 @@ from periodica.llm.shared_hashes import packed_texts, second_hash, shared_places
 GRAM = 20
 #: Slices of one anchor that a task sorts at most.
 HOT = 20_000
+#: Slices that a task hands on together.
+ROWS_AT_ONCE = 50_000
 #: Ids that stand in for missing ones, and sort after all others.
 LAST = (1 << 63) - 1
 
@@ -69,6 +71,8 @@ def starts(hashes: np.ndarray, at: np.ndarray, length: int) -> tuple[np.ndarray,
 def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) -> DataFrame:
     """What stands around each shared anchor: (slice, other, rank, doc, text_hash, place, left, right), for the first document of each text; left is reversed, and both reach as far as runs go of which the anchor is the least: each run is judged at one anchor, the same in all texts. slice and other, two hashes, tell pairs of left and right apart."""
 
+    columns = ["rank", "doc", "text_hash", "place", "left", "right"]
+
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         unpack = zstandard.ZstdDecompressor()
         for batch in batches:
@@ -81,7 +85,10 @@ def slices(docs: DataFrame, shared: DataFrame, first: DataFrame, length: int) ->
                 for p, a, b in zip(at.tolist(), first.tolist(), last.tolist(), strict=True):
                     if a <= b:
                         rows.append((rank, doc, text_hash, p, text[a:p][::-1], text[p : b + length]))
-            yield pd.DataFrame(rows, columns=["rank", "doc", "text_hash", "place", "left", "right"], dtype=object)
+                if len(rows) > ROWS_AT_ONCE:
+                    yield pd.DataFrame(rows, columns=columns, dtype=object)
+                    rows = []
+            yield pd.DataFrame(rows, columns=columns, dtype=object)
 
     gathered = shared.groupBy("doc").agg(F.collect_list("places").alias("places")).join(first, "doc")
     packed = packed_texts(docs).join(gathered, ["doc", "text_hash"]).where("rank = first").dropDuplicates(["doc", "text_hash"]).select("rank", "doc", "text_hash", "packed", "places")
