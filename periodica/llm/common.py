@@ -69,13 +69,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str) -> DataFrame:
-    """mapInPandas by way of Arrow batches, where whole numbers stay exact beside nulls."""
+def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, slice_bytes: int = 0) -> DataFrame:
+    """mapInPandas by way of Arrow batches, where whole numbers stay exact beside nulls; batches of more than slice_bytes come in several frames."""
 
     kind = to_arrow_schema(StructType.fromDDL(schema))
 
+    def frames(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            step = max(1, batch.num_rows * slice_bytes // max(1, batch.nbytes)) if slice_bytes else max(1, batch.num_rows)
+            for low in range(0, batch.num_rows, step):
+                yield batch.slice(low, step).to_pandas(integer_object_nulls=True)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for frame in function(b.to_pandas(integer_object_nulls=True) for b in batches):
+        for frame in function(frames(batches)):
             if len(frame):
                 yield from pa.Table.from_pandas(frame, schema=kind, preserve_index=False).to_batches()
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -15,13 +15,17 @@ from pyspark.sql import functions as F
 from periodica.llm.common import map_frames, stored
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIXES = (3, 4, 7)
-CACHE_WORDS = 300_000
+PREFIX = 4
+CACHE_WORDS = 200_000
+#: Postings of terms in more than 1 of so many examples are kept by block, with bounds; shorter ones are read whole.
+LONG = 64
+#: Texts are scored in frames of about so many bytes.
+SLICE_BYTES = 4 << 20
 
 
 def terms_of(word: str) -> list[str]:
-    """A word in lower case counts as itself and as its beginnings."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+    """A word in lower case counts as itself and as its first letters."""
+    return [word, word[:PREFIX] + "*"] if len(word) > PREFIX else [word]
 
 
 class Vocabulary(dict):
@@ -29,79 +33,99 @@ class Vocabulary(dict):
 
     def __init__(self, terms: list[str]):
         self.number = {t: i for i, t in enumerate(terms)}
-        self.begins = [(k, {t[:-1]: i for t, i in self.number.items() if t[-1] == "*" and len(t) == k + 1}) for k in PREFIXES]
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        own = (self.number[word],) if word in self.number else ()
-        for k, numbers in self.begins:
-            if len(word) > k and word[:k] in numbers:
-                own += (numbers[word[:k]],)
-        self[word] = own
+        self[word] = own = tuple(self.number[t] for t in terms_of(word) if t in self.number)
         return own
 
-    def counts(self, text: str | None) -> Counter:
+    def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the text's known terms, rising, and how often each stands in it."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        out: Counter = Counter()
-        for own in filter(None, map(self.__getitem__, WORD.findall((text or "").lower()))):
-            for i in own:
-                out[i] += 1
-        return out
+        found: list[int] = []
+        for own in map(self.__getitem__, WORD.findall((text or "").lower())):
+            found += own
+        return np.unique(np.array(found, np.int64), return_counts=True)
 
 
 @dataclass
 class BlockIndex:
-    """Postings by term and block of consecutive examples, and the largest weight of each term in each block."""
+    """Postings of each term, by example. Terms with long lists also have, for each block of consecutive examples, where their postings begin and their largest weight there."""
 
     size: int
     per_block: int
-    top: np.ndarray
     begin: np.ndarray
     example: np.ndarray
     weight: np.ndarray
+    long: np.ndarray
+    cells: np.ndarray
+    top: np.ndarray
 
     @classmethod
     def build(cls, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, per_block: int) -> BlockIndex:
-        example = np.repeat(np.arange(len(vectors)), [len(i) for i, _ in vectors])
+        n = len(vectors)
+        example = np.repeat(np.arange(n), [len(i) for i, _ in vectors])
         term = np.concatenate([np.zeros(0, np.int64), *(i for i, _ in vectors)])
         weight = np.concatenate([np.zeros(0), *(w for _, w in vectors)])
-        blocks = max(1, -(-len(vectors) // per_block))
-        cell = term * blocks + example // per_block
-        order = np.lexsort((example, cell))
-        top = np.zeros(terms * blocks)
-        np.maximum.at(top, cell, weight)
-        begin = np.searchsorted(cell[order], np.arange(terms * blocks + 1))
-        bounds = np.nextafter(top.reshape(terms, blocks).astype(np.float32), np.float32(2))  # never below
-        return cls(len(vectors), per_block, bounds, begin.astype(np.int32), example[order].astype(np.int32), weight[order])
+        order = np.lexsort((example, term))
+        term, example, weight = term[order], example[order], weight[order]
+        begin = np.searchsorted(term, np.arange(terms + 1))
+        blocks = max(1, -(-n // per_block))
+        many = np.flatnonzero(np.diff(begin) * LONG > n)
+        long = np.full(terms, -1)
+        long[many] = np.arange(len(many))
+        inside = long[term] >= 0 if len(term) else np.zeros(0, bool)
+        cell = long[term[inside]] * blocks + example[inside] // per_block
+        places = np.flatnonzero(inside)
+        ends = np.searchsorted(cell, np.arange(len(many) * blocks + 1))
+        cells = np.append(places, 0)[np.minimum(ends, len(places))] if len(many) else np.zeros(1, np.int64)
+        counts = np.diff(ends)
+        top = np.zeros(len(many) * blocks)
+        np.maximum.at(top, cell, weight[inside])
+        return cls(n, per_block, begin, example.astype(np.int32), weight, long.astype(np.int32), np.stack([cells[:-1], counts]).astype(np.int32), np.nextafter(top.reshape(-1, blocks), 2))  # bounds are never below
 
     def scored(self, weights: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Sums over runs of postings, one weight for each run."""
         ends = np.cumsum(count)
-        at = np.arange(ends[-1]) + np.repeat(low - (ends - count), count)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(low - (ends - count), count)
         return np.bincount(self.example[at], np.repeat(weights, count) * self.weight[at], self.size)
 
-    def blocks_scored(self, ids: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
-        cells = (ids[:, None] * self.top.shape[1] + blocks[None, :]).reshape(-1)
-        low = self.begin[cells]
-        return self.scored(np.repeat(weights, len(blocks)), low, self.begin[cells + 1] - low)
+    def blocks_scored(self, rows: np.ndarray, weights: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+        cells = (rows[:, None] * self.top.shape[1] + blocks[None, :]).reshape(-1)
+        return self.scored(np.repeat(weights, len(blocks)), self.cells[0, cells], self.cells[1, cells])
 
     def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine over 0 and their cosines, ties to the earlier: blocks whose bound cannot reach the k-th best found are not read, unless so few can be left out that whole lists are read faster."""
-        bound = weights @ self.top[ids]
-        blocks = len(bound)
-        first = -(-2 * k // self.per_block)
-        best = np.argpartition(-bound, first)[:first] if blocks > first else np.arange(blocks)
-        scores = self.blocks_scored(ids, weights, best)
-        least = np.partition(scores, len(scores) - k)[len(scores) - k] if len(scores) > k else 0.0
-        floor = max(least * (1 - 1e-6), 1e-12)
-        open_ = bound >= floor
-        open_[best] = False
-        if open_.sum() * 4 > blocks:
-            low = self.begin[ids * blocks]
-            scores = self.scored(weights, low, self.begin[(ids + 1) * blocks] - low)
-        elif open_.any():
-            scores += self.blocks_scored(ids, weights, np.flatnonzero(open_))
-        found = np.flatnonzero(scores >= floor)
+        """The k examples of largest cosine over 0 and their cosines, ties to the earlier.
+
+        Short lists are read whole. Of long lists only blocks are read whose bound, with what the short ones gave, reaches
+        the k-th best found in the most promising blocks; where most stay open, whole lists are read, with the same result.
+        """
+        row = self.long[ids]
+        short, far = row < 0, row >= 0
+        low = self.begin[ids]
+        count = self.begin[ids + 1] - low
+        scores = self.scored(weights[short], low[short], count[short])
+        if far.any():
+            blocks = self.top.shape[1]
+            padded = np.zeros(blocks * self.per_block)
+            padded[: self.size] = scores
+            bound = weights[far] @ self.top[row[far]] + padded.reshape(blocks, -1).max(axis=1)
+            first = -(-2 * k // self.per_block)
+            best = np.argpartition(-bound, first)[:first] if blocks > first else np.arange(blocks)
+            part = scores + self.blocks_scored(row[far], weights[far], best)
+            inside = (best[:, None] * self.per_block + np.arange(self.per_block)).reshape(-1)
+            inside = inside[inside < self.size]
+            least = np.partition(part[inside], len(inside) - k)[len(inside) - k] if len(inside) > k else 0.0
+            open_ = bound >= max(least * (1 - 1e-9), 1e-12)
+            open_[best] = False
+            if open_.sum() * 2 > blocks:
+                scores = scores + self.scored(weights[far], low[far], count[far])
+            else:
+                scores = part + self.blocks_scored(row[far], weights[far], np.flatnonzero(open_)) if open_.any() else part
+                closed = np.repeat(~open_, self.per_block)[: self.size]
+                closed[inside] = False
+                scores[closed] = 0.0  # below the k-th best, and not read to the end
+        found = np.flatnonzero(scores > 1e-12)
         if len(found) > 4 * k:
             found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
         found = found[np.lexsort((found, -scores[found]))][:k]
@@ -122,10 +146,10 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """terms and idf, the index over examples with a term, their labels and ids, the calibration, and the rate among examples without any term."""
+    """terms and their weights, the index over examples, their labels and ids, the calibration, and the rate among examples without any word."""
 
     terms: list[str]
-    idf: np.ndarray
+    term_weight: np.ndarray
     index: BlockIndex
     labels: np.ndarray
     ids: list[int | None]
@@ -133,31 +157,34 @@ class Model:
     bare_rate: float
     neighbours: int
 
-    def vector(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        ids = np.array(sorted(counts), np.int64)
-        weights = (1 + np.log([counts[i] for i in ids.tolist()])) * self.idf[ids]
+    def vector(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.term_weight[ids]
         return ids, weights / np.sqrt(weights @ weights) if len(ids) else weights
 
     def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
         """Share of toxic ones among the nearest examples, weighted by the square of their cosine; without leaves one example out."""
+        if not len(ids) or not self.index.size:
+            return -1.0, np.zeros(0, int)
         found, cosine = self.index.nearest(ids, weights, self.neighbours + (without >= 0))
         keep = found != without
         found, cosine = found[keep][: self.neighbours], cosine[keep][: self.neighbours]
         return float(cosine**2 @ self.labels[found] / (cosine @ cosine)) if len(found) else -1.0, found
 
-    def score(self, counts: Counter) -> tuple[float, np.ndarray, np.ndarray]:
+    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
         """Calibrated probability, examples nearest first, and the text's terms by weight."""
-        ids, weights = self.vector(counts)
-        vote, found = self.vote(ids, weights) if len(ids) and self.index.size else (-1.0, np.zeros(0, int))
+        ids, weights = self.vector(ids, counts)
+        vote, found = self.vote(ids, weights)
         rate = self.bare_rate if vote < 0 else float(np.interp(vote, *self.knots))
         return min(1.0, max(0.0, rate)), found, ids[np.argsort(-weights, kind="stable")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, least_gain: float, least_lift: float, neighbours: int, per_block: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, neighbours: int, per_block: int) -> Model:
     """A model from at most max_examples labelled documents outside the held-out quarter, the first in the order of a hash of their ids."""
+    spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)  # bounded, so it may be broadcast
-    examples = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]), "toxicity-examples")
+    named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    examples = stored(named.groupBy("doc_id", "is_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "toxicity-examples")
 
     def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -168,55 +195,67 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, max_terms: int, l
         yield pd.DataFrame({"term": both, "clean": [seen[0][t] for t in both], "toxic": [seen[1][t] for t in both]})
 
     sizes = {int(r[0]): r[1] for r in examples.groupBy("is_toxic").count().collect()}
-    n0, n1 = float(sizes.get(0, 0)), float(sizes.get(1, 0))
-    found = map_frames(examples, counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("a"), F.sum("toxic").alias("b")).where("a + b >= 4")
-    part = lambda seen, n: F.when(seen > 0, seen * F.log(seen / (n * (F.col("a") + F.col("b")) / max(n0 + n1, 1)))).otherwise(0.0)
-    rest = lambda seen, n: F.when(n - seen > 0, (n - seen) * F.log((n - seen) / (n * (1 - (F.col("a") + F.col("b")) / max(n0 + n1, 1))))).otherwise(0.0)
-    gain = 2 * (part(F.col("a"), F.lit(n0)) + part(F.col("b"), F.lit(n1)) + rest(F.col("a"), F.lit(n0)) + rest(F.col("b"), F.lit(n1)))
-    best = found.where(F.col("b") * n0 > least_lift * F.col("a") * n1).withColumn("gain", gain).where(F.col("gain") >= least_gain).orderBy(F.desc("gain"), "term").limit(max_terms).collect()
-    terms = sorted(r.term for r in best)
-    seen_in = {r.term: r.a + r.b for r in best}
-    idf = np.array([np.log((n0 + n1) / seen_in[t]) + 1 for t in terms])
+    rate = sizes.get(1, 0) / max(sum(sizes.values()), 1)
+    found = map_frames(examples, counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # terms of the bounded sample
+    terms, clean, toxic = (found.column(c).combine_chunks() for c in ("term", "clean", "toxic"))
+    order = np.array(sorted(range(len(terms)), key=terms.to_pylist().__getitem__), np.int64)
+    toxic = toxic.to_numpy()[order]
+    seen = clean.to_numpy()[order] + toxic
+    terms = terms.take(order).to_pylist()
+    lean = np.maximum(0, (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1))
+    term_weight = (np.log(sum(sizes.values()) / np.maximum(seen, 1)) + 1) * (floor + (1 - floor) * lean / max(lean.max(initial=0), 1e-9))
+    shared_terms = spark.sparkContext.broadcast(terms)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary = Vocabulary(terms)
+        vocabulary = Vocabulary(shared_terms.value)
         for batch in batches:
             counts = [vocabulary.counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "is_toxic": batch["is_toxic"], "ids": [sorted(c) for c in counts], "n": [[c[i] for i in sorted(c)] for c in counts]})
-
-    rows = map_frames(examples, coded, "doc_id long, is_toxic int, ids array<int>, n array<int>").collect()  # at most max_examples, of a few terms each
-    rows.sort(key=lambda r: (r.is_toxic, max(zip(r.n, r.ids, strict=True), default=(0, 0))[1], r.doc_id))
-    bare = [r.is_toxic for r in rows if not r.ids]
-    rows = [r for r in rows if r.ids]
-    prior = n1 / max(n0 + n1, 1)
-    model = Model(terms, idf, BlockIndex.build([], max(len(terms), 1), per_block), np.array([r.is_toxic for r in rows], float), [r.doc_id for r in rows], (np.zeros(1), np.array([prior])), (sum(bare) + prior) / (len(bare) + 1), neighbours)
-    vectors = [model.vector(Counter(dict(zip(r.ids, r.n, strict=True)))) for r in rows]
-    model.index = BlockIndex.build(vectors, max(len(terms), 1), per_block)
-    votes = np.array([model.vote(i, w, without=at)[0] for at, (i, w) in enumerate(vectors)])
-    if (votes >= 0).any():
-        model.knots = isotonic(votes[votes >= 0], model.labels[votes >= 0])
-    return model
-
-
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_terms: int = 6000, least_gain: float = 10.0, least_lift: float = 2.0, neighbours: int = 32, per_block: int = 64, carry: str = "") -> DataFrame:
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "is_toxic": batch["is_toxic"], "ids": [i for i, _ in counts], "n": [n for _, n in counts]})
+
+    rows = map_frames(examples, coded, "doc_id long, is_toxic int, ids array<int>, n array<int>", SLICE_BYTES).toArrow().to_pandas(integer_object_nulls=True)  # at most max_examples
+    bare = rows.loc[rows["ids"].map(len) == 0, "is_toxic"].to_numpy()
+    rows = rows[rows["ids"].map(len) > 0]
+    leading = np.array([i[n.argmax()] for i, n in zip(rows["ids"], rows["n"], strict=True)], np.int64)  # alike texts stand in the same blocks
+    rows = rows.iloc[np.lexsort((rows["doc_id"].to_numpy().astype(np.int64), leading, rows["is_toxic"].to_numpy().astype(np.int64)))] if len(rows) else rows
+    model = Model(terms, term_weight, BlockIndex.build([], len(terms), per_block), rows["is_toxic"].to_numpy().astype(float), rows["doc_id"].tolist(), (np.zeros(1), np.array([rate])), (bare.sum() + rate) / (len(bare) + 1), neighbours)
+    vectors = [model.vector(i.astype(np.int64), n) for i, n in zip(rows["ids"], rows["n"], strict=True)]
+    model.index = BlockIndex.build(vectors, len(terms), per_block)
+    shared = spark.sparkContext.broadcast(model)
+    place = spark.createDataFrame([(d, i) for i, d in enumerate(model.ids)], "doc_id long, place int")
+
+    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        m = shared.value
+        vocabulary = Vocabulary(m.terms)
+        for batch in batches:
+            yield pd.DataFrame({"place": batch["place"], "vote": [m.vote(*m.vector(*vocabulary.counts(t)), without=int(p))[0] for t, p in zip(batch["text"], batch["place"], strict=True)]})
+
+    votes = map_frames(examples.join(F.broadcast(place), "doc_id").repartition(spark.sparkContext.defaultParallelism).select("place", "text"), voted, "place int, vote double", SLICE_BYTES).toArrow().to_pandas()
+    vote, label = votes["vote"].to_numpy(), model.labels[votes["place"].to_numpy()]
+    shared_terms.destroy()
+    shared.destroy()
+    return replace(model, knots=isotonic(vote[vote >= 0], label[vote >= 0])) if (vote >= 0).any() else model
+
+
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: float = 0.05, neighbours: int = 32, per_block: int = 32, carry: str = "") -> DataFrame:
     """Probability that each document (doc_id, text) would be marked in labels (doc_id, toxic).
 
     Labelled examples are a bounded sample: at most max_examples labelled documents whose crc32 of doc_id modulo 4 is not
-    2, first in the order of a hash of doc_id. Terms are words and their first 3, 4 and 7 letters; the max_terms that
-    speak most for toxic examples (log-likelihood ratio of at least least_gain, and more than least_lift times as
-    frequent in toxic as in other examples) span the TF-IDF space. Nearest examples
-    are exact: a block of 64 examples is skipped only if its bound lies below the k-th best. Votes weigh the squared
+    2, first in the order of a hash of doc_id. Terms are words and their first 4 letters; all terms of the sample span the
+    TF-IDF space. A term's weight is its idf in the sample times a factor from floor to 1 that rises with how much more often than by
+    chance toxic examples have it (standardized, over the largest of all terms): no term is left out, but those that speak
+    of the class weigh most. Terms that no example has change no order of cosines and no vote. Nearest examples
+    are exact: a block of examples is skipped only if its bound lies below the k-th best. Votes weigh the squared
     cosine and are calibrated by isotonic regression on leave-one-out votes of the examples. Index and vocabulary are
-    bounded by these parameters and broadcast; all documents are scored by whole text where they lie.
+    bounded by the sample and broadcast; all documents are scored by whole text where they lie.
 
     Null text is empty. Texts without any of the terms get the (smoothed) rate of such examples; without any labels 0.
     Labels other than 0 and 1 are ignored, of contradicting ones the largest counts. Repeated doc_ids keep a row each, and the
-    first found text of them is the example. Extra columns are ignored; an empty table gives no rows.
+    text of the least hash among them is the example. Extra columns are ignored; an empty table gives no rows.
 
     Returns doc_id, held_out, score, neighbours (ids of the nearest examples), terms (up to 8 that weigh most), and the
     columns that carry names (DDL) as they are.
     """
-    model = fit(docs, labels, max_examples, max_terms, least_gain, least_lift, neighbours, per_block)
+    model = fit(docs, labels, max_examples, floor, neighbours, per_block)
     names = [c.split()[0] for c in carry.split(",") if c]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -224,11 +263,11 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 12_000, max_te
         m = shared.value
         vocabulary = Vocabulary(m.terms)
         for batch in batches:
-            out = [m.score(vocabulary.counts(t)) for t in batch["text"]]
+            out = [m.score(*vocabulary.counts(t)) for t in batch["text"]]
             kept = {c: batch[c] for c in names}
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": [[m.terms[i] for i in t[:8].tolist()] for _, _, t in out], **kept})
 
     columns = ["doc_id", *dict.fromkeys(["text", *names])]
-    scored = map_frames(docs.select(columns), run, "doc_id long, score double, neighbours array<long>, terms array<string>" + (f", {carry}" if carry else ""))
+    scored = map_frames(docs.select(columns), run, "doc_id long, score double, neighbours array<long>, terms array<string>" + (f", {carry}" if carry else ""), SLICE_BYTES)
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     return scored.select("doc_id", held_out.alias("held_out"), "score", "neighbours", "terms", *names)

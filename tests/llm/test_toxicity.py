@@ -48,6 +48,44 @@ def test_odd_rows(spark, odd, odd_rows, none):
     assert len(got) == len(odd_rows) and all(0 <= r.score <= 1 for r in got)
     assert toxicity.score(none, labels).count() == 0
     assert {r.score for r in toxicity.score(odd, labels.where(F.lit(False))).collect()} == {0.0}
+    long = spark.createDataFrame([(1, "word " * 300_000)], "doc_id long, text string")
+    assert toxicity.score(long, labels).count() == 1
     some = list(dict.fromkeys(t for w in ("abcdefgh", "abc", "abcd") for t in toxicity.terms_of(w)))
-    assert all(set(toxicity.Vocabulary(some).counts(w)) == {some.index(t) for t in toxicity.terms_of(w)} for w in ("abcdefgh", "abc"))
-    assert toxicity.Vocabulary(["ab", "abcd*"]).counts("Ab abcdef, abcd 9") == Counter({0: 1, 1: 1})
+    assert all(set(toxicity.Vocabulary(some).counts(w)[0]) == {some.index(t) for t in toxicity.terms_of(w)} for w in ("abcdefgh", "abc"))
+    assert [x.tolist() for x in toxicity.Vocabulary(["ab", "abcd*"]).counts("Ab abcdef, abcd 9 ab")] == [[0, 1], [2, 1]]
+
+
+def test_scores_equal_those_of_all_cosines(spark):
+    random = np.random.default_rng(5)
+    word = lambda toxic: "bad" + "xyz"[random.integers(3)] + "er" if toxic and random.random() < 0.2 else "".join(random.choice(list("aeioustn"), 3 + random.integers(3)))
+    rows = [(i, " ".join(word(i % 3 == 0) for _ in range(random.integers(20, 60))), int(i % 3 == 0)) for i in range(300)]
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(999, ""), (5, rows[5][1])], "doc_id long, text string")
+    got = {r.doc_id: r.score for r in toxicity.score(docs, spark.createDataFrame([(i, y) for i, _, y in rows], "doc_id long, toxic int"), neighbours=7, per_block=8).collect()}
+
+    terms = lambda t: Counter(x for w in t.lower().split() for x in ([w, w[:4] + "*"] if len(w) > 4 else [w]))
+    known = [(terms(t), y) for i, t, y in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    n, rate = len(known), np.mean([y for _, y in known])
+    seen, toxic = Counter(t for c, _ in known for t in c), Counter(t for c, y in known if y for t in c)
+    lean = {t: max(0, (toxic[t] - seen[t] * rate) / np.sqrt(seen[t] * rate * (1 - rate) + 1)) for t in seen}
+    weight = {t: (np.log(n / seen[t]) + 1) * (0.05 + 0.95 * lean[t] / max(lean.values())) for t in seen}
+    number = {t: i for i, t in enumerate(seen)}
+
+    def vector(counts):
+        v = np.zeros(len(seen))
+        for t, c in counts.items():
+            if t in number:
+                v[number[t]] = (1 + np.log(c)) * weight[t]
+        return v / max(np.sqrt(v @ v), 1e-300)
+
+    x, y = np.array([vector(c) for c, _ in known]), np.array([y for _, y in known])
+
+    def vote(v, without=-1):
+        cosine = x @ v
+        if without >= 0:
+            cosine[without] = 0
+        best = np.argsort(-cosine, kind="stable")[:7]
+        return (cosine[best] ** 2) @ y[best] / (cosine[best] @ cosine[best])
+
+    knots = toxicity.isotonic(np.array([vote(v, i) for i, v in enumerate(x)]), y)
+    off = [abs(got[i] - np.interp(vote(vector(terms(t))), *knots)) for i, t, _ in rows]
+    assert np.mean(np.array(off) < 1e-6) >= 0.98  # but for ties among the nearest
