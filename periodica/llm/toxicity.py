@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from periodica.llm.common import map_frames, stored
 
 WORD = re.compile(r"[^\W\d_]+")
-PREFIX = 4
+PREFIX = 5
 CACHE_WORDS = 200_000
 #: Postings of terms in more than 1 of so many examples are kept by block, with bounds; shorter ones are read whole.
 LONG = 64
@@ -42,10 +42,13 @@ class Vocabulary(dict):
         """Numbers of the text's known terms, rising, and how often each stands in it."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        found: list[int] = []
-        for own in map(self.__getitem__, WORD.findall((text or "").lower())):
-            found += own
-        return np.unique(np.array(found, np.int64), return_counts=True)
+        found: Counter = Counter()
+        for word, n in Counter(WORD.findall((text or "").lower())).items():
+            for i in self[word]:
+                found[i] += n
+        ids = np.fromiter(found, np.int64, len(found))
+        order = np.argsort(ids)
+        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order]
 
 
 @dataclass
@@ -82,7 +85,7 @@ class BlockIndex:
         counts = np.diff(ends)
         top = np.zeros(len(many) * blocks)
         np.maximum.at(top, cell, weight[inside])
-        return cls(n, per_block, begin, example.astype(np.int32), weight, long.astype(np.int32), np.stack([cells[:-1], counts]).astype(np.int32), np.nextafter(top.reshape(-1, blocks), 2))  # bounds are never below
+        return cls(n, per_block, begin, example, weight, long.astype(np.int32), np.stack([cells[:-1], counts]).astype(np.int32), np.nextafter(top.reshape(-1, blocks), 2))  # bounds are never below
 
     def scored(self, weights: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Sums over runs of postings, one weight for each run."""
@@ -240,7 +243,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: f
     """Probability that each document (doc_id, text) would be marked in labels (doc_id, toxic).
 
     Labelled examples are a bounded sample: at most max_examples labelled documents whose crc32 of doc_id modulo 4 is not
-    2, first in the order of a hash of doc_id. Terms are words and their first 4 letters; all terms of the sample span the
+    2, first in the order of a hash of doc_id. Terms are words and their first 5 letters; all terms of the sample span the
     TF-IDF space. A term's weight is its idf in the sample times a factor from floor to 1 that rises with how much more often than by
     chance toxic examples have it (standardized, over the largest of all terms): no term is left out, but those that speak
     of the class weigh most. Terms that no example has change no order of cosines and no vote. Nearest examples
