@@ -42,10 +42,10 @@ class Vocabulary(dict):
         """Numbers of the text's known terms, rising, and how often each stands in it."""
         if len(self) > CACHE_WORDS:
             self.clear()
-        found: Counter = Counter()
+        found: dict[int, int] = {}
         for word, n in Counter(WORD.findall((text or "").lower())).items():
             for i in self[word]:
-                found[i] += n
+                found[i] = found.get(i, 0) + n
         ids = np.fromiter(found, np.int64, len(found))
         order = np.argsort(ids)
         return ids[order], np.fromiter(found.values(), np.int64, len(found))[order]
