@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, Window, WindowSpec
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from periodica.functions.series import per_series
+
 SERIES = "series_id"
 
 
@@ -38,11 +41,13 @@ def lead(x: Column | str, n: int = 1) -> Column:
     return F.lead(x, n).over(along())
 
 
-def ema(x: str, span: int) -> Column:
-    """Exponential moving average without bias correction, of the values up to each bar; a recursion y = a x + (1 - a) y'.
+def emas(bars: DataFrame, x: str, spans: Sequence[int]) -> DataFrame:
+    """Exponential moving averages ema_<span> without bias correction, y = a x + (1 - a) y', in one pass over each series; gaps before the first value stay gaps, later ones carry the average on with their weight."""
+    names = {f"ema_{s}": s for s in spans}
+    kept = [f for f in bars.schema.fields if f.name != SERIES]
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        return frame.assign(**{n: frame[x].astype(float).ewm(span=s, adjust=False).mean() for n, s in names.items()})
 
-    Far terms are below 1e-16 of the sum, so only the last 19 spans count, with the first value of the series as the start inside them.
-    """
-    a = 2.0 / (span + 1)
-    values = F.collect_list(F.col(x).cast("double")).over(along().rowsBetween(-(19 * span), 0))
-    return F.aggregate(F.slice(values, 2, 19 * span + 1), F.element_at(values, 1), lambda y, v: v * a + y * (1 - a))
+    return per_series(bars, [f.name for f in kept if f.name != "ts"], lambda f: run(f)[[*[k.name for k in kept], *names]], kinds + "".join(f", {n} double" for n in names))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.rolling import along, lag, rolling, whole
+from periodica.functions.series import per_series
 
 TRADING_DAYS = 252
 
@@ -120,7 +123,7 @@ def preprocess(bars: DataFrame) -> DataFrame:
     """The chain: validate, fill, clip outliers of close and returns, detrend, scale, volatility."""
     out = iqr_clip(interpolate(validate(bars)), "close", to="close")
     out = iqr_clip(returns(out), "log_return", to="log_return")
-    return adjust(volatility(normalize(detrend_linear(out), "detrended")))
+    return adjust(volatility(normalize(detrend_hp(out), "detrended")))
 
 
 def summary(bars: DataFrame) -> DataFrame:
@@ -132,3 +135,48 @@ def summary(bars: DataFrame) -> DataFrame:
         (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("total_return"), (F.stddev_samp("log_return") * F.sqrt(year)).alias("annual_volatility"), (F.avg("log_return") * year).alias("annual_return"), F.min("fall").alias("max_drawdown"),
     )
     return grouped.withColumn("sharpe", F.col("annual_return") / (F.col("annual_volatility") + 1e-10))
+
+
+def hp_trend(x: np.ndarray, smoothness: float) -> np.ndarray:
+    """Trend of the Hodrick-Prescott filter: the solution of (I + smoothness D'D) t = x for second differences D, by one factorization of the five-banded matrix."""
+    n = len(x)
+    if n < 3:
+        return x.copy()
+    main, one, two = np.ones(n), np.zeros(n), np.zeros(n)
+    main[: n - 2] += smoothness
+    main[1 : n - 1] += 4 * smoothness
+    main[2:] += smoothness
+    one[: n - 2] -= 2 * smoothness
+    one[1 : n - 1] -= 2 * smoothness
+    two[: n - 2] += smoothness
+    d, e, f, y = main.tolist(), one.tolist(), two.tolist(), x.tolist()
+    for i in range(n):  # L D L' in place: d is D, e and f hold L below the diagonal
+        if i >= 1:
+            d[i] -= e[i - 1] ** 2 * d[i - 1]
+            y[i] -= e[i - 1] * y[i - 1]
+            if i + 1 < n:
+                e[i] -= f[i - 1] * e[i - 1] * d[i - 1]
+        if i >= 2:
+            d[i] -= f[i - 2] ** 2 * d[i - 2]
+            y[i] -= f[i - 2] * y[i - 2]
+        if i + 1 < n:
+            e[i] /= d[i]
+        if i + 2 < n:
+            f[i] /= d[i]
+    t = [v / w for v, w in zip(y, d, strict=True)]
+    for i in range(n - 2, -1, -1):
+        t[i] -= e[i] * t[i + 1] + (f[i] * t[i + 2] if i + 2 < n else 0.0)
+    return np.array(t)
+
+
+def detrend_hp(bars: DataFrame, column: str = "close", smoothness: float = 1600.0, to: str = "detrended") -> DataFrame:
+    """What remains over the Hodrick-Prescott trend of each series' values; gaps stay gaps."""
+    kept = [f for f in bars.schema.fields if f.name not in ("series_id", to)]
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[column].to_numpy(float, na_value=np.nan)
+        out, ok = np.full(len(x), np.nan), np.isfinite(x)
+        out[ok] = x[ok] - hp_trend(x[ok], smoothness)
+        return frame[[f.name for f in kept]].assign(**{to: out})
+
+    return per_series(bars, [f.name for f in kept if f.name != "ts"], run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept) + f", {to} double")

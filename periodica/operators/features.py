@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.functions.rolling import along, ema, lag, lead, rolling
+from periodica.functions.rolling import along, emas, lag, lead, rolling
 
 HORIZONS = (1, 2, 3, 5, 10, 20, 40, 60, 120, 252)
 EPS = 1e-10
@@ -80,10 +80,11 @@ def volume_and_range(bars: DataFrame) -> DataFrame:
 
 
 def macd(bars: DataFrame) -> DataFrame:
-    """Moving average convergence, and spreads of exponential averages as a share of close."""
-    out = bars.withColumn("macd", ema("close", 12) - ema("close", 26))
-    out = out.withColumn("macd_signal", ema("macd", 9)).withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
-    return out.withColumns({f"ema_spread_{a}_{b}": (ema("close", a) - ema("close", b)) / F.col("close") for a, b in ((9, 21), (21, 55), (50, 200))})
+    """Moving average convergence, and spreads of exponential averages as a share of close; each column is one pass over the series."""
+    out = emas(bars, "close", (9, 12, 21, 26, 50, 55, 200)).withColumn("macd", F.col("ema_12") - F.col("ema_26"))
+    out = out.withColumns({f"ema_spread_{a}_{b}": (F.col(f"ema_{a}") - F.col(f"ema_{b}")) / F.col("close") for a, b in ((9, 21), (21, 55), (50, 200))})
+    out = out.drop(*[f"ema_{n}" for n in (9, 12, 21, 26, 50, 55, 200)])
+    return emas(out, "macd", (9,)).withColumnRenamed("ema_9", "macd_signal").withColumn("macd_histogram", F.col("macd") - F.col("macd_signal"))
 
 
 def rolling_autocorrelation(bars: DataFrame, width: int = 60) -> DataFrame:

@@ -2,22 +2,48 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.rolling import along, rolling, whole
+from periodica.functions.series import finite, per_series, windows, z_scored
 from periodica.operators.cleaning import numbered, returns
 
 
-def extrema(bars: DataFrame, column: str = "close", order: int = 5) -> DataFrame:
-    """Bars above (max) or below (min) all order bars on either side; no bar at an end of the series qualifies."""
-    before, after = along().rowsBetween(-order, -1), along().rowsBetween(1, order)
-    x = F.col(column)
-    kind = F.when((x > F.max(x).over(before)) & (x > F.max(x).over(after)), "max").when((x < F.min(x).over(before)) & (x < F.min(x).over(after)), "min")
-    return numbered(bars).withColumn("kind", kind).where("kind is not null").select("series_id", "bar", "ts", "kind", column)
+def extrema(bars: DataFrame, column: str = "close", order: int | None = None) -> DataFrame:
+    """Bars above (max) or below (min) all order bars on either side, a hundredth of the series but 3 at least if not given; no bar at an end of the series qualifies."""
+    if order is not None:
+        before, after = along().rowsBetween(-order, -1), along().rowsBetween(1, order)
+        x = F.col(column)
+        kind = F.when((x > F.max(x).over(before)) & (x > F.max(x).over(after)), "max").when((x < F.min(x).over(before)) & (x < F.min(x).over(after)), "min")
+        return numbered(bars).withColumn("kind", kind).where("kind is not null").select("series_id", "bar", "ts", "kind", column)
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[column].to_numpy(float)
+        wide, n = max(3, len(x) // 100), len(x)
+        near = windows(np.concatenate([np.full(wide, np.nan), x, np.full(wide, np.nan)]), 2 * wide + 1)
+        others = np.delete(near, wide, axis=1)
+        inside = (np.arange(n) > 0) & (np.arange(n) < n - 1)
+        with np.errstate(invalid="ignore"):
+            top = inside & (np.where(np.isnan(others), -np.inf, others).max(axis=1, initial=-np.inf) < x)
+            bottom = inside & (np.where(np.isnan(others), np.inf, others).min(axis=1, initial=np.inf) > x)
+        at = np.flatnonzero(top | bottom)
+        return pd.DataFrame({"bar": at, "ts": frame["ts"].iloc[at].to_numpy(), "kind": np.where(top[at], "max", "min"), column: x[at]})
+
+    return per_series(bars, [column], find, f"bar int, ts timestamp_ntz, kind string, {column} double")
+
 
+def turning_sequences(found: DataFrame, lengths: tuple[int, ...] = (2, 3, 4), least: int = 3, top: int = 3) -> DataFrame:
+    """The most frequent runs of each of lengths of steps, as in steps_runs."""
+    out = [steps_runs(found, n, least, top).withColumn("length", F.lit(n)) for n in lengths]
+    return reduce(DataFrame.union, out)
 
-def turning_sequences(found: DataFrame, length: int = 2, least: int = 3, top: int = 3) -> DataFrame:
+
+def steps_runs(found: DataFrame, length: int = 2, least: int = 3, top: int = 3) -> DataFrame:
     """The most frequent runs of length steps (bars to, and kind of, the next extremum) of each series."""
     step = F.concat_ws(":", F.col("bar") - F.lag("bar").over(Window.partitionBy("series_id").orderBy("bar")), "kind")
     steps = found.withColumn("step", F.when(F.lag("bar").over(Window.partitionBy("series_id").orderBy("bar")).isNotNull(), step)).where("step is not null")
@@ -45,8 +71,8 @@ def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (5, 20)) -> Dat
 
 
 def regime_label(mean: Column, deviation: Column) -> Column:
-    """Bounds of mean and deviation of daily returns."""
-    return F.when((mean > 0.001) & (deviation < 0.01), "bull_quiet").when(mean > 0.001, "bull_volatile").when((mean < -0.001) & (deviation < 0.01), "bear_quiet").when(mean < -0.001, "bear_volatile").otherwise("sideways")
+    """Bounds of mean and deviation of daily returns, and the labels."""
+    return F.when((mean > 0.001) & (deviation < 0.01), "trending_up_low_vol").when(mean > 0.001, "trending_up_high_vol").when((mean < -0.001) & (deviation < 0.01), "trending_down_low_vol").when(mean < -0.001, "trending_down_high_vol").otherwise("sideways_consolidation")
 
 
 def regime_statistics(states: DataFrame) -> DataFrame:
@@ -54,3 +80,180 @@ def regime_statistics(states: DataFrame) -> DataFrame:
     out = states.groupBy("series_id", "state").agg(F.count("*").alias("bars"), F.avg("log_return").alias("mean_return"), F.stddev_pop("log_return").alias("deviation"))
     out = out.withColumn("share", F.col("bars") / F.sum("bars").over(whole())).withColumn("sharpe", F.col("mean_return") / (F.col("deviation") + 1e-10))
     return out.withColumn("label", regime_label(F.col("mean_return"), F.col("deviation")))
+
+
+def motifs(bars: DataFrame, column: str = "close", width: int = 10, top: int = 5, tried: int = 10) -> DataFrame:
+    """Pairs of windows of width bars most alike by shape (z-scored distance), nearest first: of the tried windows of least distance to any other, those whose two places lie width apart or more and are not within half a width of one taken before."""
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        x, rows, used = finite(frame[column]), [], np.zeros(len(frame) + 1, bool)
+        shapes = z_scored(windows(x, width)) if len(x) >= 4 * width else np.zeros((0, width))
+        n = len(shapes)
+        best, at = np.full(n, np.inf), np.zeros(n, int)
+        for low in range(0, n, 512):
+            part = shapes[low : low + 512]
+            square = np.maximum(2 * width - 2 * (part @ shapes.T), 0)
+            square[(np.abs(part).sum(axis=1) == 0)[:, None] ^ (np.abs(shapes).sum(axis=1) == 0)[None, :]] = width
+            near = np.abs(np.arange(low, low + len(part))[:, None] - np.arange(n)[None, :]) <= -(-width // 4)
+            square[near] = np.inf
+            at[low : low + 512] = square.argmin(axis=1)
+            best[low : low + 512] = np.sqrt(square.min(axis=1))
+        for i in np.argsort(best, kind="stable")[:tried]:
+            j = at[i]
+            if used[i] or used[j] or abs(i - j) < width or not np.isfinite(best[i]):
+                continue
+            for k in (i, j):
+                used[max(0, k - width // 2) : k + width // 2] = True
+            rows.append((len(rows) + 1, int(i), int(j), width, float(best[i]), float(1 / (1 + best[i]))))
+        return pd.DataFrame(rows[:top], columns=["rank", "start_a", "start_b", "width", "distance", "similarity"])
+
+    return per_series(bars, [column], find, "rank int, start_a int, start_b int, width int, distance double, similarity double")
+
+
+def k_means(x: np.ndarray, k: int, seed: int = 42, tries: int = 5, rounds: int = 100) -> tuple[np.ndarray, float]:
+    """Labels of the best of some seeded runs, started at points drawn by their squared distance from those before, and their sum of squared distances."""
+    random, best = np.random.default_rng(seed), (np.zeros(len(x), int), np.inf)
+    for _ in range(tries):
+        centre = x[[random.integers(len(x))]]
+        while len(centre) < k:
+            far = ((x[:, None] - centre[None]) ** 2).sum(axis=2).min(axis=1)
+            centre = np.vstack([centre, x[random.choice(len(x), p=far / far.sum()) if far.sum() > 0 else random.integers(len(x))]])
+        for _ in range(rounds):
+            square = (x * x).sum(axis=1)[:, None] - 2 * x @ centre.T + (centre * centre).sum(axis=1)
+            label = square.argmin(axis=1)
+            new = np.array([x[label == c].mean(axis=0) if (label == c).any() else centre[c] for c in range(k)])
+            if np.allclose(new, centre):
+                break
+            centre = new
+        loss = float(square.min(axis=1).sum())
+        if loss < best[1]:
+            best = (label, loss)
+    return best
+
+
+def silhouette(x: np.ndarray, label: np.ndarray, most: int = 500, seed: int = 42) -> float:
+    """Mean silhouette of at most most points, drawn by seed."""
+    some = np.random.default_rng(seed).permutation(len(x))[:most]
+    x, label = x[some], label[some]
+    names = np.unique(label)
+    if len(names) < 2:
+        return -1.0
+    apart = np.sqrt(np.maximum(((x[:, None] - x[None]) ** 2).sum(axis=2), 0))
+    sums = np.stack([apart[:, label == c].sum(axis=1) for c in names], axis=1)
+    counts = np.array([(label == c).sum() for c in names])
+    own = np.searchsorted(names, label)
+    inside = sums[np.arange(len(x)), own] / np.maximum(counts[own] - 1, 1)
+    means = sums / counts
+    means[np.arange(len(x)), own] = np.inf
+    outside = means.min(axis=1)
+    return float(np.where(counts[own] > 1, (outside - inside) / np.maximum(np.maximum(outside, inside), 1e-12), 0).mean())
+
+
+def shape_occurrences(bars: DataFrame, column: str = "close", widths: tuple[int, ...] = (10, 20, 40, 60, 120), least: int = 3, k: int | None = None) -> DataFrame:
+    """(series_id, pattern_id, width, cluster, start_bar, end_bar, similarity, forward_5, forward_20): z-scored windows at every quarter width, in clusters of each series and width; similarity is the cosine with the cluster's mean.
+
+    The number of clusters, 2 to min(12, windows / 5), has the largest silhouette if k is not given; clusters of fewer than least windows and widths of a third of the series or more are left out.
+    """
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        x, out = finite(frame[column]), []
+        steps = np.concatenate([[0.0], np.log(x[1:] / x[:-1])]) if len(x) and (x > 0).all() else np.full(len(x), np.nan)
+        total = np.concatenate([[0.0], np.cumsum(np.nan_to_num(steps))])
+        for width in widths:
+            step = max(1, width // 4)
+            starts = np.arange(0, max(0, len(x) - width), step)
+            if width >= len(x) // 3 or not len(starts):
+                continue
+            rows = windows(x, width)[starts]
+            lively = rows.std(axis=1) >= 1e-8
+            starts, rows = starts[lively], z_scored(rows[lively])
+            if len(rows) < 2 * least:
+                continue
+            clusters = k or (max(range(2, min(min(12, len(rows) // 5) + 1, len(rows))), key=lambda c: silhouette(rows, k_means(rows, c)[0]), default=2) if len(rows) >= 10 else 2)
+            label = k_means(rows, clusters, tries=10)[0]
+            for c in range(clusters):
+                own = np.flatnonzero(label == c)
+                if len(own) < least:
+                    continue
+                mean = rows[own].mean(axis=0)
+                cosine = rows[own] @ mean / np.maximum(np.linalg.norm(rows[own], axis=1) * np.linalg.norm(mean), 1e-10)
+                for i, s in zip(own, cosine, strict=True):
+                    end = int(starts[i]) + width
+                    ahead = [float(total[end + h] - total[end]) if end + h < len(x) else None for h in (5, 20)]
+                    out.append((f"shape_w{width}_c{c}", width, c, int(starts[i]), end, float(s), *ahead))
+        return pd.DataFrame(out, columns=["pattern_id", "width", "cluster", "start_bar", "end_bar", "similarity", "forward_5", "forward_20"])
+
+    return per_series(bars, [column], find, "pattern_id string, width int, cluster int, start_bar int, end_bar int, similarity double, forward_5 double, forward_20 double")
+
+
+def pattern_statistics(occurrences: DataFrame, most: int = 20) -> DataFrame:
+    """Per pattern of (series_id, pattern_id, start_bar, end_bar, similarity, forward_5): number, mean duration, lower quartile of similarity, and mean, deviation, hit rate and Sharpe-like ratio of forward returns; ranked by that ratio times the number."""
+    ahead = F.col("forward_5")
+    out = occurrences.groupBy("series_id", "pattern_id").agg(
+        F.count("*").alias("occurrence_count"), F.avg(F.col("end_bar") - F.col("start_bar")).alias("mean_duration"), F.percentile("similarity", F.lit(0.25)).alias("similarity_threshold"),
+        F.coalesce(F.avg(ahead), F.lit(0.0)).alias("mean_forward_return"), (F.coalesce(F.stddev_pop(ahead), F.lit(0.0)) + 1e-10).alias("std_forward_return"), F.coalesce(F.avg((ahead > 0).cast("double")), F.lit(0.0)).alias("hit_rate"),
+    )
+    out = out.withColumn("sharpe_like", F.col("mean_forward_return") / F.col("std_forward_return"))
+    place = F.row_number().over(whole().orderBy(F.desc(F.col("sharpe_like") * F.col("occurrence_count")), "pattern_id"))
+    return out.withColumn("rank", place).where(F.col("rank") <= most)
+
+
+def hidden_states(x: np.ndarray, states: int, seed: int = 42, rounds: int = 50, least_gain: float = 1e-2) -> np.ndarray:
+    """Most likely states of a Gaussian hidden Markov model with full covariances, fitted by expectation and maximization from clusters of the rows; states are numbered by the mean of the first column."""
+    n, d = x.shape
+    label = k_means(x, states, seed)[0]
+    start, move = np.full(states, 1 / states), np.full((states, states), 1 / states)
+    weight = np.eye(states)[label] + 1e-6
+    seen, likely = -np.inf, label
+    for _ in range(rounds):
+        mass = weight.sum(axis=0)
+        mean = weight.T @ x / mass[:, None]
+        spread = [((x - m) * w[:, None]).T @ (x - m) / s + 1e-3 * np.eye(d) for m, w, s in zip(mean, weight.T, mass, strict=True)]
+        log_density = np.stack([-0.5 * (np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(c), x - m) + np.linalg.slogdet(c)[1] + d * np.log(2 * np.pi)) for m, c in zip(mean, spread, strict=True)], axis=1)
+        base = log_density.max(axis=1)
+        density = np.exp(log_density - base[:, None])
+        ahead, scale, back = np.zeros((n, states)), np.zeros(n), np.ones((n, states))
+        now = start * density[0]
+        for t in range(n):
+            now = (now @ move) * density[t] if t else now
+            scale[t] = now.sum()
+            now = now / scale[t]
+            ahead[t] = now
+        for t in range(n - 2, -1, -1):
+            back[t] = move @ (density[t + 1] * back[t + 1]) / scale[t + 1]
+        weight = ahead * back
+        weight /= weight.sum(axis=1, keepdims=True)
+        met = move * (ahead[:-1].T @ (density[1:] * back[1:] / scale[1:, None]))
+        start, move = weight[0], met / met.sum(axis=1, keepdims=True)
+        now_seen = float(np.log(scale).sum() + base.sum())
+        if now_seen - seen < least_gain:
+            break
+        seen = now_seen
+    best, came = np.log(start + 1e-300) + log_density[0], np.zeros((n, states), int)
+    for t in range(1, n):
+        step = best[:, None] + np.log(move + 1e-300)
+        came[t] = step.argmax(axis=0)
+        best = step.max(axis=0) + log_density[t]
+    likely = np.zeros(n, int)
+    likely[-1] = best.argmax()
+    for t in range(n - 1, 0, -1):
+        likely[t - 1] = came[t][likely[t]]
+    rank = np.argsort(np.argsort(mean[:, 0]))
+    return rank[likely]
+
+
+def regimes(bars: DataFrame, states: int = 3, seed: int = 42) -> DataFrame:
+    """(series_id, bar, ts, log_return, state): hidden states of each series by its log return, 20-bar volatility (filled backwards) and 5-bar mean return, all standardized; series of fewer than 30 returns give none."""
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        step = np.log(frame["close"] / frame["close"].shift(1))
+        rows = pd.DataFrame({"r": step, "v": step.rolling(20).std().bfill(), "m": step.rolling(5).mean().fillna(0.0)})
+        ok = rows.notna().all(axis=1) & np.isfinite(rows).all(axis=1)
+        x = rows[ok].to_numpy()
+        if len(x) < 30:
+            return pd.DataFrame(columns=["bar", "ts", "log_return", "state"])
+        deviation = x.std(axis=0)
+        state = hidden_states((x - x.mean(axis=0)) / np.where(deviation > 0, deviation, 1.0), states, seed)
+        return pd.DataFrame({"bar": np.flatnonzero(ok), "ts": frame["ts"][ok], "log_return": x[:, 0], "state": state})
+
+    return per_series(bars, ["close"], find, "bar int, ts timestamp_ntz, log_return double, state int")

@@ -2,29 +2,85 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.functions.series import dtw, per_series, windows, z_scored
 from periodica.operators.cleaning import numbered
 
 
 def lag_correlation(left: DataFrame, right: DataFrame, most: int = 20, least: int = 30) -> DataFrame:
-    """Pearson correlation of value in left (series_id, ts, value) with value in right at every lag in rows: right's row ts + lag meets left's ts. An equi-join on the place in time."""
-    place = lambda df: df.withColumn("bar", F.dense_rank().over(Window.partitionBy("series_id").orderBy("ts")))
-    lagged = place(right).withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select(F.col("series_id").alias("other_id"), "lag", (F.col("bar") + F.col("lag")).alias("bar"), F.col("value").alias("other"))
-    met = place(left).join(lagged, "bar")
-    out = met.groupBy("series_id", "other_id", "lag").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    """Pearson correlation of value in left (series_id, ts, value) with value in right at every lag in rows of the two series' common times: right's row stands lag rows before left's. Pairs of one series with itself are left out."""
+    met = left.join(right.select(F.col("series_id").alias("other_id"), "ts", F.col("value").alias("other")), "ts").where("series_id != other_id")
+    order = Window.partitionBy("series_id", "other_id").orderBy("ts")
+    rows = met.select("series_id", "other_id", "value", "other", F.row_number().over(order).alias("bar"))
+    lagged = rows.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select("series_id", "other_id", "lag", (F.col("bar") + F.col("lag")).alias("bar"), "other")
+    out = rows.drop("other").join(lagged, ["series_id", "other_id", "bar"]).groupBy("series_id", "other_id", "lag").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
 
-def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
-    """Benjamini-Hochberg: corrected p and whether it is at most level, within the groups by. Values of p are counted first, so only distinct ones are ranked."""
-    counts = tests.groupBy(*by, p).agg(F.count("*").alias("_k"))
-    each = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("_rank", F.sum("_k").over(each.orderBy(p))).withColumn("_m", F.sum("_k").over(each))
-    fixed = F.least(F.min(F.col(p) * F.col("_m") / F.col("_rank")).over(each.orderBy(F.desc(p))), F.lit(1.0))
-    adjusted = ranked.withColumn("corrected", fixed).select(*by, p, "corrected")
-    return tests.join(adjusted, [*by, p]).withColumn("is_significant", F.col("corrected") <= level)
+def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05, by: tuple[str, ...] = (), buckets: int = 4096) -> DataFrame:
+    """Benjamini-Hochberg: corrected p and whether it is at most level, within the groups by. Values of p are counted first, so only distinct ones are ranked, by buckets of equal width whose totals (at most buckets rows a group) are summed before."""
+    counts = tests.groupBy(*by, p).agg(F.count("*").alias("_k")).withColumn("_b", F.floor(F.col(p) * buckets))
+    keys = list(by)
+    within = Window.partitionBy(*keys, "_b").orderBy(p)
+    group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
+    totals = counts.groupBy(*keys, "_b").agg(F.sum("_k").alias("_n"))
+    totals = totals.select(*keys, "_b", (F.sum("_n").over(group.orderBy("_b")) - F.col("_n")).alias("_before"), F.sum("_n").over(group).alias("_m"))
+    ranked = counts.join(totals, [*keys, "_b"]).withColumn("_raw", F.col(p) * F.col("_m") / (F.col("_before") + F.sum("_k").over(within)))
+    least = ranked.groupBy(*keys, "_b").agg(F.min("_raw").alias("_low"))
+    least = least.select(*keys, "_b", F.min("_low").over(group.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)).alias("_after"))
+    own = F.min("_raw").over(Window.partitionBy(*keys, "_b").orderBy(F.desc(p)))
+    adjusted = ranked.join(least, [*keys, "_b"]).select(*keys, p, F.least(own, "_after", F.lit(1.0)).alias("corrected"))
+    return tests.join(adjusted, [*keys, p]).withColumn("is_significant", F.col("corrected") <= level)
+
+
+def historical_analogs(bars: DataFrame, column: str = "close", lookback: int = 60, top: int = 10, separation: int = 30, method: str = "multi", horizons: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
+    """Past windows of lookback + 1 bars most like the last one of each series, by the Euclidean distance of their z-scored values, by time warping, or (multi) by the mean of both; those that begin within separation of a nearer one are left out, and none comes near the query.
+
+    (series_id, rank, start_bar, end_bar, start_ts, end_ts, similarity, distance, forward_<h> for each horizon, direction). Forward
+    returns are sums of log returns of close, 0 where the series ends before; no later bar takes part in the search.
+    """
+    ahead = [f"forward_{h}" for h in horizons]
+
+    def find(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame[frame[column].notna()].reset_index(drop=True)
+        x, log_close = frame[column].to_numpy(float), np.log(frame["close"].to_numpy(float))
+        names = ["rank", "start_bar", "end_bar", "start_ts", "end_ts", "similarity", "distance", *ahead, "direction"]
+        begin = len(x) - 1 - lookback
+        rows = windows(x, lookback + 1)[: max(0, begin - lookback - separation)]
+        if not len(rows):
+            return pd.DataFrame(columns=names)
+        query, apart = z_scored(x[None, begin:])[0], []
+        for low in range(0, len(rows), 16_384):
+            shapes = z_scored(rows[low : low + 16_384])
+            both = [np.linalg.norm(shapes - query, axis=1)] if method != "dtw" else []
+            apart.append(np.mean(both + ([dtw(query, shapes)] if method != "euclidean" else []), axis=0))
+        distance = np.concatenate(apart)
+        left, picked = distance.copy(), []
+        while len(picked) < max(50, top) and np.isfinite(left).any():
+            at = int(np.argmin(left))
+            picked.append(at)
+            left[max(0, at - separation + 1) : at + separation] = np.inf
+        largest = distance[picked[:50]].max() + 1e-10
+        out = []
+        for rank, at in enumerate(picked[:top]):
+            end = at + lookback
+            sums = [float(log_close[end + h] - log_close[end]) if end + h < len(x) - 1 else 0.0 for h in horizons]
+            out.append((rank + 1, at, end, frame["ts"][at], frame["ts"][end], float(np.clip(1 - distance[at] / largest, 0, 1)), float(distance[at]), *sums, "up" if sums[0] > 0.005 else "down" if sums[0] < -0.005 else "sideways"))
+        return pd.DataFrame(out, columns=names)
+
+    kinds = ", ".join(f"{c} double" for c in ahead)
+    return per_series(bars, list(dict.fromkeys([column, "close"])), find, f"rank int, start_bar int, end_bar int, start_ts timestamp_ntz, end_ts timestamp_ntz, similarity double, distance double, {kinds}, direction string")
+
+
+def analog_projection(found: DataFrame, horizons: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
+    """Forward returns of analogs weighed by similarity, and how far they agree: one row a series."""
+    weight = F.col("similarity") / (F.sum("similarity").over(Window.partitionBy("series_id")) + 1e-10)
+    out = found.withColumn("_w", weight).groupBy("series_id").agg(*[F.sum(F.col("_w") * F.col(f"forward_{h}")).alias(f"projected_{h}") for h in horizons], F.stddev_pop(f"forward_{horizons[0]}").alias("_s"), F.count("*").alias("n_analogs"))
+    return out.withColumn("confidence", F.least(F.greatest(1 - 10 * F.col("_s"), F.lit(0.1)), F.lit(0.99))).drop("_s")
 
 
 def analogs(bars: DataFrame, column: str = "close", width: int = 20, step: int = 5, top: int = 5) -> DataFrame:

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from periodica.functions.rolling import whole
+from periodica.functions.series import finite, per_series
 from periodica.operators.cleaning import numbered
 
 
@@ -27,11 +30,11 @@ def cycle_power(rows: DataFrame, keys: list[str]) -> DataFrame:
     )
     inside = lambda i: F.when((F.col("k0") + i - 1 >= 0) & (F.col("k0") + i - 1 <= F.col("half")), F.col(f"p{i}")).otherwise(0.0)
     total = (F.col("all") + F.col("zero") + F.col("last")) / 2
-    return sums.select(*keys, "period", F.greatest((inside(0) + inside(1) + inside(2)) / (total + 1e-10), F.lit(0.0)).alias("power"))
+    return sums.select(*keys, "n", "period", F.greatest((inside(0) + inside(1) + inside(2)) / (total + 1e-10), F.lit(0.0)).alias("power"))
 
 
 def walk_forward(bars: DataFrame, cycles: DataFrame, column: str = "close", detected: float = 0.01) -> DataFrame:
-    """Hopping windows of a fifth of each series (60 bars at least) for each cycle (series_id, period): share with the cycle, its mean power and spread, and its trend with half-life.
+    """Hopping windows of a fifth of each series (60 bars at least) for each cycle (series_id, period): windows with the cycle over all that fit, mean power and spread where it was found, and the trend of its power with half-life.
 
     Bars meet their windows by an equi-join on exploded window numbers, at most four or so for each bar.
     """
@@ -43,14 +46,18 @@ def walk_forward(bars: DataFrame, cycles: DataFrame, column: str = "close", dete
     low, high = F.greatest(F.ceil((F.col("bar") - F.col("n") + 1) / F.col("step")), F.lit(0)), F.least(F.floor(F.col("bar") / F.col("step")), last)
     rows = rows.where(high >= low).withColumn("window", F.explode(F.sequence(low, high)))
     rows = rows.withColumn("place", F.col("bar") - F.col("window") * F.col("step")).join(cycles.select("series_id", "period"), "series_id").where(F.col("n") >= F.greatest(F.lit(20), 3 * F.col("period")))
-    power = cycle_power(rows.withColumnRenamed("v", "x"), ["series_id", "window", "step"])
-    out = power.groupBy("series_id", "period", "step").agg(
-        F.avg((F.col("power") > detected).cast("double")).alias("detection_rate"), F.avg("power").alias("power_mean"), F.stddev_pop("power").alias("power_std"), F.count("*").alias("n_windows"),
-        F.regr_slope("power", "window").alias("slope"), F.regr_intercept("power", "window").alias("intercept"),
+    power = cycle_power(rows.withColumnRenamed("v", "x"), ["series_id", "window", "step", "total"])
+    hit = F.col("power") > detected
+    out = power.groupBy("series_id", "period", "step", "total").agg(
+        F.count_if(hit).alias("_hits"), F.avg(F.when(hit, F.col("power"))).alias("power_mean"), F.stddev_pop(F.when(hit, F.col("power"))).alias("power_std"), F.count("*").alias("_tested"),
+        F.regr_slope("power", "window").alias("slope"), F.regr_intercept("power", "window").alias("intercept"), F.first("n").alias("n"),
     )
-    fades = (F.col("n_windows") >= 4) & (F.col("slope") < 0) & (F.col("intercept") > 0)
-    out = out.withColumn("decay_per_year", F.when(F.col("n_windows") >= 4, -F.col("slope") * 252 / F.col("step")))
-    return out.withColumn("half_life_bars", F.when(fades, F.floor(F.col("intercept") / (2 * F.abs("slope")) * F.col("step")).cast("long")))
+    possible = F.greatest(F.floor((F.col("total") - F.col("n")) / F.col("step")), F.lit(1))
+    out = out.withColumn("n_windows", possible).withColumn("detection_rate", F.col("_hits") / possible).withColumn("period_cv", F.when(F.col("_hits") > 0, 0.0).otherwise(1.0))
+    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("power_mean", "power_std")})
+    fades = (F.col("_tested") >= 4) & (F.col("slope") < 0) & (F.col("intercept") > 0)
+    out = out.withColumn("decay_per_year", F.when(F.col("_tested") >= 4, -F.col("slope") * 252 / F.col("step")).otherwise(0.0))
+    return out.withColumn("half_life_bars", F.when(fades, F.floor(F.col("intercept") / (2 * F.abs("slope")) * F.col("step")).cast("long"))).drop("_hits", "_tested", "total", "n")
 
 
 def out_of_sample(bars: DataFrame, cycles: DataFrame, column: str = "close", share: float = 0.7) -> DataFrame:
@@ -63,10 +70,10 @@ def out_of_sample(bars: DataFrame, cycles: DataFrame, column: str = "close", sha
     return out.withColumn("oos_ratio", F.least(F.greatest(F.col("oos_power") / (F.col("is_power") + 1e-10), F.lit(0.0)), F.lit(2.0)))
 
 
-def stability_score(rate: Column, mean: Column, std: Column, ratio: Column, percentile: Column) -> Column:
-    """Detection, evenness, out-of-sample ratio and rank among surrogates, weighed together."""
+def stability_score(rate: Column, period_cv: Column, ratio: Column, percentile: Column) -> Column:
+    """Detection, evenness of the period, out-of-sample ratio and rank among surrogates, weighed together."""
     clip = lambda x: F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))
-    return 0.35 * rate + 0.20 * clip(1 - 2 * std / (mean + 1e-10)) + 0.25 * clip(1 - F.abs(ratio - 0.8) / 0.8) + 0.20 * clip((percentile - 0.8) / 0.2)
+    return 0.35 * clip(rate) + 0.20 * clip(1 - 2 * period_cv) + 0.25 * clip(1 - F.abs(ratio - 0.8) / 0.8) + 0.20 * clip((percentile - 0.8) / 0.2)
 
 
 def variance_thirds(bars: DataFrame, column: str = "log_return") -> DataFrame:
@@ -76,3 +83,111 @@ def variance_thirds(bars: DataFrame, column: str = "log_return") -> DataFrame:
     out = rows.groupBy("series_id").agg(var(0, 0.25).alias("v1"), var(0.25, 0.75).alias("v2"), var(0.75, 1).alias("v3"))
     out = out.withColumn("ratio_12", F.round(F.col("v1") / (F.col("v2") + 1e-10), 4)).withColumn("ratio_23", F.round(F.col("v2") / (F.col("v3") + 1e-10), 4))
     return out.withColumn("variance_stability", F.least(F.greatest(1 - 0.5 * F.abs(1 - F.col("ratio_12")), F.lit(0.0)), F.lit(1.0)))
+
+
+def share_at(rows: np.ndarray, period: float) -> np.ndarray:
+    """Share of the Hann-tapered power of each row in the three frequencies around 1 / period; 0 for fewer than 10 values or a period below 2."""
+    n = rows.shape[1]
+    if n < 10 or period < 2:
+        return np.zeros(len(rows))
+    power = np.abs(np.fft.rfft(rows * np.hanning(n), axis=1)) ** 2
+    at = int(np.argmin(np.abs(np.fft.rfftfreq(n) - 1 / period)))
+    return power[:, max(0, at - 1) : at + 2].sum(axis=1) / (power.sum(axis=1) + 1e-10)
+
+
+def surrogates(bars: DataFrame, cycles: DataFrame, column: str = "close", draws: int = 200, seed: int = 42) -> DataFrame:
+    """(series_id, period, percentile, is_significant): share of phase-randomized surrogates of each series in which its cycle (series_id, period) has less power. Seeded, so reruns agree."""
+
+    def rank(frame: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
+        if frame.empty or wanted.empty:
+            return pd.DataFrame(columns=["series_id", "period", "percentile"])
+        x = finite(frame.sort_values("ts")[column])
+        periods = wanted["period"].drop_duplicates().to_numpy()
+        size, random, below = np.abs(np.fft.rfft(x)), np.random.default_rng(seed), np.zeros(len(periods))
+        own = np.array([share_at(x[None], p)[0] for p in periods])
+        step = max(1, 4_000_000 // max(len(x), 1))
+        for low in range(0, draws, step):
+            turn = np.exp(1j * random.uniform(0, 2 * np.pi, (min(step, draws - low), len(size))))
+            turn[:, 0] = 1.0
+            if len(size) % 2 == 0:
+                turn[:, -1] = 1.0
+            null = np.fft.irfft(size * turn, n=len(x), axis=1)
+            below += [(share_at(null, p) < o).sum() for p, o in zip(periods, own, strict=True)]
+        return pd.DataFrame({"series_id": wanted["series_id"].iloc[0], "period": periods, "percentile": below / draws})
+
+    met = bars.select("series_id", "ts", column).groupBy("series_id").cogroup(cycles.select("series_id", "period").groupBy("series_id")).applyInPandas(rank, "series_id string, period double, percentile double")
+    return met.withColumn("is_significant", F.col("percentile") > 0.95)
+
+
+def stability(bars: DataFrame, cycles: DataFrame, column: str = "close", draws: int = 200, seed: int = 42, stable_from: float = 0.5) -> DataFrame:
+    """All tests of each cycle (series_id, period) together: walk-forward, out of sample, decay, surrogates, and the score with whether it reaches stable_from."""
+    names = ["series_id", "period"]
+    walk = walk_forward(bars, cycles, column).drop("step", "slope", "intercept")
+    sample = out_of_sample(bars, cycles, column)
+    out = cycles.select(names).distinct().join(walk, names, "left").join(sample, names, "left").join(surrogates(bars, cycles, column, draws, seed), names, "left")
+    out = out.na.fill(0.0, ["detection_rate", "power_mean", "power_std", "decay_per_year", "is_power", "oos_power", "oos_ratio"]).na.fill(1.0, ["period_cv"])
+    raw = F.col("oos_power") / (F.col("is_power") + 1e-10)
+    out = out.withColumn("stability_score", stability_score(F.col("detection_rate"), F.col("period_cv"), raw, F.col("percentile")))
+    return out.withColumn("is_stable", F.col("stability_score") >= stable_from)
+
+
+#: MacKinnon's surface for the p-value of a unit-root statistic with a constant (range, turning point, two polynomials), and critical values of the KPSS level statistic.
+UNIT_ROOT = {"least": -18.83, "most": 2.74, "turn": -1.61, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)}
+KPSS_LEVEL = {"statistic": (0.347, 0.463, 0.574, 0.739), "p": (0.10, 0.05, 0.025, 0.01)}
+
+
+def least_squares(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+    """Coefficients, their standard errors and the sum of squared residuals."""
+    inverse = np.linalg.pinv(x.T @ x)
+    b = inverse @ (x.T @ y)
+    rest = float(((y - x @ b) ** 2).sum())
+    return b, np.sqrt(np.diag(inverse) * rest / max(len(y) - x.shape[1], 1)), rest
+
+
+def unit_root_p(x: np.ndarray, most: int = 20) -> float:
+    """p-value of the augmented Dickey-Fuller test with a constant; the number of lagged differences, up to most, has the least Akaike criterion over one sample."""
+    change = np.diff(x)
+    most = min(most, len(change) // 2 - 2)
+    if most < 0 or not change.any():
+        return 1.0
+
+    def design(k: int, skip: int) -> tuple[np.ndarray, np.ndarray]:
+        lagged = [change[skip - j : len(change) - j] for j in range(1, k + 1)]
+        return np.column_stack([x[skip:-1], *lagged, np.ones(len(change) - skip)]), change[skip:]
+
+    def akaike(k: int) -> float:
+        a, y = design(k, most)
+        return len(y) * np.log(max(least_squares(a, y)[2], 1e-300) / len(y)) + 2 * a.shape[1]
+
+    k = min(range(most + 1), key=akaike)
+    b, error, _ = least_squares(*design(k, k))
+    t = b[0] / max(error[0], 1e-300)
+    if not UNIT_ROOT["least"] <= t <= UNIT_ROOT["most"]:
+        return 0.0 if t < UNIT_ROOT["least"] else 1.0
+    z = np.polyval(UNIT_ROOT["small" if t <= UNIT_ROOT["turn"] else "large"][::-1], t)
+    return 0.5 * math.erfc(-z / math.sqrt(2))
+
+
+def level_p(x: np.ndarray) -> float:
+    """p-value, between 0.01 and 0.1, of the KPSS test of stationarity about a level, with lags by Hobijn, Franses and Ooms."""
+    n, rest = len(x), x - x.mean()
+    product = lambda k: float(rest[k:] @ rest[: n - k])
+    s0, s1 = product(0) / n, 0.0
+    for k in range(1, int(n ** (2 / 9)) + 1):
+        s0 += 2 * product(k) / n
+        s1 += 2 * k * product(k) / n
+    lags = min(n - 1, int(1.1447 * ((s1 / s0) ** 2) ** (1 / 3) * n ** (1 / 3))) if s0 else 0
+    long_run = (product(0) + 2 * sum(product(k) * (1 - k / (lags + 1)) for k in range(1, lags + 1))) / n
+    statistic = float((rest.cumsum() ** 2).sum()) / n**2 / max(long_run, 1e-300)
+    return float(np.interp(statistic, KPSS_LEVEL["statistic"], KPSS_LEVEL["p"]))
+
+
+def stationarity(bars: DataFrame, column: str = "close") -> DataFrame:
+    """(series_id, adf_p, is_stationary_adf, kpss_p, is_stationary_kpss); series of fewer than 12 values count as not stationary."""
+
+    def judge(frame: pd.DataFrame) -> pd.DataFrame:
+        x = finite(frame[column])
+        root, level = (unit_root_p(x), level_p(x)) if len(x) >= 12 and x.std() > 0 else (1.0, 0.0)
+        return pd.DataFrame({"adf_p": [root], "is_stationary_adf": [root < 0.05], "kpss_p": [level], "is_stationary_kpss": [level > 0.05]})
+
+    return per_series(bars, [column], judge, "adf_p double, is_stationary_adf boolean, kpss_p double, is_stationary_kpss boolean")

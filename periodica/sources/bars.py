@@ -82,8 +82,15 @@ def preview(bars: DataFrame, rows: int = 100) -> DataFrame:
     return out.where(F.col("n") <= rows)
 
 
-def instrument_class(symbol: Column) -> Column:
-    """Kind of instrument by what its symbol contains, the first that fits."""
-    s = F.upper(symbol)
-    has = lambda *parts: s.rlike("|".join(parts))
-    return F.when(has("BTC", "ETH", "USDT", "CRYPTO"), "crypto").when(has("USD", "EUR", "GBP", "JPY", "INR="), "forex").when(has("GOLD", "SILVER", "CRUDE", "OIL"), "commodity").when(has("NIFTY", "SENSEX", "INDEX", "\\^"), "index").otherwise("stock")
+#: Parts of symbols by kind of instrument, in the order in which they are tried, and whole symbols of indexes.
+SYMBOL_PARTS = {"crypto": ("BTC", "ETH", "USDT", "BNB"), "forex": ("USD", "EUR", "GBP", "JPY", "FOREX"), "commodity": ("GOLD", "SILVER", "OIL", "CRUDE", "XAU", "XAG")}
+INDEX_SYMBOLS = ("^NSEI", "^BSESN", "^NSEBANK", "NIFTY", "BANKNIFTY")
+
+
+def instrument_class(symbol: Column, source: Column | None = None) -> Column:
+    """Kind of instrument: the first of crypto, forex and commodity of which the symbol holds a part, else index or stock; all of source ccxt is crypto."""
+    upper = F.upper(symbol)
+    kind = F.when(F.coalesce(source == "ccxt", F.lit(False)) if source is not None else F.lit(False), "crypto")
+    for name, parts in SYMBOL_PARTS.items():
+        kind = kind.when(upper.rlike("|".join(parts)), name)
+    return kind.when(upper.isin(*INDEX_SYMBOLS), "index").otherwise("stock")
