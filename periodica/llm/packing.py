@@ -18,8 +18,10 @@ from periodica.llm.common import map_frames, stored
 
 CACHE_PARTS = 350_000
 TEXTS_AT_ONCE = 512
-#: Beyond so many sources, sources share queues by hash.
-MAX_QUEUES = 4096
+#: Sources that a mixture may have; their totals go to the driver and to every task.
+MAX_QUEUES = 100_000
+#: Cells (windows times queues) of a segment at most, and of all segments and of all first tokens that a task keeps.
+SEGMENT_CELLS, KEPT_CELLS = 1 << 16, 1 << 22
 #: Characters that str.split takes for blanks and the tokenizer does not, and the start of special tokens.
 UNUSUAL = re.compile("[\x1c-\x1f]|<\\|")
 
@@ -166,8 +168,8 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 4096, end_
     token of each queue has a closed form, so deficits carry across segments too and tasks fill their windows without
     waiting for each other. A segment's last tokens make sequences of powers of two, so none needs padding.
 
-    Ids are written once to the shared folder and never shuffled. Only totals per task and source move. Sources
-    beyond 4,096 share queues by hash. Null text is empty: it gives end_id alone. A null source is a source of its own.
+    Ids are written once to the shared folder and never shuffled. Only totals per task and source move. Segments
+    are shorter where there are many sources; more than 100,000 are an error. Null text is empty: it gives end_id alone. A null source is a source of its own.
     Null or repeated doc_ids are packed like others; extra columns are ignored; an empty table gives no rows.
 
     Returns per piece: doc_id, source_key, start, length, ids (binary, unsigned 32-bit), ids_crc32, doc_tokens,
@@ -178,34 +180,32 @@ def pack(docs: DataFrame, tokenizer_path: str, sequence_length: int = 4096, end_
     coded = stored(tokenized(docs, tokenizer_path, end_id), "pack-ids")
     parts = coded.groupBy("source_key", "task").agg(F.sum("n").alias("n"))
     sources = [r[0] for r in parts.select("source_key").distinct().orderBy("source_key").limit(MAX_QUEUES + 1).collect()]
-    if len(sources) <= MAX_QUEUES:
-        queue = F.array_position(F.lit(sources or [""]), F.col("source_key")) - 1
-    else:
-        queue = F.pmod(F.xxhash64("source_key"), F.lit(MAX_QUEUES))
-    parts = parts.withColumn("queue", queue.cast("long"))
+    if len(sources) > MAX_QUEUES:
+        raise ValueError(f"more than {MAX_QUEUES} sources")
+    numbers = docs.sparkSession.createDataFrame(list(enumerate(sources)), "queue long, source_key string")
+    parts = parts.join(F.broadcast(numbers), "source_key")  # at most MAX_QUEUES rows
     before = Window.partitionBy("queue").orderBy("task", "source_key").rowsBetween(Window.unboundedPreceding, -1)
     base = parts.select("source_key", "task", "queue", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
     sums = {r[0]: int(r[1]) for r in parts.groupBy("queue").agg(F.sum("n")).collect()}  # at most MAX_QUEUES rows
     totals = [sums.get(q, 0) for q in range(max(sums, default=-1) + 1)]
     shares = [float(t) for t in totals]
     if weights is not None:
-        if len(sources) > MAX_QUEUES:
-            raise ValueError("weights need sources that do not share queues")
         shares = [float(weights.get(s[1:] if s[0] == "s" else None, 1)) for s in sources]
         if min(shares, default=1) <= 0:
             raise ValueError("weights must be positive")
     total = sum(totals)
+    segment_windows = max(1, min(segment_windows, SEGMENT_CELLS // max(1, len(totals))))
     segments = max(1, -(-total // (segment_windows * sequence_length)))
     natural = weights is None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        @lru_cache(maxsize=8192)
+        @lru_cache(maxsize=max(64, KEPT_CELLS // max(1, len(totals))))
         def first(p: int) -> list[int]:
             if natural or p == segments:
                 return [t * p // segments for t in totals]
             return taken_by(total * p // segments, totals, shares)
 
-        @lru_cache(maxsize=16)
+        @lru_cache(maxsize=max(4, KEPT_CELLS // (segment_windows * max(1, len(totals)))))
         def filled(p: int) -> tuple[np.ndarray, np.ndarray]:
             return round_robin(np.array(first(p + 1)) - np.array(first(p)), sequence_length)
 
