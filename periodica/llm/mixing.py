@@ -16,6 +16,8 @@ from periodica.llm.common import map_frames
 BLANKS = r"[^\x20\x09-\x0D]+"
 BUCKETS = 4096
 MAX_SOURCES = 100_000
+#: Blocks that are drawn at most, so that every draw is exact: beyond some 8 * 10**12 words blocks grow.
+MAX_BLOCKS = 400_000_000
 #: Slots of a shard that stay together, so that no task has to hold a whole shard.
 CHUNK = 64
 
@@ -95,11 +97,7 @@ def hypergeometric(random: np.random.Generator, good: int, bad: int, draws: int)
         return 0
     if not bad:
         return draws
-    if good + bad < 1_000_000_000:
-        return int(random.hypergeometric(good, bad, draws))
-    p, n = good / (good + bad), draws  # too many for numpy's exact draw: the normal limit, held to the exact range
-    spread = (n * p * (1 - p) * (good + bad - n) / (good + bad - 1)) ** 0.5
-    return int(np.clip(round(random.normal(n * p, spread)), max(0, n - bad), min(good, n)))
+    return int(random.hypergeometric(good, bad, draws))
 
 
 def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit: int = 3, block_words: int = 65_536, shard_blocks: int = 1024, seed: int = 7, carry: str = "") -> DataFrame:
@@ -108,7 +106,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit:
     A document's size is its number of words (runs of other characters than blanks). Sources in order of code points,
     null last, weigh 1, 2, 3, repeating (or weights); targets share the words of all, none above limit times its
     source. Each source's stream of documents, in an order fixed by hashes, is cut into blocks of block_words words
-    (smaller ones for a small source). A target takes the whole stream as often as it fits; of the rest, whole blocks
+    (smaller ones for a small source, larger ones where there would be more than MAX_BLOCKS). A target takes the whole stream as often as it fits; of the rest, whole blocks
     are drawn in a permuted order without repeats, and part of one more, so the words taken miss the target by less
     than one. Drawn blocks are dealt out over shards by the splitting tree, whose nodes any task works out from the
     seed, and take permuted slots within a shard: no draw is kept anywhere.
@@ -136,6 +134,7 @@ def mix(docs: DataFrame, weights: dict[str | None, float] | None = None, limit:
     aims = targets(sizes, weigh, limit)
     wholes = [min(limit, int(t // n)) if n else 0 for t, n in zip(aims, sizes, strict=True)]
     rests = [min(n, max(0, round(t - k * n))) if k < limit else 0 for t, n, k in zip(aims, sizes, wholes, strict=True)]
+    block_words = max(block_words, limit * sum(sizes) // MAX_BLOCKS)
     unit = [max(1, min(block_words, n // 64)) for n in sizes]
     counts = [-(-n // u) for n, u in zip(sizes, unit, strict=True)]
     quotas = [k * c + -(-r // u) for k, c, r, u in zip(wholes, counts, rests, unit, strict=True)]
@@ -198,7 +197,8 @@ def drawn(docs: DataFrame, **how: object) -> DataFrame:
     """The mix itself: docs (doc_id, text, source, lang, n_chars), a row for each part of a drawn block that one document fills, with these words as text; a text that one block takes whole stays as it is.
 
     Rows lie in the order of the deal: a partition holds runs of CHUNK slots of output shards, each block at its slot, so
-    neither copies of a document nor blocks of a source stand together. Also returns shard and slot.
+    neither copies of a document nor blocks of a source stand together. Also returns shard and slot. Null, empty and blank
+    texts are drawn nowhere; repeated rows are drawn like others; an empty table gives no rows.
     """
     word = re.compile(BLANKS)
 
