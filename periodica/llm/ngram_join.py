@@ -127,7 +127,7 @@ def depths(added: dict[tuple[int, int], int], similarity: float, recall: float)
     while 1 - np.prod([missed(d) for d in out]) < recall:
         open_trees = [t for t in range(TREES) if out[t] > FLOOR]
         if not open_trees:
-            break
+            raise ValueError(f"{TREES} tries of prefixes of {FLOOR} to {DEPTH} cannot reach a recall of {recall} at a similarity of {similarity}")
         gain = lambda t: np.log(missed(out[t])) - np.log(missed(out[t] - 1))
         t = min(open_trees, key=lambda t: ((1 + added.get((t, out[t] - 1), 0)) / gain(t), t))
         out[t] -= 1
@@ -187,7 +187,7 @@ def near_duplicates(docs: DataFrame, row: str = "doc_id", width: int = 5, simila
 
     Documents of one and the same set become one class. Signatures of 16 x 8 min-hashes of the classes stand in 16
     sorted prefix tries. All tries start at whole prefixes of 8; prefixes are shortened, one tree at a time and cheapest first,
-    until the modelled recall of a pair at the threshold reaches recall. Classes that meet in a trie form candidate
+    until the modelled recall of a pair at the threshold reaches recall (an error where prefixes of 4 cannot). Classes that meet in a trie form candidate
     groups, whose pairs are all compared exactly, in blocks of bounded size. Every document counts its links, copies
     included, without any pair being written.
 
@@ -229,7 +229,10 @@ def own(name: str, otherwise: Column) -> Column:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents (doc_id, text and more) of which near_duplicates keeps one of each group; all columns stay."""
+    """The documents (doc_id, text and more) of which near_duplicates keeps one of each group; all columns stay.
+
+    Null and blank texts all stay. Of rows equal in doc_id and text one stays. An empty table gives no rows.
+    """
     kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"), "size")
     kept = stored(kept.groupBy("kept_id", "kept_hash").agg(F.max("size").alias("size")), "ngram-kept")
     same = docs["doc_id"].eqNullSafe(F.col("kept_id")) & (F.xxhash64(docs["text"]) == F.col("kept_hash"))
