@@ -84,6 +84,7 @@ def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Itera
         for frame in function(frames(batches)):
             if len(frame):
                 yield from pa.Table.from_pandas(frame, schema=kind, preserve_index=False).to_batches()
+        pa.default_memory_pool().release_unused()  # workers live on for other stages
 
     return df.mapInArrow(run, schema)
 

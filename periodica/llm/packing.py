@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from periodica.llm.common import map_frames, stored
 
-CACHE_PARTS = 350_000
+CACHE_PARTS = 200_000
 TEXTS_AT_ONCE = 512
 #: Sources that a mixture may have; their totals go to the driver and to every task.
 MAX_QUEUES = 100_000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -16,7 +17,7 @@ from periodica.llm.common import map_frames, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
-CACHE_WORDS = 200_000
+CACHE_WORDS = 60_000
 #: Postings of terms in more than 1 of so many examples are kept by block, with bounds; shorter ones are read whole.
 LONG = 64
 #: Texts are scored in frames of about so many bytes.
@@ -28,27 +29,48 @@ def terms_of(word: str) -> list[str]:
     return [word, word[:PREFIX] + "*"] if len(word) > PREFIX else [word]
 
 
+def term_hash(term: str) -> int:
+    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
 class Vocabulary(dict):
-    """Numbers of the terms of a text; a dictionary of the words met."""
+    """Numbers of the terms of a text, which are places in a sorted array of hashes; a dictionary of the words met."""
 
-    def __init__(self, terms: list[str]):
-        self.number = {t: i for i, t in enumerate(terms)}
+    def __init__(self, hashes: np.ndarray):
+        self.hashes = hashes
 
-    def __missing__(self, word: str) -> tuple[int, ...]:
-        self[word] = own = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        return own
+    def learn(self, words: list[str]) -> None:
+        terms = [terms_of(w) for w in words]
+        wanted = np.array([term_hash(t) for own in terms for t in own], np.uint64)
+        place = np.searchsorted(self.hashes, wanted)
+        known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == wanted if len(self.hashes) else np.zeros(len(wanted), bool)
+        found = iter(np.where(known, place, -1).tolist())
+        for word, own in zip(words, terms, strict=True):
+            self[word] = tuple(i for i in [next(found) for _ in own] if i >= 0)
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's known terms, rising, and how often each stands in it."""
+        return self.counted(text)[:2]
+
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
+        """As counts, and a word of the text for each number."""
         if len(self) > CACHE_WORDS:
             self.clear()
+        words = Counter(WORD.findall((text or "").lower()))
+        self.learn([w for w in words if w not in self])
         found: dict[int, int] = {}
-        for word, n in Counter(WORD.findall((text or "").lower())).items():
+        owner: dict[int, str] = {}
+        for word, n in words.items():
             for i in self[word]:
                 found[i] = found.get(i, 0) + n
+                owner[i] = word
         ids = np.fromiter(found, np.int64, len(found))
         order = np.argsort(ids)
-        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order]
+        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order], owner
+
+    def term(self, i: int, word: str) -> str:
+        """The term of word that has number i."""
+        return next(t for t in terms_of(word) if int(self.hashes[i]) == term_hash(t))
 
 
 @dataclass
@@ -149,9 +171,9 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Model:
-    """terms and their weights, the index over examples, their labels and ids, the calibration, and the rate among examples without any word."""
+    """Hashes of terms in order and their weights, the index over examples, their labels and ids, the calibration, and the rate among examples without any word."""
 
-    terms: list[str]
+    hashes: np.ndarray
     term_weight: np.ndarray
     index: BlockIndex
     labels: np.ndarray
@@ -200,14 +222,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, nei
     sizes = {int(r[0]): r[1] for r in examples.groupBy("is_toxic").count().collect()}
     rate = sizes.get(1, 0) / max(sum(sizes.values()), 1)
     found = map_frames(examples, counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # terms of the bounded sample
-    terms, clean, toxic = (found.column(c).combine_chunks() for c in ("term", "clean", "toxic"))
-    order = np.array(sorted(range(len(terms)), key=terms.to_pylist().__getitem__), np.int64)
-    toxic = toxic.to_numpy()[order]
-    seen = clean.to_numpy()[order] + toxic
-    terms = terms.take(order).to_pylist()
+    hashes = np.array([term_hash(t) for t in found.column("term").to_pylist()], np.uint64)
+    order = np.argsort(hashes)
+    hashes, toxic = hashes[order], found.column("toxic").to_numpy()[order]
+    seen = found.column("clean").to_numpy()[order] + toxic
     lean = np.maximum(0, (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1))
     term_weight = (np.log(sum(sizes.values()) / np.maximum(seen, 1)) + 1) * (floor + (1 - floor) * lean / max(lean.max(initial=0), 1e-9))
-    shared_terms = spark.sparkContext.broadcast(terms)
+    shared_terms = spark.sparkContext.broadcast(hashes)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(shared_terms.value)
@@ -220,15 +241,15 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, nei
     rows = rows[rows["ids"].map(len) > 0]
     leading = np.array([i[n.argmax()] for i, n in zip(rows["ids"], rows["n"], strict=True)], np.int64)  # alike texts stand in the same blocks
     rows = rows.iloc[np.lexsort((rows["doc_id"].to_numpy().astype(np.int64), leading, rows["is_toxic"].to_numpy().astype(np.int64)))] if len(rows) else rows
-    model = Model(terms, term_weight, BlockIndex.build([], len(terms), per_block), rows["is_toxic"].to_numpy().astype(float), rows["doc_id"].tolist(), (np.zeros(1), np.array([rate])), (bare.sum() + rate) / (len(bare) + 1), neighbours)
+    model = Model(hashes, term_weight, BlockIndex.build([], len(hashes), per_block), rows["is_toxic"].to_numpy().astype(float), rows["doc_id"].tolist(), (np.zeros(1), np.array([rate])), (bare.sum() + rate) / (len(bare) + 1), neighbours)
     vectors = [model.vector(i.astype(np.int64), n) for i, n in zip(rows["ids"], rows["n"], strict=True)]
-    model.index = BlockIndex.build(vectors, len(terms), per_block)
+    model.index = BlockIndex.build(vectors, len(hashes), per_block)
     shared = spark.sparkContext.broadcast(model)
     place = spark.createDataFrame([(d, i) for i, d in enumerate(model.ids)], "doc_id long, place int")
 
     def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        vocabulary = Vocabulary(m.terms)
+        vocabulary = Vocabulary(m.hashes)
         for batch in batches:
             yield pd.DataFrame({"place": batch["place"], "vote": [m.vote(*m.vector(*vocabulary.counts(t)), without=int(p))[0] for t, p in zip(batch["text"], batch["place"], strict=True)]})
 
@@ -264,11 +285,15 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: f
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         m = shared.value
-        vocabulary = Vocabulary(m.terms)
+        vocabulary = Vocabulary(m.hashes)
         for batch in batches:
-            out = [m.score(*vocabulary.counts(t)) for t in batch["text"]]
+            out, terms = [], []
+            for text in batch["text"]:
+                ids, counts, owner = vocabulary.counted(text)
+                out.append(m.score(ids, counts))
+                terms.append([vocabulary.term(i, owner[i]) for i in out[-1][2][:8].tolist()])
             kept = {c: batch[c] for c in names}
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": [[m.terms[i] for i in t[:8].tolist()] for _, _, t in out], **kept})
+            yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": terms, **kept})
 
     columns = ["doc_id", *dict.fromkeys(["text", *names])]
     scored = map_frames(docs.select(columns), run, "doc_id long, score double, neighbours array<long>, terms array<string>" + (f", {carry}" if carry else ""), SLICE_BYTES)
