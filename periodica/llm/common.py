@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import tempfile
 import uuid
@@ -69,6 +70,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def give_back() -> None:
+    """Return memory that arrays and Arrow no longer use to the system: a worker lives on for other stages, beside others."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # only some C libraries can
+        pass
+
+
 def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str, slice_bytes: int = 0) -> DataFrame:
     """mapInPandas by way of Arrow batches, where whole numbers stay exact beside nulls; batches of more than slice_bytes come in several frames."""
 
@@ -84,7 +94,7 @@ def map_frames(df: DataFrame, function: Callable[[Iterator[pd.DataFrame]], Itera
         for frame in function(frames(batches)):
             if len(frame):
                 yield from pa.Table.from_pandas(frame, schema=kind, preserve_index=False).to_batches()
-        pa.default_memory_pool().release_unused()  # workers live on for other stages
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -10,6 +9,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,7 +17,7 @@ from periodica.llm.common import map_frames, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
-CACHE_WORDS = 60_000
+CACHE_WORDS = 150_000
 #: Postings of terms in more than 1 of so many examples are kept by block, with bounds; shorter ones are read whole.
 LONG = 64
 #: Texts are scored in frames of about so many bytes.
@@ -30,7 +30,7 @@ def terms_of(word: str) -> list[str]:
 
 
 def term_hash(term: str) -> int:
-    return int.from_bytes(hashlib.blake2b(term.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+    return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
 
 
 class Vocabulary(dict):
@@ -40,13 +40,12 @@ class Vocabulary(dict):
         self.hashes = hashes
 
     def learn(self, words: list[str]) -> None:
-        terms = [terms_of(w) for w in words]
-        wanted = np.array([term_hash(t) for own in terms for t in own], np.uint64)
+        whole, begin = [term_hash(w) for w in words], [term_hash(w[:PREFIX] + "*") if len(w) > PREFIX else 0 for w in words]
+        wanted = np.array([whole, begin], np.uint64)
         place = np.searchsorted(self.hashes, wanted)
-        known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == wanted if len(self.hashes) else np.zeros(len(wanted), bool)
-        found = iter(np.where(known, place, -1).tolist())
-        for word, own in zip(words, terms, strict=True):
-            self[word] = tuple(i for i in [next(found) for _ in own] if i >= 0)
+        known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == wanted if len(self.hashes) else np.zeros(wanted.shape, bool)
+        for word, a, b in zip(words, *np.where(known, place, -1).tolist(), strict=True):
+            self[word] = ((a, b) if b >= 0 else (a,)) if a >= 0 else ((b,) if b >= 0 else ())
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's known terms, rising, and how often each stands in it."""
