@@ -33,43 +33,45 @@ def term_hash(term: str) -> int:
     return xxhash.xxh3_64_intdigest(term.encode("utf-8", "surrogatepass"))
 
 
-class Vocabulary(dict):
-    """Numbers of the terms of a text, which are places in a sorted array of hashes; a dictionary of the words met."""
+class Vocabulary:
+    """Numbers of the terms of a text, which are places in a sorted array of hashes; the words met so far keep theirs, -1 for an unknown one."""
 
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
+        self.slots: dict[str, int] = {}
+        self.pairs = np.full((CACHE_WORDS, 2), -1, np.int32)
 
     def learn(self, words: list[str]) -> None:
-        whole, begin = [term_hash(w) for w in words], [term_hash(w[:PREFIX] + "*") if len(w) > PREFIX else 0 for w in words]
-        wanted = np.array([whole, begin], np.uint64)
+        begin = len(self.slots)
+        if begin + len(words) > len(self.pairs):  # one text of very many words
+            self.pairs = np.vstack([self.pairs, np.full((begin + len(words), 2), -1, np.int32)])
+        wanted = np.array([[term_hash(w) for w in words], [term_hash(w[:PREFIX] + "*") if len(w) > PREFIX else 0 for w in words]], np.uint64)
         place = np.searchsorted(self.hashes, wanted)
         known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == wanted if len(self.hashes) else np.zeros(wanted.shape, bool)
-        for word, a, b in zip(words, *np.where(known, place, -1).tolist(), strict=True):
-            self[word] = ((a, b) if b >= 0 else (a,)) if a >= 0 else ((b,) if b >= 0 else ())
+        self.pairs[begin : begin + len(words)] = np.where(known, place, -1).T
+        self.slots.update(zip(words, range(begin, begin + len(words)), strict=True))
 
     def counts(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the text's known terms, rising, and how often each stands in it."""
         return self.counted(text)[:2]
 
-    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray, dict[int, str]]:
-        """As counts, and a word of the text for each number."""
-        if len(self) > CACHE_WORDS:
-            self.clear()
+    def counted(self, text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str]]:
+        """As counts, and the text's words with the numbers of their terms, of whole words first and then of beginnings."""
         words = Counter(WORD.findall((text or "").lower()))
-        self.learn([w for w in words if w not in self])
-        found: dict[int, int] = {}
-        owner: dict[int, str] = {}
-        for word, n in words.items():
-            for i in self[word]:
-                found[i] = found.get(i, 0) + n
-                owner[i] = word
-        ids = np.fromiter(found, np.int64, len(found))
-        order = np.argsort(ids)
-        return ids[order], np.fromiter(found.values(), np.int64, len(found))[order], owner
-
-    def term(self, i: int, word: str) -> str:
-        """The term of word that has number i."""
-        return next(t for t in terms_of(word) if int(self.hashes[i]) == term_hash(t))
+        if len(self.slots) + len(words) > CACHE_WORDS:
+            self.slots.clear()
+        self.learn([w for w in words if w not in self.slots])
+        each = self.pairs[np.fromiter(map(self.slots.__getitem__, words), np.int64, len(words))].T.reshape(-1)
+        known = each >= 0
+        ids, place = np.unique(each[known], return_inverse=True)
+        n = np.tile(np.fromiter(words.values(), np.int64, len(words)), 2)[known]
+        return ids.astype(np.int64), np.bincount(place, n, len(ids)).astype(np.int64), each, list(words)
+
+
+def named(ids: list[int], each: np.ndarray, words: list[str]) -> list[str]:
+    """The terms of numbers ids, by what counted gives for a text."""
+    places = [int(np.flatnonzero(each == i)[0]) for i in ids]
+    return [words[p] if p < len(words) else words[p - len(words)][:PREFIX] + "*" for p in places]
 
 
 @dataclass
@@ -288,9 +290,9 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: f
         for batch in batches:
             out, terms = [], []
             for text in batch["text"]:
-                ids, counts, owner = vocabulary.counted(text)
+                ids, counts, each, words = vocabulary.counted(text)
                 out.append(m.score(ids, counts))
-                terms.append([vocabulary.term(i, owner[i]) for i in out[-1][2][:8].tolist()])
+                terms.append(named(out[-1][2][:8].tolist(), each, words))
             kept = {c: batch[c] for c in names}
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": terms, **kept})
 

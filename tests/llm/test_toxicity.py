@@ -53,8 +53,8 @@ def test_odd_rows(spark, odd, odd_rows, none):
     some = sorted({t for w in ("abcdefgh", "abc", "abcde") for t in toxicity.terms_of(w)}, key=toxicity.term_hash)
     vocabulary = toxicity.Vocabulary(np.array([toxicity.term_hash(t) for t in some], np.uint64))
     assert all(set(vocabulary.counts(w)[0]) == {some.index(t) for t in toxicity.terms_of(w)} for w in ("abcdefgh", "abc"))
-    ids, n, owner = vocabulary.counted("Abc abcdefz, abcde 9 abc other")
-    assert {vocabulary.term(i, owner[i]): k for i, k in zip(ids.tolist(), n.tolist(), strict=True)} == {"abc": 2, "abcde*": 1, "abcde": 1}
+    ids, n, each, words = vocabulary.counted("Abc abcdefz, abcde 9 abc other")
+    assert dict(zip(toxicity.named(ids.tolist(), each, words), n.tolist(), strict=True)) == {"abc": 2, "abcde*": 1, "abcde": 1}
 
 
 def test_scores_equal_those_of_all_cosines(spark):
