@@ -37,7 +37,7 @@ def test_exponential_average_is_the_recursion(spark):
     for v in values:
         y = 2 / 13 * v + (1 - 2 / 13) * y
         want.append(y)
-    got = [r.e for r in series(spark, values).withColumn("e", features.ema("close", 12)).orderBy("ts").collect()]
+    got = [r.ema_12 for r in features.emas(series(spark, values), "close", (12,)).orderBy("ts").collect()]
     assert all(math.isclose(a, b, rel_tol=1e-9) for a, b in zip(got, want, strict=True))
 
 
