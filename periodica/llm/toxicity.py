@@ -20,6 +20,10 @@ PREFIX = 5
 CACHE_WORDS = 150_000
 #: Postings of terms in more than 1 of so many examples are kept by block, with bounds; shorter ones are read whole.
 LONG = 64
+#: Postings of terms in more than 1 of so many examples are kept for all examples, as rows of a matrix.
+COMMON = 8
+#: So many texts are multiplied with that matrix at once.
+TEXTS_AT_ONCE = 64
 #: Texts are scored in frames of about so many bytes.
 SLICE_BYTES = 4 << 20
 
@@ -39,13 +43,18 @@ class Vocabulary:
     def __init__(self, hashes: np.ndarray):
         self.hashes = hashes
         self.slots: dict[str, int] = {}
+        self.beginnings: dict[str, int] = {}
         self.pairs = np.full((CACHE_WORDS, 2), -1, np.int32)
 
     def learn(self, words: list[str]) -> None:
         begin = len(self.slots)
         if begin + len(words) > len(self.pairs):  # one text of very many words
             self.pairs = np.vstack([self.pairs, np.full((begin + len(words), 2), -1, np.int32)])
-        wanted = np.array([[term_hash(w) for w in words], [term_hash(w[:PREFIX] + "*") if len(w) > PREFIX else 0 for w in words]], np.uint64)
+        if len(self.beginnings) > CACHE_WORDS:
+            self.beginnings.clear()
+        first = [w[:PREFIX] if len(w) > PREFIX else "" for w in words]
+        self.beginnings.update((f, term_hash(f + "*")) for f in set(first) if f not in self.beginnings)
+        wanted = np.array([list(map(term_hash, words)), list(map(self.beginnings.__getitem__, first))], np.uint64)
         place = np.searchsorted(self.hashes, wanted)
         known = self.hashes[np.minimum(place, len(self.hashes) - 1)] == wanted if len(self.hashes) else np.zeros(wanted.shape, bool)
         self.pairs[begin : begin + len(words)] = np.where(known, place, -1).T
@@ -76,10 +85,12 @@ def named(ids: list[int], each: np.ndarray, words: list[str]) -> list[str]:
 
 @dataclass
 class BlockIndex:
-    """Postings of each term, by example. Terms with long lists also have, for each block of consecutive examples, where their postings begin and their largest weight there."""
+    """Postings of each term, by example. Terms with long lists also have, for each block of consecutive examples, where their postings begin and their largest weight there; the commonest, which no block lacks, have their weights for all examples in a row of a matrix instead."""
 
     size: int
     per_block: int
+    row: np.ndarray
+    common: np.ndarray
     begin: np.ndarray
     example: np.ndarray
     weight: np.ndarray
@@ -97,7 +108,12 @@ class BlockIndex:
         term, example, weight = term[order], example[order], weight[order]
         begin = np.searchsorted(term, np.arange(terms + 1))
         blocks = max(1, -(-n // per_block))
-        many = np.flatnonzero(np.diff(begin) * LONG > n)
+        everywhere = np.diff(begin) * COMMON > n
+        row = np.where(everywhere, np.cumsum(everywhere) - 1, -1)
+        common = np.zeros((int(everywhere.sum()), n))
+        own = row[term] >= 0 if len(term) else np.zeros(0, bool)
+        common[row[term[own]], example[own]] = weight[own]
+        many = np.flatnonzero((np.diff(begin) * LONG > n) & ~everywhere)
         long = np.full(terms, -1)
         long[many] = np.arange(len(many))
         inside = long[term] >= 0 if len(term) else np.zeros(0, bool)
@@ -108,7 +124,7 @@ class BlockIndex:
         counts = np.diff(ends)
         top = np.zeros(len(many) * blocks)
         np.maximum.at(top, cell, weight[inside])
-        return cls(n, per_block, begin, example, weight, long.astype(np.int32), np.stack([cells[:-1], counts]).astype(np.int32), np.nextafter(top.reshape(-1, blocks), 2))  # bounds are never below
+        return cls(n, per_block, row.astype(np.int32), common, begin, example, weight, long.astype(np.int32), np.stack([cells[:-1], counts]).astype(np.int32), np.nextafter(top.reshape(-1, blocks), 2))  # bounds are never below
 
     def scored(self, weights: np.ndarray, low: np.ndarray, count: np.ndarray) -> np.ndarray:
         """Sums over runs of postings, one weight for each run."""
@@ -120,17 +136,29 @@ class BlockIndex:
         cells = (rows[:, None] * self.top.shape[1] + blocks[None, :]).reshape(-1)
         return self.scored(np.repeat(weights, len(blocks)), self.cells[0, cells], self.cells[1, cells])
 
-    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of largest cosine over 0 and their cosines, ties to the earlier.
+    def commonest(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the commonest terms give to the cosines of texts (rows) and all examples (columns)."""
+        parts = np.zeros((len(vectors), len(self.common)))
+        for part, (ids, weights) in zip(parts, vectors, strict=True):
+            row = self.row[ids]
+            part[row[row >= 0]] = weights[row >= 0]
+        return parts @ self.common
 
-        Short lists are read whole. Of long lists only blocks are read whose bound, with what the short ones gave, reaches
-        the k-th best found in the most promising blocks; where most stay open, whole lists are read, with the same result.
+    def nearest(self, ids: np.ndarray, weights: np.ndarray, k: int, given: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The k examples of largest cosine over 0 and their cosines to 12 places, ties to the earlier.
+
+        What the commonest terms give is added up for all examples (given, if worked out before), and short lists are read
+        whole. Of long lists only blocks are read whose bound, with what those gave, reaches the k-th best found in the
+        most promising blocks; where most stay open, whole lists are read, with the same result.
         """
+        given = self.commonest([(ids, weights)])[0] if given is None else given
+        rare = self.row[ids] < 0
+        ids, weights = ids[rare], weights[rare]
         row = self.long[ids]
         short, far = row < 0, row >= 0
         low = self.begin[ids]
         count = self.begin[ids + 1] - low
-        scores = self.scored(weights[short], low[short], count[short])
+        scores = given + self.scored(weights[short], low[short], count[short])
         if far.any():
             blocks = self.top.shape[1]
             padded = np.zeros(blocks * self.per_block)
@@ -151,6 +179,7 @@ class BlockIndex:
                 closed = np.repeat(~open_, self.per_block)[: self.size]
                 closed[inside] = False
                 scores[closed] = 0.0  # below the k-th best, and not read to the end
+        scores = scores.round(12)
         found = np.flatnonzero(scores > 1e-12)
         if len(found) > 4 * k:
             found = found[scores[found] >= np.partition(scores[found], len(found) - k)[len(found) - k]]
@@ -187,21 +216,23 @@ class Model:
         weights = (1 + np.log(counts)) * self.term_weight[ids]
         return ids, weights / np.sqrt(weights @ weights) if len(ids) else weights
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, without: int = -1) -> tuple[float, np.ndarray]:
+    def vote(self, ids: np.ndarray, weights: np.ndarray, given: np.ndarray | None = None, without: int = -1) -> tuple[float, np.ndarray]:
         """Share of toxic ones among the nearest examples, weighted by the square of their cosine; without leaves one example out."""
         if not len(ids) or not self.index.size:
             return -1.0, np.zeros(0, int)
-        found, cosine = self.index.nearest(ids, weights, self.neighbours + (without >= 0))
+        found, cosine = self.index.nearest(ids, weights, self.neighbours + (without >= 0), given)
         keep = found != without
         found, cosine = found[keep][: self.neighbours], cosine[keep][: self.neighbours]
         return float(cosine**2 @ self.labels[found] / (cosine @ cosine)) if len(found) else -1.0, found
 
-    def score(self, ids: np.ndarray, counts: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated probability, examples nearest first, and the text's terms by weight."""
-        ids, weights = self.vector(ids, counts)
-        vote, found = self.vote(ids, weights)
-        rate = self.bare_rate if vote < 0 else float(np.interp(vote, *self.knots))
-        return min(1.0, max(0.0, rate)), found, ids[np.argsort(-weights, kind="stable")]
+    def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
+        """For each text calibrated probability, examples nearest first, and the text's terms by weight."""
+        for at in range(0, len(counted), TEXTS_AT_ONCE):
+            vectors = [self.vector(*c) for c in counted[at : at + TEXTS_AT_ONCE]]
+            for (ids, weights), given in zip(vectors, self.index.commonest(vectors), strict=True):
+                vote, found = self.vote(ids, weights, given)
+                rate = self.bare_rate if vote < 0 else float(np.interp(vote, *self.knots))
+                yield min(1.0, max(0.0, rate)), found, ids[np.argsort(-weights, kind="stable")]
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, neighbours: int, per_block: int) -> Model:
@@ -289,10 +320,10 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: f
         vocabulary = Vocabulary(m.hashes)
         for batch in batches:
             out, terms = [], []
-            for text in batch["text"]:
-                ids, counts, each, words = vocabulary.counted(text)
-                out.append(m.score(ids, counts))
-                terms.append(named(out[-1][2][:8].tolist(), each, words))
+            for at in range(0, len(batch), TEXTS_AT_ONCE):
+                counted = [vocabulary.counted(t) for t in batch["text"].iloc[at : at + TEXTS_AT_ONCE]]
+                out.extend(m.scores([c[:2] for c in counted]))
+                terms.extend(named(o[2][:8].tolist(), *c[2:]) for o, c in zip(out[at:], counted, strict=True))
             kept = {c: batch[c] for c in names}
             yield pd.DataFrame({"doc_id": batch["doc_id"], "score": [s for s, _, _ in out], "neighbours": [[m.ids[i] for i in f.tolist()] for _, f, _ in out], "terms": terms, **kept})
 
