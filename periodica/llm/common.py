@@ -41,14 +41,14 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet into the shared folder and read it again, so that lost executors cost no recomputation; shuffle files of the write are removed when it ends."""
+def stored(df: DataFrame, name: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Write df as Parquet into the shared folder, in folders by the columns by, and read it again, so that lost executors cost no recomputation; shuffle files of the write are removed when it ends."""
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(CLEANUP)
     spark.conf.set(CLEANUP, "true")
     try:
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", "zstd").partitionBy(*by).parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from periodica.llm import ann, embedding_dedup, mixing, ngram_join, packing, passages, secrets, suffix_dedup, token_counts, toxicity
+from periodica.llm import ann, embedding_dedup, filter_audit, line_dedup, middle, mixing, ngram_join, packing, passages, secrets, suffix_dedup, token_counts, toxicity
 
 #: Documents of at least this score count as toxic.
 TOXIC_FROM = 0.3
@@ -69,6 +69,21 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op11_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = middle.shuffled(table(spark, sf_dir, "documents"))
+    text = middle.restored(F.col("output"), F.col("form"))
+    return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(text, 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ann": op1_ann,
     "op2_packing": op2_packing,
@@ -80,5 +95,35 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_counts": op8_token_counts,
     "op9_ngram_join": op9_ngram_join,
     "op10_suffix_dedup": op10_suffix_dedup,
+    "op11_line_dedup": op11_line_dedup,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_fill_in_middle": op13_fill_in_middle,
+}
+ORACLES: dict[str, str] = {
+    "op11_line_dedup": """with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place from documents),
+keyed as (select *, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key from lines),
+repeated as (select line_key, max(doc_id) as last from keyed where length(line_key) >= 40 group by line_key having count(distinct doc_id) >= 5),
+marked as (select k.*, coalesce(k.doc_id <> r.last, false) as gone from keyed k left join repeated r using (line_key))
+select doc_id, count(*) as n_lines, count(*) filter (where gone) as n_dropped, sha256(coalesce(string_agg(line, chr(10) order by place) filter (where not gone), '')) as kept_sha256 from marked group by doc_id""",
+    "op12_filter_audit": r"""with texts as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as words from documents),
+marks as (select doc_id, max(quality) as quality, max(toxic) as toxic from labels group by doc_id),
+rows as (select part, concat(case when len(words) < 200 then 'A' else '' end, case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end,
+  case when 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) then 'C' else '' end, case when regexp_matches(text, '[#$%&*|]') then 'D' else '' end,
+  case when doc_id > min(doc_id) over (partition by text) then 'E' else '' end) as fails, coalesce(quality = 1, false) as good, coalesce(toxic = 1, false) as bad from texts left join marks using (doc_id)),
+groups as (select part, fails, count(*) as n, count(*) filter (where good) as good, count(*) filter (where bad) as bad from rows group by part, fails),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as l),
+orders as (select concat(a.l, b.l, c.l, d.l, e.l) as o from letters a, letters b, letters c, letters d, letters e where len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5),
+steps as (select o, s, substr(o, s, 1) as l, concat('[-', substr(o, 1, s - 1), ']') as earlier from orders, range(1, 6) as r(s)),
+met as (select part, o, s, l, n, good, bad, fails, contains(fails, l) as hit, regexp_matches(fails, earlier) as gone from groups, steps),
+summed as (select part, o, s, l, sum(case when not gone and not hit then n else 0 end) as kept, sum(case when not gone and hit then n else 0 end) as removed, sum(case when gone and hit then n else 0 end) as redundant,
+  sum(case when fails = l then n else 0 end) as unique_fails, sum(case when not gone and hit then good else 0 end) as good_lost, sum(case when not gone and hit then bad else 0 end) as toxic_lost from met group by part, o, s, l)
+select part, o as filter_order, s::int as step, kept::bigint as kept, removed::bigint as removed, redundant::bigint as redundant, unique_fails::bigint as unique_fails, good_lost::bigint as good_lost, toxic_lost::bigint as toxic_lost,
+  (sum(removed) over (partition by part, l))::bigint as shapley from summed""",
+    "op13_fill_in_middle": """with cut as (select doc_id, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as tokens, sha256(concat('1:', doc_id)) as digits from documents),
+numbers as (select *, len(tokens) as n, ('0x' || substr(digits, 1, 8))::bigint as h1, ('0x' || substr(digits, 9, 8))::bigint as h2, ('0x' || substr(digits, 17, 8))::bigint as h3, ('0x' || substr(digits, 25, 8))::bigint as h4 from cut),
+formed as (select *, least(h1 % (n + 1), h2 % (n + 1)) as low, greatest(h1 % (n + 1), h2 % (n + 1)) as high,
+  case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from numbers),
+parts as (select *, array_to_string(tokens[1:low], '') as prefix, array_to_string(tokens[low + 1:high], '') as middle, array_to_string(tokens[high + 1:], '') as suffix from formed)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars, case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then text when 'psm' then concat('<P>', prefix, '<S>', suffix, '<M>', middle) else concat('<S>', suffix, '<P>', prefix, '<M>', middle) end) as output_sha256, sha256(text) as restored_sha256 from parts""",
 }
-ORACLES: dict[str, str] = {}
