@@ -10,10 +10,11 @@ from dataclasses import dataclass, replace
 import numpy as np
 import pandas as pd
 import xxhash
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import map_frames, stored
+from periodica.llm.common import freed, map_frames, stored
 
 WORD = re.compile(r"[^\W\d_]+")
 PREFIX = 5
@@ -187,8 +188,8 @@ class BlockIndex:
         return found, scores[found]
 
 
-def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool-adjacent-violators: knots of the best rising curve."""
+def isotonic(x: np.ndarray, y: np.ndarray, shrink: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+    """Pool-adjacent-violators: knots of the best rising curve. Each pool counts shrink more points of the mean of y, so that pools of few points say less; what that lets fall is held level."""
     points, inverse = np.unique(x, return_inverse=True)
     pools: list[list[float]] = []
     for value, total, n in zip(points, np.bincount(inverse, y), np.bincount(inverse), strict=True):
@@ -196,7 +197,17 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         while len(pools) > 1 and pools[-2][2] * pools[-1][3] >= pools[-1][2] * pools[-2][3]:
             low, _, t, m = pools[-2]
             pools[-2:] = [[low, pools[-1][1], t + pools[-1][2], m + pools[-1][3]]]
-    return np.array([p for low, high, *_ in pools for p in (low, high)]), np.array([t / n for *_, t, n in pools for _ in range(2)])
+    rates = np.maximum.accumulate(np.array([(t + shrink * y.mean()) / (n + shrink) for *_, t, n in pools for _ in range(2)]))
+    return np.array([p for low, high, *_ in pools for p in (low, high)]), rates
+
+
+def term_weights(ids: list[np.ndarray], labels: np.ndarray, terms: int, floor: float) -> np.ndarray:
+    """Weight of each term by the examples given: inverse document frequency times a factor from floor to 1 by how much more often than by chance, and a standard deviation more, toxic ones have it: a word of one toxic example alone is no sign."""
+    count = lambda lists: np.bincount(np.concatenate([np.zeros(0, np.int64), *lists]), minlength=terms)
+    seen, toxic = count(ids), count([i for i, y in zip(ids, labels, strict=True) if y])
+    rate = labels.mean() if len(labels) else 0.0
+    lean = np.maximum(0, (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1) - 1)
+    return (np.log(max(len(labels), 1) / np.maximum(seen, 1)) + 1) * (floor + (1 - floor) * lean / max(lean.max(initial=0), 1e-9))
 
 
 @dataclass
@@ -216,13 +227,11 @@ class Model:
         weights = (1 + np.log(counts)) * self.term_weight[ids]
         return ids, weights / np.sqrt(weights @ weights) if len(ids) else weights
 
-    def vote(self, ids: np.ndarray, weights: np.ndarray, given: np.ndarray | None = None, without: int = -1) -> tuple[float, np.ndarray]:
-        """Share of toxic ones among the nearest examples, weighted by the square of their cosine; without leaves one example out."""
+    def vote(self, ids: np.ndarray, weights: np.ndarray, given: np.ndarray | None = None) -> tuple[float, np.ndarray]:
+        """Share of toxic ones among the nearest examples, weighted by the square of their cosine."""
         if not len(ids) or not self.index.size:
             return -1.0, np.zeros(0, int)
-        found, cosine = self.index.nearest(ids, weights, self.neighbours + (without >= 0), given)
-        keep = found != without
-        found, cosine = found[keep][: self.neighbours], cosine[keep][: self.neighbours]
+        found, cosine = self.index.nearest(ids, weights, self.neighbours, given)
         return float(cosine**2 @ self.labels[found] / (cosine @ cosine)) if len(found) else -1.0, found
 
     def scores(self, counted: list[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
@@ -235,7 +244,7 @@ class Model:
                 yield min(1.0, max(0.0, rate)), found, ids[np.argsort(-weights, kind="stable")]
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, neighbours: int, per_block: int) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, neighbours: int, per_block: int, folds: int, shrink: float) -> Model:
     """A model from at most max_examples labelled documents outside the held-out quarter, the first in the order of a hash of their ids."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 != 2)).groupBy("doc_id").agg(F.max("toxic").alias("is_toxic"))
@@ -243,66 +252,69 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int, floor: float, nei
     named = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     examples = stored(named.groupBy("doc_id", "is_toxic").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text")), "toxicity-examples")
 
-    def counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        seen: tuple[Counter, Counter] = (Counter(), Counter())
+    def met(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen: set[str] = set()
         for batch in batches:
-            for text, toxic in zip(batch["text"], batch["is_toxic"], strict=True):
-                seen[int(toxic)].update({t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w)})
-        both = list({**seen[0], **seen[1]})
-        yield pd.DataFrame({"term": both, "clean": [seen[0][t] for t in both], "toxic": [seen[1][t] for t in both]})
-
-    sizes = {int(r[0]): r[1] for r in examples.groupBy("is_toxic").count().collect()}
-    rate = sizes.get(1, 0) / max(sum(sizes.values()), 1)
-    found = map_frames(examples, counted, "term string, clean long, toxic long").groupBy("term").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic")).toArrow()  # terms of the bounded sample
-    hashes = np.array([term_hash(t) for t in found.column("term").to_pylist()], np.uint64)
-    order = np.argsort(hashes)
-    hashes, toxic = hashes[order], found.column("toxic").to_numpy()[order]
-    seen = found.column("clean").to_numpy()[order] + toxic
-    lean = np.maximum(0, (toxic - seen * rate) / np.sqrt(seen * rate * (1 - rate) + 1))
-    term_weight = (np.log(sum(sizes.values()) / np.maximum(seen, 1)) + 1) * (floor + (1 - floor) * lean / max(lean.max(initial=0), 1e-9))
+            for text in batch["text"]:
+                seen.update(t for w in set(WORD.findall((text or "").lower())) for t in terms_of(w))
+        yield pd.DataFrame({"term": list(seen)})
+
+    hashes = np.unique(np.array([term_hash(t) for t in map_frames(examples, met, "term string").distinct().toArrow().column("term").to_pylist()], np.uint64))  # terms of the bounded sample
     shared_terms = spark.sparkContext.broadcast(hashes)
 
     def coded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         vocabulary = Vocabulary(shared_terms.value)
         for batch in batches:
             counts = [vocabulary.counts(t) for t in batch["text"]]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "is_toxic": batch["is_toxic"], "ids": [i for i, _ in counts], "n": [n for _, n in counts]})
+            yield batch[["doc_id", "is_toxic", "fold"]].assign(ids=[i for i, _ in counts], n=[n for _, n in counts])
 
-    rows = map_frames(examples, coded, "doc_id long, is_toxic int, ids array<int>, n array<int>", SLICE_BYTES).toArrow().to_pandas(integer_object_nulls=True)  # at most max_examples
+    with_fold = examples.withColumn("fold", F.pmod(F.xxhash64(F.lit("fold"), "doc_id"), F.lit(folds)).cast("int"))
+    counted = stored(map_frames(with_fold, coded, "doc_id long, is_toxic int, fold int, ids array<int>, n array<int>", SLICE_BYTES), "toxicity-terms")
+    rows = counted.toArrow().to_pandas(integer_object_nulls=True)  # at most max_examples
+    shared_terms.destroy()
+    rate = float(rows["is_toxic"].mean()) if len(rows) else 0.0
     bare = rows.loc[rows["ids"].map(len) == 0, "is_toxic"].to_numpy()
     rows = rows[rows["ids"].map(len) > 0]
     leading = np.array([i[n.argmax()] for i, n in zip(rows["ids"], rows["n"], strict=True)], np.int64)  # alike texts stand in the same blocks
     rows = rows.iloc[np.lexsort((rows["doc_id"].to_numpy().astype(np.int64), leading, rows["is_toxic"].to_numpy().astype(np.int64)))] if len(rows) else rows
-    model = Model(hashes, term_weight, BlockIndex.build([], len(hashes), per_block), rows["is_toxic"].to_numpy().astype(float), rows["doc_id"].tolist(), (np.zeros(1), np.array([rate])), (bare.sum() + rate) / (len(bare) + 1), neighbours)
-    vectors = [model.vector(i.astype(np.int64), n) for i, n in zip(rows["ids"], rows["n"], strict=True)]
-    model.index = BlockIndex.build(vectors, len(hashes), per_block)
-    shared = spark.sparkContext.broadcast(model)
-    place = spark.createDataFrame([(d, i) for i, d in enumerate(model.ids)], "doc_id long, place int")
+    bare_rate = (bare.sum() + rate) / (len(bare) + 1)
 
-    def voted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        m = shared.value
-        vocabulary = Vocabulary(m.hashes)
-        for batch in batches:
-            yield pd.DataFrame({"place": batch["place"], "vote": [m.vote(*m.vector(*vocabulary.counts(t)), without=int(p))[0] for t, p in zip(batch["text"], batch["place"], strict=True)]})
+    def model_of(part: pd.DataFrame) -> Model:
+        ids, toxic = [i.astype(np.int64) for i in part["ids"]], part["is_toxic"].to_numpy().astype(float)
+        model = Model(hashes, term_weights(ids, toxic, len(hashes), floor), BlockIndex.build([], len(hashes), per_block), toxic, part["doc_id"].tolist(), (np.zeros(1), np.array([rate])), bare_rate, neighbours)
+        model.index = BlockIndex.build([model.vector(i, n) for i, n in zip(ids, part["n"], strict=True)], len(hashes), per_block)
+        return model
 
-    votes = map_frames(examples.join(F.broadcast(place), "doc_id").repartition(spark.sparkContext.defaultParallelism).select("place", "text"), voted, "place int, vote double", SLICE_BYTES).toArrow().to_pandas()
-    vote, label = votes["vote"].to_numpy(), model.labels[votes["place"].to_numpy()]
-    shared_terms.destroy()
-    shared.destroy()
-    return replace(model, knots=isotonic(vote[vote >= 0], label[vote >= 0])) if (vote >= 0).any() else model
+    votes = []
+    for fold in range(folds):
+        shared = spark.sparkContext.broadcast(model_of(rows[rows["fold"] != fold]))
+
+        def voted(batches: Iterator[pd.DataFrame], shared: Broadcast = shared) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                vote = [shared.value.vote(*shared.value.vector(i.astype(np.int64), n))[0] for i, n in zip(batch["ids"], batch["n"], strict=True)]
+                yield pd.DataFrame({"vote": vote, "toxic": batch["is_toxic"].astype(float)})
+
+        votes.append(map_frames(counted.where(F.col("fold") == fold).repartition(spark.sparkContext.defaultParallelism), voted, "vote double, toxic double").toArrow().to_pandas())
+        shared.destroy()
+    freed(examples, counted)
+    vote = pd.concat(votes)
+    vote = vote[vote["vote"] >= 0]
+    model = model_of(rows)
+    return replace(model, knots=isotonic(vote["vote"].to_numpy(), vote["toxic"].to_numpy(), shrink)) if len(vote) else model
 
 
-def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: float = 0.05, neighbours: int = 32, per_block: int = 32, carry: str = "") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: float = 0.05, neighbours: int = 32, per_block: int = 32, folds: int = 5, shrink: float = 4.0, carry: str = "") -> DataFrame:
     """Probability that each document (doc_id, text) would be marked in labels (doc_id, toxic).
 
     Labelled examples are a bounded sample: at most max_examples labelled documents whose crc32 of doc_id modulo 4 is not
     2, first in the order of a hash of doc_id. Terms are words and their first 5 letters; all terms of the sample span the
     TF-IDF space. A term's weight is its idf in the sample times a factor from floor to 1 that rises with how much more often than by
-    chance toxic examples have it (standardized, over the largest of all terms): no term is left out, but those that speak
+    chance toxic examples have it (standardized, less 1, over the largest of all terms): no term is left out, but those that speak
     of the class weigh most. Terms that no example has change no order of cosines and no vote. Nearest examples
     are exact: a block of examples is skipped only if its bound lies below the k-th best. Votes weigh the squared
-    cosine and are calibrated by isotonic regression on leave-one-out votes of the examples. Index and vocabulary are
-    bounded by the sample and broadcast; all documents are scored by whole text where they lie.
+    cosine and are calibrated by isotonic regression on votes of the examples: of each fold (by a hash of doc_id) by a model
+    of the other folds, weights of terms and all, so that no example's label speaks for itself; shrink more examples of the mean rate in each
+    pool keep small samples from sharp steps. Index and vocabulary are bounded by the sample and broadcast; all documents are scored by whole text where they lie.
 
     Null text is empty. Texts without any of the terms get the (smoothed) rate of such examples; without any labels 0.
     Labels other than 0 and 1 are ignored, of contradicting ones the largest counts. Repeated doc_ids keep a row each, and the
@@ -311,7 +323,7 @@ def score(docs: DataFrame, labels: DataFrame, max_examples: int = 4000, floor: f
     Returns doc_id, held_out, score, neighbours (ids of the nearest examples), terms (up to 8 that weigh most), and the
     columns that carry names (DDL) as they are.
     """
-    model = fit(docs, labels, max_examples, floor, neighbours, per_block)
+    model = fit(docs, labels, max_examples, floor, neighbours, per_block, folds, shrink)
     names = [c.split()[0] for c in carry.split(",") if c]
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
