@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.series import dtw, per_series, windows, z_scored
+from periodica.functions.statistics import correlation_p
 from periodica.operators.cleaning import numbered
 
 
@@ -21,9 +22,31 @@ def lag_correlation(left: DataFrame, right: DataFrame, most: int = 20, least: in
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
 
-def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05, by: tuple[str, ...] = (), buckets: int = 4096) -> DataFrame:
-    """Benjamini-Hochberg: corrected p and whether it is at most level, within the groups by. Values of p are counted first, so only distinct ones are ranked, by buckets of equal width whose totals (at most buckets rows a group) are summed before."""
-    counts = tests.groupBy(*by, p).agg(F.count("*").alias("_k")).withColumn("_b", F.floor(F.col(p) * buckets))
+def lead_lag(features: DataFrame, target: DataFrame, most: int = 20, least: int = 30, least_finite: int = 20) -> DataFrame:
+    """Pearson's and Spearman's correlation of each feature (series_id, feature, bar, value) with target (series_id, bar, value) at every lag, and their two-sided p: (series_id, feature, lag, n, pearson_r, pearson_p, spearman_r, spearman_p).
+
+    Lags count the bars that both have; at a lag above 0 the feature leads. Ranks are taken within each alignment, ties at their mean. Alignments
+    of fewer than least bars or of fewer than least_finite pairs of finite values are left out, and a constant side gives nulls. One shuffle deals rows out by series and
+    feature; alignments, ranks and sums all keep that partitioning.
+    """
+    group = Window.partitionBy("series_id", "feature")
+    along = group.orderBy("bar")
+    parts = int(features.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # as rows multiply after it, small partitions are not put together
+    met = features.join(target.select("series_id", "bar", F.col("value").alias("_y")), ["series_id", "bar"]).repartition(parts, "series_id", "feature").withColumn("_bars", F.count("*").over(group))
+    moved = F.array(*[F.struct(F.lit(k).alias("lag"), (F.lead("_y", k) if k >= 0 else F.lag("_y", -k)).over(along).alias("y")) for k in range(-most, most + 1)])
+    rows = met.withColumn("_moved", moved).where(F.col("value").isNotNull() & ~F.isnan("value")).select("series_id", "feature", F.col("value").alias("x"), "_bars", F.explode("_moved").alias("_m"))
+    rows = rows.select("series_id", "feature", F.col("_m.lag").alias("lag"), "x", F.col("_m.y").alias("y")).where((F.col("_bars") - F.abs("lag") >= least) & F.col("y").isNotNull() & ~F.isnan("y"))
+    one = Window.partitionBy("series_id", "feature", "lag")
+    place = lambda c: F.rank().over(one.orderBy(c)) + (F.count("*").over(one.orderBy(c).rangeBetween(0, 0)) - 1) / 2.0
+    rows = rows.withColumn("rx", place("x")).withColumn("ry", place("y"))
+    r = lambda a, b: F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+    out = rows.groupBy("series_id", "feature", "lag").agg(F.count("*").alias("n"), r("x", "y").alias("pearson_r"), r("rx", "ry").alias("spearman_r")).where(F.col("n") >= least_finite)
+    return out.select("series_id", "feature", "lag", "n", "pearson_r", correlation_p(F.col("pearson_r"), F.col("n")).alias("pearson_p"), "spearman_r", correlation_p(F.col("spearman_r"), F.col("n")).alias("spearman_p"))
+
+
+def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05, by: tuple[str, ...] = (), buckets: int = 64) -> DataFrame:
+    """Benjamini-Hochberg: corrected p and whether it is at most level, within the groups by. tests is read twice and must give the same p each time: what was summed in a shuffle is to be stored or checkpointed before. Values of p are counted first, so only distinct ones are ranked, by buckets of equal ratio (real ones crowd near 0) whose totals (some ten thousand rows a group at most) are summed before; p of 0 is a bucket of its own."""
+    counts = tests.groupBy(*by, p).agg(F.count("*").alias("_k")).withColumn("_b", F.when(F.col(p) > 0, F.floor(F.ln(F.col(p)) * buckets)).otherwise(-(2**40)))
     keys = list(by)
     within = Window.partitionBy(*keys, "_b").orderBy(p)
     group = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))

@@ -1 +1,6 @@
 """Registered queries and their SQL."""
+
+from periodica.plans import queries, research
+
+QUERIES = queries.QUERIES | research.QUERIES
+ORACLES = queries.ORACLES | research.ORACLES

@@ -4,7 +4,7 @@ import math
 import duckdb
 import pytest
 
-from periodica.plans.queries import ORACLES, QUERIES
+from periodica.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = ("orders", "lineitem", "events", "part")
