@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.storage import checkpointed
-from periodica.operators import cleaning, ephemeris, features, information, models, relations, spectrogram, warping
+from periodica.operators import cleaning, ephemeris, features, information, models, modes, relations, spectrogram, warping
 from periodica.plans.queries import BARS_SQL, KEYS, NUMBERED_SQL, W, order_bars, rounded, sql, table
 from periodica.sources import bars as sources
 
@@ -166,3 +166,5 @@ add("mutual_information", lambda b: information.mutual_information(features.targ
   info as (select series_id, feature, any_value(n) as n, greatest(0, any_value(hn.psi) + any_value(h3.psi) - avg(hx.psi) - avg(hy.psi)) as mutual_info from counted join harmonic hx on hx.k = nx join harmonic hy on hy.k = ny join harmonic hn on hn.k = n join harmonic h3 on h3.k = 3 group by 1, 2)
   select *, mutual_info / (max(mutual_info) over (partition by series_id) + 1e-10) as mi_score from info""")
 add("warped_clusters", lambda b: warping.warped_clusters(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar", "cluster"], ["similarity"], None)
+add("empirical_modes", lambda b: modes.empirical_modes(cleaning.detrend_linear(b), "detrended"), [*KEYS, "mode", "is_rest"], ["value"], None)
+add("mode_cycles", lambda b: modes.mode_cycles(cleaning.detrend_linear(b), "detrended"), ["series_id", "mode"], ["period", "frequency", "amplitude", "power", "confidence"], None)
