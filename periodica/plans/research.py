@@ -39,9 +39,8 @@ add("short_time_energy", lambda b: spectrogram.band_energy(cleaning.detrend_line
   from (select z.series_id, z.ts, {', '.join(f'coalesce(e_{b}, 0) as e_{b}' for b in BANDS)} from ({DETRENDED_SQL}) z left join
   (select series_id, begin + 64 as bar, {', '.join(f'sum(case when k >= {low} and k < {high} then power else 0 end) as e_{b}' for b, (low, high) in BANDS.items())} from ({windows_sql(5, 1)}) group by 1, 2) e on e.series_id = z.series_id and e.bar = z.bar)
   window w as ({W} rows between 99 preceding and current row)""")
-add("spectrogram", lambda b: spectrogram.spectrogram(cleaning.detrend_linear(b)), ["series_id", "window", "ts", "k"], ["period", "frequency", "power"], f"""select p.series_id, (begin // 16)::int as "window", z.ts, k::int as k, 64.0 / k as period, k / 64.0 as frequency, power / max(power) over (partition by p.series_id) as power
-  from ({windows_sql(16, 0)}) p join ({DETRENDED_SQL}) z on z.series_id = p.series_id and z.bar = p.begin + 63""".replace('"window"', "win"))
-ORACLES["spectrogram"] = ORACLES["spectrogram"].replace("select series_id, window, ts", 'select series_id, win as "window", ts', 1)
+add("spectrogram", lambda b: spectrogram.spectrogram(cleaning.detrend_linear(b)).withColumnRenamed("window", "hop"), ["series_id", "hop", "ts", "k"], ["period", "frequency", "power"], f"""select p.series_id, (begin // 16)::int as hop, z.ts, k::int as k, 64.0 / k as period, k / 64.0 as frequency, power / max(power) over (partition by p.series_id) as power
+  from ({windows_sql(16, 0)}) p join ({DETRENDED_SQL}) z on z.series_id = p.series_id and z.bar = p.begin + 63""")
 
 
 def turn(x: str) -> str:
