@@ -60,7 +60,7 @@ def rooted(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def plans(classes: DataFrame, window: int, similarity: float, recall: float) -> DataFrame:
-    """(label, passes, mean): mean direction of the distinct vectors of each label, from one sum of each task and label, and its passes, 0 where they would compare as many pairs as there are."""
+    """(label, passes, mean): mean direction of the distinct vectors of each label, from one sum of each task and label, and its passes: one where the window holds the whole label, 0 where the mean cosine itself is at the threshold."""
 
     def summed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total: dict[str, list] = {}
@@ -76,8 +76,9 @@ def plans(classes: DataFrame, window: int, similarity: float, recall: float) ->
         for a, b in zip(cuts[:-1], cuts[1:], strict=True):
             n = int(frame["n"].iloc[a:b].sum())
             mean = np.round(matrix(frame["total"].iloc[a:b]).sum(axis=0) / n, 4)  # rounded, so that reruns agree
-            passes = passes_needed(n, float(mean @ mean), window, similarity, recall)
-            out.append((frame["label"].iloc[a], passes if 2 * passes * window < n else 0, mean.astype("<f8").tobytes()))
+            shared = float(mean @ mean)
+            passes = 1 if n <= window + 1 else 0 if shared >= similarity else passes_needed(n, shared, window, similarity, recall)
+            out.append((frame["label"].iloc[a], passes, mean.astype("<f8").tobytes()))
         return pd.DataFrame(out, columns=["label", "passes", "mean"])
 
     return in_groups(map_frames(classes.select("label", "vector"), summed, "label string, n long, total binary"), ["label"], met, "label string, passes int, mean binary")
@@ -91,8 +92,9 @@ def near_duplicates(vectors: DataFrame, similarity: float = 0.98, window: int =
     each with the window before it, across the bounds of partitions too. Pairs at the threshold are united over all passes.
     Within each group so found every pair is compared once more in double precision, in blocks of bounded size, so that
     groups wider than a window lose no link; links and components follow from these comparisons alone.
-    A label's number of passes follows from its rows, its mean, the window and the recall aimed at. A label in which the
-    passes would compare as many pairs as there are is one group from the start.
+    A label's number of passes follows from its rows, its mean, the window and the recall aimed at, at every size. Only a
+    label of more than a window whose vectors have the threshold's cosine with each other on average is one group from the
+    start: there a pair at the threshold is no nearer than any other, and the links to be counted are themselves as many as the pairs.
 
     Vectors that are null, empty, zero or hold null or non-finite components, of another length than the rest of their
     label's (each length is compared apart), or with a null label link with nothing. Null or repeated vec_ids are rows of

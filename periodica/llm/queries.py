@@ -100,6 +100,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_fill_in_middle": op13_fill_in_middle,
 }
 ORACLES: dict[str, str] = {
+    "op4_embedding_dedup": """with recursive usable as (select vec_id, label, embedding::double[] as v from embeddings where label is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0),
+links as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.label = b.label and a.vec_id <> b.vec_id and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.98),
+reached as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reached r join links l on l.a = r.b),
+counted as (select a, count(*) as n from links group by a)
+select e.vec_id, coalesce(n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept from embeddings e left join counted on counted.a = e.vec_id join (select a, min(b) as component_id from reached group by a) c on c.a = e.vec_id""",
     "op11_line_dedup": """with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place from documents),
 keyed as (select *, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key from lines),
 repeated as (select line_key, max(doc_id) as last from keyed where length(line_key) >= 40 group by line_key having count(distinct doc_id) >= 5),

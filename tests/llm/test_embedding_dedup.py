@@ -1,6 +1,10 @@
+import duckdb
 import numpy as np
+from pyspark.sql import functions as F
 
 from periodica.llm import embedding_dedup
+from periodica.llm.queries import ORACLES, QUERIES
+from periodica.llm.vectors import usable
 
 KIND = "vec_id long, embedding array<double>, label int, row long, code long"
 
@@ -61,3 +65,27 @@ def test_passes_find_links_of_dense_labels(spark):
 
 def test_empty(spark):
     assert embedding_dedup.near_duplicates(spark.createDataFrame([], KIND)).count() == 0
+
+
+def test_labels_of_every_size_take_the_passes(spark):
+    """Labels of one window, of a few and of a mean cosine at the threshold: the same links as the comparison of all."""
+    random = np.random.default_rng(2)
+    rows = []
+    for label, n, noise in ((0, 40, 1.0), (1, 400, 1.0), (2, 200, 0.002)):
+        centre = np.ones(24)
+        for _ in range(n // 2):
+            v = centre * (noise < 1) + random.standard_normal(24) * noise
+            rows += [(len(rows) + k, (v + random.standard_normal(24) * 0.015 * k).tolist(), label) for k in (0, 1)]
+    frame = spark.createDataFrame([(*r, 5, 5) for r in rows], KIND)
+    named = usable(frame.withColumn("row", F.monotonically_increasing_id()).withColumn("label", F.col("label").cast("string")), "row", "label string").where("vector is not null")
+    passes = {r.label: r.passes for r in embedding_dedup.plans(named, 64, 0.98, 0.9995).collect()}
+    assert passes["0"] == 1 and passes["1"] >= 2 and passes["2"] == 0
+    got = embedding_dedup.near_duplicates(frame).collect()
+    assert sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in got), key=str) == plain(rows)
+
+
+def test_registered_query_equals_its_sql(spark):
+    duckdb.execute("create or replace view embeddings as select * from '/root/testdata/sf0.01/embeddings.parquet'")
+    names = "vec_id, n_links, component_id, kept"
+    want = duckdb.sql(f"select {names} from ({ORACLES['op4_embedding_dedup']}) order by vec_id").fetchall()
+    assert [tuple(r) for r in QUERIES["op4_embedding_dedup"](spark, "/root/testdata/sf0.01").select(*names.split(", ")).orderBy("vec_id").collect()] == want
