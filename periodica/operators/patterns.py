@@ -82,32 +82,65 @@ def regime_statistics(states: DataFrame) -> DataFrame:
     return out.withColumn("label", regime_label(F.col("mean_return"), F.col("deviation")))
 
 
-def motifs(bars: DataFrame, column: str = "close", width: int = 10, top: int = 5, tried: int = 10) -> DataFrame:
-    """Pairs of windows of width bars most alike by shape (z-scored distance), nearest first: of the tried windows of least distance to any other, those whose two places lie width apart or more and are not within half a width of one taken before."""
-
-    def find(frame: pd.DataFrame) -> pd.DataFrame:
-        x, rows, used = finite(frame[column]), [], np.zeros(len(frame) + 1, bool)
-        shapes = z_scored(windows(x, width)) if len(x) >= 4 * width else np.zeros((0, width))
-        n = len(shapes)
-        best, at = np.full(n, np.inf), np.zeros(n, int)
-        for low in range(0, n, 512):
-            part = shapes[low : low + 512]
-            square = np.maximum(2 * width - 2 * (part @ shapes.T), 0)
-            square[(np.abs(part).sum(axis=1) == 0)[:, None] ^ (np.abs(shapes).sum(axis=1) == 0)[None, :]] = width
-            near = np.abs(np.arange(low, low + len(part))[:, None] - np.arange(n)[None, :]) <= -(-width // 4)
-            square[near] = np.inf
-            at[low : low + 512] = square.argmin(axis=1)
-            best[low : low + 512] = np.sqrt(square.min(axis=1))
-        for i in np.argsort(best, kind="stable")[:tried]:
-            j = at[i]
-            if used[i] or used[j] or abs(i - j) < width or not np.isfinite(best[i]):
-                continue
-            for k in (i, j):
-                used[max(0, k - width // 2) : k + width // 2] = True
-            rows.append((len(rows) + 1, int(i), int(j), width, float(best[i]), float(1 / (1 + best[i]))))
-        return pd.DataFrame(rows[:top], columns=["rank", "start_a", "start_b", "width", "distance", "similarity"])
+def nearest_windows(bars: DataFrame, column: str = "close", width: int = 10, block: int = 4096) -> DataFrame:
+    """(series_id, start, other, distance): for each window of width bars the nearest by z-scored distance that begins more than a quarter of a width away (ties: the earlier).
 
-    return per_series(bars, [column], find, "rank int, start_a int, start_b int, width int, distance double, similarity double")
+    The windows of a series are cut into blocks of block windows, each with a halo of width - 1 values; every two blocks are one tile of the triangle
+    over all pairs and a task of its own, which gives the least distance of its rows and of its columns. Tiles are met by an equi-join on their two
+    numbers, so the work of a long series spreads over tasks and none holds more than two blocks. Gaps are left out before; flat windows are
+    at distance 0 from each other and at the root of width from others; series of fewer than 4 width values give none.
+    """
+    rows = bars.select("series_id", "ts", F.col(column).cast("double").alias("x")).where("x is not null and not isnan(x) and abs(x) < double('infinity')")
+    rows = rows.withColumn("bar", F.row_number().over(Window.partitionBy("series_id").orderBy("ts")) - 1).withColumn("total", F.count("*").over(whole())).where(F.col("total") >= 4 * width)
+    blocks = F.ceil((F.col("total") - width + 1) / block).cast("int")
+    first, last = F.greatest(F.ceil((F.col("bar") - block - width + 2) / block), F.lit(0)), F.least(F.floor(F.col("bar") / block), blocks - 1)
+    parts = rows.withColumn("blocks", blocks).withColumn("at", F.explode(F.sequence(first.cast("int"), last.cast("int"))))
+    parts = parts.groupBy("series_id", "at", "blocks").agg(F.array_sort(F.collect_list(F.struct("bar", "x"))).alias("_v")).select("series_id", "at", "blocks", F.col("_v.x").alias("values"))
+    tiles = parts.withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("series_id", "at", F.least("at", "_o").alias("low"), F.greatest("at", "_o").alias("high"), "values")
+
+    def tile(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("at", ignore_index=True)
+        shapes = [z_scored(windows(np.asarray(v, float), width)) for v in frame["values"]]
+        begin, out = frame["at"].to_numpy() * block, []
+        rows, columns = shapes[0], shapes[-1]
+        flat = ~columns.any(axis=1)
+        best, at = np.full(len(columns), np.inf), np.zeros(len(columns), np.int64)
+        for low in range(0, len(rows), 512):
+            part = rows[low : low + 512]
+            still = ~part.any(axis=1)
+            square = np.maximum(2 * width - 2 * (part @ columns.T), 0)
+            square[still[:, None] ^ flat[None, :]] = width
+            square[still[:, None] & flat[None, :]] = 0
+            own, others = begin[0] + np.arange(low, low + len(part)), begin[-1] + np.arange(len(columns))
+            square[np.abs(own[:, None] - others[None, :]) <= -(-width // 4)] = np.inf
+            out.append(pd.DataFrame({"start": own, "square": square.min(axis=1), "other": others[square.argmin(axis=1)]}))
+            if len(shapes) > 1:
+                least = square.argmin(axis=0)
+                value = square[least, np.arange(len(columns))]
+                better = value < best
+                best[better], at[better] = value[better], own[least[better]]
+        if len(shapes) > 1:
+            out.append(pd.DataFrame({"start": begin[1] + np.arange(len(columns)), "square": best, "other": at}))
+        return pd.concat(out).assign(series_id=frame["series_id"].iloc[0])[["series_id", "start", "square", "other"]]
+
+    found = tiles.groupBy("series_id", "low", "high").applyInPandas(tile, "series_id string, start long, square double, other long").where("square < double('infinity')")
+    return found.groupBy("series_id", "start").agg(F.min(F.struct("square", "other")).alias("_m")).select("series_id", "start", F.col("_m.other").alias("other"), F.sqrt("_m.square").alias("distance"))
+
+
+def motifs(bars: DataFrame, column: str = "close", width: int = 10, top: int = 5, tried: int = 10, block: int = 4096) -> DataFrame:
+    """Pairs of windows of width bars most alike by shape (z-scored distance), nearest first: of the tried windows of least distance to any other, those whose two places lie width apart or more and are not within half a width of one taken before."""
+    place = F.row_number().over(Window.partitionBy("series_id").orderBy(F.round("distance", 9), "start"))
+    least = nearest_windows(bars, column, width, block).withColumn("place", place).where(F.col("place") <= tried)
+
+    def taken(frame: pd.DataFrame) -> pd.DataFrame:
+        rows, held = [], []
+        for r in frame.sort_values("place").itertuples():
+            if abs(r.start - r.other) >= width and not any(t - width // 2 <= p < t + width // 2 for t in held for p in (r.start, r.other)):
+                held += [r.start, r.other]
+                rows.append((r.series_id, len(rows) + 1, r.start, r.other, width, r.distance, 1 / (1 + r.distance)))
+        return pd.DataFrame(rows[:top], columns=["series_id", "rank", "start_a", "start_b", "width", "distance", "similarity"])
+
+    return least.groupBy("series_id").applyInPandas(taken, "series_id string, rank int, start_a int, start_b int, width int, distance double, similarity double")
 
 
 def k_means(x: np.ndarray, k: int, seed: int = 42, tries: int = 5, rounds: int = 100) -> tuple[np.ndarray, float]:

@@ -6,7 +6,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.rolling import whole
@@ -17,7 +17,7 @@ from periodica.operators.cleaning import numbered
 def cycle_power(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Share of the power of each group of rows (place from 0, n, x, period) in the three frequencies around 1/period; 0 for fewer than 10 rows or a period below 2. The total follows from Parseval's sum, so three frequencies are enough."""
     taper = 0.5 - 0.5 * F.cos(2 * math.pi * F.col("place") / (F.col("n") - 1))
-    near = F.round(F.col("n") / F.col("period"))
+    near = F.ceil(F.col("n") / F.col("period") - 0.5)  # of two frequencies as near, the lower
     out = rows.where("n >= 10 and period >= 2").withColumn("w", F.col("x") * taper).withColumn("k0", near)
     wave = lambda k, f: F.sum(F.col("w") * f(2 * math.pi * k * F.col("place") / F.col("n")))
     power = lambda k: wave(k, F.cos) * wave(k, F.cos) + wave(k, F.sin) * wave(k, F.sin)
@@ -34,30 +34,34 @@ def cycle_power(rows: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def walk_forward(bars: DataFrame, cycles: DataFrame, column: str = "close", detected: float = 0.01) -> DataFrame:
-    """Hopping windows of a fifth of each series (60 bars at least) for each cycle (series_id, period): windows with the cycle over all that fit, mean power and spread where it was found, and the trend of its power with half-life.
+    """Hopping windows of a fifth of each series (60 bars at least) for each cycle (series_id, period): windows with the cycle over all, mean power and spread where it was found, and the trend of its power over all windows with half-life.
 
+    A cycle counts as found only in windows of three periods or more; its trend takes every window. Each cycle of a series with bars gives a row:
+    without windows, or where none finds it, the rate is 0 and the variation 1; fewer than four windows give no decay.
     Bars meet their windows by an equi-join on exploded window numbers, at most four or so for each bar.
     """
     rows = numbered(bars).select("series_id", "bar", F.col(column).alias("v"), F.count("*").over(whole()).alias("total"))
     width = F.greatest(F.floor(F.col("total") / 5), F.lit(60))
     step = F.greatest(F.floor(width / 4), F.lit(10))
-    rows = rows.withColumn("n", width).withColumn("step", step).where("total > n")
+    rows = rows.withColumn("n", width).withColumn("step", step)
+    wanted = cycles.select("series_id", "period").distinct()
+    series = rows.groupBy("series_id").agg(F.max("step").alias("step"), F.greatest(F.floor((F.max("total") - F.max("n")) / F.max("step")), F.lit(1)).alias("n_windows"))
     last = F.floor((F.col("total") - F.col("n") - 1) / F.col("step"))
     low, high = F.greatest(F.ceil((F.col("bar") - F.col("n") + 1) / F.col("step")), F.lit(0)), F.least(F.floor(F.col("bar") / F.col("step")), last)
-    rows = rows.where(high >= low).withColumn("window", F.explode(F.sequence(low, high)))
-    rows = rows.withColumn("place", F.col("bar") - F.col("window") * F.col("step")).join(cycles.select("series_id", "period"), "series_id").where(F.col("n") >= F.greatest(F.lit(20), 3 * F.col("period")))
-    power = cycle_power(rows.withColumnRenamed("v", "x"), ["series_id", "window", "step", "total"])
-    hit = F.col("power") > detected
-    out = power.groupBy("series_id", "period", "step", "total").agg(
-        F.count_if(hit).alias("_hits"), F.avg(F.when(hit, F.col("power"))).alias("power_mean"), F.stddev_pop(F.when(hit, F.col("power"))).alias("power_std"), F.count("*").alias("_tested"),
-        F.regr_slope("power", "window").alias("slope"), F.regr_intercept("power", "window").alias("intercept"), F.first("n").alias("n"),
+    rows = rows.where((F.col("total") > F.col("n")) & (high >= low)).withColumn("window", F.explode(F.sequence(low, high)))
+    rows = rows.withColumn("place", F.col("bar") - F.col("window") * F.col("step")).join(wanted, "series_id")
+    power = cycle_power(rows.withColumnRenamed("v", "x"), ["series_id", "window"])
+    hit = (F.col("power") > detected) & (F.col("n") >= F.greatest(F.lit(20), 3 * F.col("period")))
+    found = power.groupBy("series_id", "period").agg(
+        F.count_if(hit).alias("_hits"), F.avg(F.when(hit, F.col("power"))).alias("power_mean"), F.stddev_pop(F.when(hit, F.col("power"))).alias("power_std"), F.count("*").alias("_all"),
+        F.regr_slope("power", "window").alias("slope"), F.regr_intercept("power", "window").alias("intercept"),
     )
-    possible = F.greatest(F.floor((F.col("total") - F.col("n")) / F.col("step")), F.lit(1))
-    out = out.withColumn("n_windows", possible).withColumn("detection_rate", F.col("_hits") / possible).withColumn("period_cv", F.when(F.col("_hits") > 0, 0.0).otherwise(1.0))
-    out = out.withColumns({c: F.coalesce(F.col(c), F.lit(0.0)) for c in ("power_mean", "power_std")})
-    fades = (F.col("_tested") >= 4) & (F.col("slope") < 0) & (F.col("intercept") > 0)
-    out = out.withColumn("decay_per_year", F.when(F.col("_tested") >= 4, -F.col("slope") * 252 / F.col("step")).otherwise(0.0))
-    return out.withColumn("half_life_bars", F.when(fades, F.floor(F.col("intercept") / (2 * F.abs("slope")) * F.col("step")).cast("long"))).drop("_hits", "_tested", "total", "n")
+    out = wanted.join(series, "series_id").join(found, ["series_id", "period"], "left").na.fill(0, ["_hits", "_all"]).na.fill(0.0, ["power_mean", "power_std"])
+    out = out.withColumn("detection_rate", F.col("_hits") / F.col("n_windows")).withColumn("period_cv", F.when(F.col("_hits") > 0, 0.0).otherwise(1.0))
+    enough = F.col("_all") >= 4
+    out = out.withColumn("decay_per_year", F.when(enough, -F.col("slope") * 252 / F.col("step")).otherwise(0.0))
+    fades = enough & (F.col("slope") < 0) & (F.col("intercept") > 0)
+    return out.withColumn("half_life_bars", F.when(fades, F.floor(F.col("intercept") / (2 * F.abs("slope")) * F.col("step")).cast("long"))).drop("_hits", "_all")
 
 
 def out_of_sample(bars: DataFrame, cycles: DataFrame, column: str = "close", share: float = 0.7) -> DataFrame:
@@ -131,6 +135,18 @@ def stability(bars: DataFrame, cycles: DataFrame, column: str = "close", draws:
     return out.withColumn("is_stable", F.col("stability_score") >= stable_from)
 
 
+def detected_stability(bars: DataFrame, found: DataFrame, column: str = "close", most: int = 15, draws: int = 200, seed: int = 42) -> DataFrame:
+    """The tests of the strongest cycles that detect found in each series (series_id, rank, method, period; the first most by rank), ordered by their score: adds method and place, the mean score of the series as overall_score, and its number of stable cycles.
+
+    found is read several times and should be checkpointed. Cycles of one period share their tests.
+    """
+    some = found.where(F.col("rank") <= most).select("series_id", "period", "method", F.col("rank").alias("cycle_rank"))
+    tested = some.join(stability(bars, some, column, draws, seed), ["series_id", "period"])
+    order = Window.partitionBy("series_id").orderBy(F.desc("stability_score"), "cycle_rank")
+    out = tested.withColumn("overall_score", F.avg("stability_score").over(whole())).withColumn("n_stable", F.count_if("is_stable").over(whole()))
+    return out.withColumn("place", F.row_number().over(order))
+
+
 #: MacKinnon's surface for the p-value of a unit-root statistic with a constant (range, turning point, two polynomials), and critical values of the KPSS level statistic.
 UNIT_ROOT = {"least": -18.83, "most": 2.74, "turn": -1.61, "small": (2.1659, 1.4412, 0.038269), "large": (1.7339, 0.93202, -0.12745, -0.010368)}
 KPSS_LEVEL = {"statistic": (0.347, 0.463, 0.574, 0.739), "p": (0.10, 0.05, 0.025, 0.01)}

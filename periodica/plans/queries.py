@@ -135,7 +135,13 @@ add("turning_sequences", lambda b: patterns.turning_sequences(patterns.extrema(b
   from ({' union all '.join(f"select series_id, bar, {k} as length, array_to_string(list(step) over w, '>') as pattern from ({STEPS_SQL}) window w as (partition by series_id order by bar rows between current row and {k - 1} following) qualify count(*) over w = {k}" for k in (2, 3, 4))}) group by 1, 2, 3 having count(*) >= 2) qualify rank <= 3""")
 OCCURRENCES = ["series_id", "pattern_id", "occurrence_count", "rank"]
 add("shape_patterns", lambda b: patterns.pattern_statistics(patterns.shape_occurrences(b, widths=(20, 60))), OCCURRENCES, ["mean_duration", "similarity_threshold", "mean_forward_return", "std_forward_return", "hit_rate", "sharpe_like"], None)
-add("motifs", patterns.motifs, ["series_id", "rank", "start_a", "start_b", "width"], ["distance", "similarity"], None)
+add("motifs", patterns.motifs, ["series_id", "rank", "start_a", "start_b", "width"], ["distance", "similarity"], f"""with recursive moved as (select series_id, bar, list(close) over w as l, avg(close) over w as m, stddev_pop(close) over w as s, count(*) over w as c, count(*) over (partition by series_id) as total from ({NUMBERED_SQL}) window w as ({W} rows between current row and 9 following)),
+  shapes as (select series_id, bar as i, list_transform(l, lambda x: (x - m) / s)::double[10] as v from moved where c = 10 and total >= 40),
+  least as (select series_id, i, min(d) as d, arg_min(j, d) as j from (select a.series_id, a.i, b.i as j, sqrt(greatest(0, 20 - 2 * array_inner_product(a.v, b.v))) as d from shapes a join shapes b on a.series_id = b.series_id and abs(a.i - b.i) > 3) group by 1, 2),
+  tried as (select *, row_number() over (partition by series_id order by round(d, 9), i) as place from least qualify place <= 10),
+  steps as (select distinct series_id, 0::bigint as place, 0::bigint as rank, []::bigint[] as held, false as takes, 0::bigint as i, 0::bigint as j, 0::double as d from tried
+    union all select series_id, place, rank + fits::int, case when fits then list_concat(held, [i, j]) else held end, fits, i, j, d from (select t.series_id, t.place, s.rank, s.held, t.i::bigint as i, t.j::bigint as j, t.d, abs(t.i - t.j) >= 10 and len(list_filter(s.held, lambda t0: (t.i >= t0 - 5 and t.i < t0 + 5) or (t.j >= t0 - 5 and t.j < t0 + 5))) = 0 as fits from steps s join tried t on t.series_id = s.series_id and t.place = s.place + 1))
+  select series_id, rank, i as start_a, j as start_b, 10 as width, d as distance, 1 / (1 + d) as similarity from steps where takes and rank <= 5""")
 add("regimes", lambda b: patterns.regimes(b), [*KEYS, "bar", "state"], ["log_return"], None)
 add("volatility_runs", patterns.volatility_runs, ["series_id", "state", "start_bar", "end_bar"], ["duration"], f"""select series_id, state, min(bar) as start_bar, max(bar) as end_bar, max(bar) - min(bar) as duration from (select *, bar - row_number() over (partition by series_id, state order by bar) as island from
   (select *, case when z > 1 then 'high' when z < -0.5 then 'low' end as state from (select *, (v - avg(v) over s) / (stddev_samp(v) over s + 1e-10) as z from (select *, row_number() over ({W}) - 1 as bar, {roll('stddev_samp', 'log_return', 20)} as v from ({RETURNS_SQL})) window s as (partition by series_id))) where state is not null) group by series_id, state, island""")
@@ -174,15 +180,28 @@ FOUND = ["period", "frequency", "amplitude", "power", "phase", "confidence", "st
 add("detected_cycles", lambda b: cycles.detect(DETRENDED(b), "detrended"), ["series_id", "rank", "method", "next_turning_point_bars", "turning_point_type"], [*FOUND, "period_calendar"], None)
 add("consensus_cycles", lambda b: cycles.consensus(spectral.score(cycles.candidates(DETRENDED(b), "detrended"), 1000)), ["series_id", "method", "n_found"], FOUND, None)
 add("stationarity", stability.stationarity, ["series_id", "is_stationary_adf", "is_stationary_kpss"], ["adf_p", "kpss_p"], None)
-add("cycle_stability", lambda b: stability.stability(DETRENDED(b), fixed_cycles(b), "detrended", draws=50), ["series_id", "n_windows", "half_life_bars", "is_significant", "is_stable"], ["period", "detection_rate", "power_mean", "oos_ratio", "percentile", "stability_score"], None)
+add("cycle_stability", lambda b: stability.stability(DETRENDED(b), fixed_cycles(b), "detrended"), ["series_id", "n_windows", "half_life_bars", "is_significant", "is_stable"], ["period", "detection_rate", "power_mean", "oos_ratio", "percentile", "stability_score"], None)
 add("histogram", lambda b: joins.histogram(b, "close", 20), ["series_id", "bin", "n"], ["low", "high"], """select series_id, bin, any_value(least_value + bin * step) as low, any_value(least_value + (bin + 1) * step) as high, count(*) as n from (select *, least(floor((close - least_value) / step), 19)::int as bin from (select *, (most_value - least_value) / 20 as step
   from (select *, min(close) over (partition by series_id) as least_value, max(close) over (partition by series_id) as most_value from bars))) group by 1, 2""")
 add("outlier_counts", lambda b: joins.outlier_counts(b, "close", 0.5), ["series_id", "n", "outliers"], [], """select series_id, count(close) as n, count(*) filter (close < q1 - 0.5 * (q3 - q1) or close > q3 + 0.5 * (q3 - q1)) as outliers from bars join
   (select series_id, quantile_cont(close, 0.25) as q1, quantile_cont(close, 0.75) as q3 from bars group by 1) using (series_id) group by 1""")
 add("as_of_monthly_close", lambda b: joins.as_of(b.select("series_id", "ts", "close"), sources.resample(b, "week").select("series_id", "ts", F.col("close").alias("week_close")), ["series_id"]), KEYS, ["close", "week_close"], "select a.series_id, a.ts, a.close, w.week_close from bars a asof left join (select series_id, date_trunc('week', ts)::timestamp as ts, arg_max(close, ts) as week_close from bars group by 1, 2) w on a.series_id = w.series_id and a.ts >= w.ts")
 add("price_bands", lambda b: joins.within_intervals(b, b.sparkSession.createDataFrame([(i, 60000.0 * i, 60000.0 * i + 90000.0) for i in range(8)], "band int, low_price double, high_price double"), "close", "low_price", "high_price", 30000.0).groupBy("series_id", "band").agg(F.count("*").alias("n")), ["series_id", "band", "n"], [], "select series_id, band, count(*) as n from bars join (select i::int as band, 60000.0 * i as low_price, 60000.0 * i + 90000.0 as high_price from range(8) t(i)) on close between low_price and high_price group by 1, 2")
-add("walk_forward", lambda b: stability.walk_forward(b, fixed_cycles(b)), ["series_id", "n_windows", "half_life_bars"], ["period", "detection_rate", "power_mean", "power_std", "decay_per_year"], None)
-add("out_of_sample", lambda b: stability.out_of_sample(b, fixed_cycles(b)), ["series_id"], ["period", "is_power", "oos_power", "oos_ratio"], None)
+POWERS_SQL = """powers as (select series_id, part, n, k, pow(sum(v * cos(2 * pi() * ((k * place) % n) / n)), 2) + pow(sum(v * sin(2 * pi() * ((k * place) % n) / n)), 2) as power
+    from (select *, close * (0.5 - 0.5 * cos(2 * pi() * place / (n - 1))) as v, unnest(range(n // 2 + 1)) as k from parts where n >= 10) group by 1, 2, 3, 4),
+  shares as (select series_id, part, n, period, coalesce(sum(power) filter (abs(k - ceil(n / period - 0.5)) <= 1), 0) / (sum(power) + 1e-10) as power from powers, (select unnest([5.0, 20.0, 60.0])::double as period) group by 1, 2, 3, 4)"""
+COUNTED_SQL = f"select series_id, bar, close, count(*) over (partition by series_id) as total from ({NUMBERED_SQL})"
+add("walk_forward", lambda b: stability.walk_forward(b, fixed_cycles(b)), ["series_id", "n_windows", "half_life_bars"], ["period", "detection_rate", "period_cv", "power_mean", "power_std", "decay_per_year"], f"""with sized as (select *, greatest(n // 4, 10) as step from (select *, greatest(total // 5, 60) as n from ({COUNTED_SQL}))),
+  begins as (select series_id, n, step, unnest(range(0, greatest(total - n, 0), step)) as begin from (select distinct series_id, total, n, step from sized)),
+  parts as (select z.series_id, begin // z.step as part, z.n, bar - begin as place, close from sized z join begins b on z.series_id = b.series_id and bar between begin and begin + z.n - 1), {POWERS_SQL},
+  judged as (select *, power > 0.01 and n >= greatest(20, 3 * period) as hit from shares),
+  trends as (select series_id, period, count(*) as tested, count(*) filter (hit) as hits, avg(power) filter (hit) as power_mean, stddev_pop(power) filter (hit) as power_std, regr_slope(power, part) as slope, regr_intercept(power, part) as intercept from judged group by 1, 2)
+  select series_id, period, n_windows, coalesce(hits, 0) / n_windows as detection_rate, case when hits > 0 then 0 else 1 end as period_cv, coalesce(power_mean, 0) as power_mean, coalesce(power_std, 0) as power_std, case when tested >= 4 then -slope * 252 / step else 0 end as decay_per_year,
+    case when tested >= 4 and slope < 0 and intercept > 0 then floor(intercept / (2 * -slope) * step)::bigint end as half_life_bars
+  from (select distinct series_id, step, greatest((total - n) // step, 1) as n_windows from sized) cross join (select unnest([5.0, 20.0, 60.0])::double as period) left join trends using (series_id, period)""")
+add("out_of_sample", lambda b: stability.out_of_sample(b, fixed_cycles(b)), ["series_id"], ["period", "is_power", "oos_power", "oos_ratio"], f"""with cut as (select *, floor(total * 0.7)::bigint as border from ({COUNTED_SQL})),
+  parts as (select series_id, (bar >= border)::int as part, case when bar < border then border else total - border end as n, case when bar < border then bar else bar - border end as place, close from cut), {POWERS_SQL}
+  select series_id, period, is_power, oos_power, least(greatest(oos_power / (is_power + 1e-10), 0), 2) as oos_ratio from (select series_id, period, max(power) filter (part = 0) as is_power, max(power) filter (part = 1) as oos_power from shares group by 1, 2)""")
 add("shape_clusters", lambda b: models.shape_clusters(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar", "cluster"], ["similarity"], None)
 add("linear_embeddings", lambda b: models.linear_embeddings(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar"], ["reconstruction_error", "anomaly_score"], None)
 add("forest_importance", lambda b: models.forest_importance(features.target(features.momentum(b)), ["ret_1", "ret_5", "ret_20", "momentum_5_20"]), ["feature"], ["importance"], None)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.storage import checkpointed
-from periodica.operators import cleaning, ephemeris, features, information, models, modes, relations, spectrogram, warping
+from periodica.operators import autoencoder, cleaning, cycles, ephemeris, features, information, models, modes, relations, spectrogram, stability, warping
 from periodica.plans.queries import BARS_SQL, KEYS, NUMBERED_SQL, W, order_bars, rounded, sql, table
 from periodica.sources import bars as sources
 
@@ -167,3 +167,19 @@ add("mutual_information", lambda b: information.mutual_information(features.targ
 add("warped_clusters", lambda b: warping.warped_clusters(models.hopping_windows(b)), ["series_id", "start_bar", "end_bar", "cluster"], ["similarity"], None)
 add("empirical_modes", lambda b: modes.empirical_modes(cleaning.detrend_linear(b), "detrended"), [*KEYS, "mode", "is_rest"], ["value"], None)
 add("mode_cycles", lambda b: modes.mode_cycles(cleaning.detrend_linear(b), "detrended"), ["series_id", "mode"], ["period", "frequency", "amplitude", "power", "confidence"], None)
+
+
+def trained(bars: DataFrame) -> DataFrame:
+    """Hopping windows with the embeddings of an autoencoder trained on all but the last of each series."""
+    windows = models.hopping_windows(bars)
+    return autoencoder.encoded(windows, autoencoder.train(windows))
+
+
+def stability_of_detected(bars: DataFrame) -> DataFrame:
+    flat = cleaning.detrend_linear(bars)
+    return stability.detected_stability(flat, checkpointed(cycles.detect(flat, "detrended")), "detrended")
+
+
+add("trained_embeddings", trained, ["series_id", "start_bar", "end_bar"], ["reconstruction_error", "anomaly_score"], None)
+add("embedding_analogs", lambda b: autoencoder.embedding_analogs(trained(b)), ["series_id", "rank", "start_bar", "end_bar"], ["similarity"], None)
+add("detected_cycle_stability", stability_of_detected, ["series_id", "place", "method", "cycle_rank", "n_windows", "half_life_bars", "is_significant", "is_stable", "n_stable"], ["period", "detection_rate", "power_mean", "power_std", "decay_per_year", "is_power", "oos_power", "oos_ratio", "percentile", "stability_score", "overall_score"], None)

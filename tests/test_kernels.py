@@ -2,6 +2,7 @@ import datetime
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from periodica.functions.series import dtw, find_peaks, prominences
@@ -114,3 +115,51 @@ def test_averages_begin_after_gaps(spark):
 
     rows = features.macd(series(spark, [None, 1.0, 2.0, None, 3.0])).orderBy("ts").collect()
     assert len(rows) == 5 and rows[1].macd == 0.0
+
+
+def test_motifs_by_tiles_equal_one_block(spark):
+    random = np.random.default_rng(6)
+    x = random.standard_normal(230).cumsum()
+    x[40:60] = x[40]
+    x[150:162] = x[20:32]
+    x[200:215] = 1.0
+    bars = series(spark, x, "a").union(series(spark, random.standard_normal(90), "b")).union(series(spark, [1.0] * 30, "short"))
+    whole, tiled = patterns.nearest_windows(bars), patterns.nearest_windows(bars.repartition(3), block=32)
+    key = ["series_id", "start"]
+    one, many = whole.orderBy(key).collect(), tiled.orderBy(key).collect()
+    assert [(r.series_id, r.start) for r in one] == [(r.series_id, r.start) for r in many] and len(one) == 221 + 81
+    assert np.allclose([r.distance for r in one], [r.distance for r in many], atol=1e-6)
+    shapes = np.array([x[i : i + 10] for i in range(221)])
+    flat = shapes.std(axis=1) < 1e-8
+    shapes = (shapes - shapes.mean(axis=1)[:, None]) / np.where(flat, 1, shapes.std(axis=1))[:, None]
+    apart = np.sqrt(((shapes[:, None] - shapes[None]) ** 2).sum(axis=2))
+    apart[flat[:, None] & flat[None, :]] = 0
+    apart[np.abs(np.arange(221)[:, None] - np.arange(221)) <= 3] = np.inf
+    assert np.allclose([r.distance for r in many if r.series_id == "a"], apart.min(axis=1), atol=1e-6)
+    assert patterns.motifs(bars, block=32).where("series_id = 'a' and rank = 1").first().distance < 1e-6
+
+
+def test_walk_forward_of_long_cycles(spark):
+    x = np.sin(2 * np.pi * np.arange(600) / 150) + np.arange(600) / 600
+    bars = series(spark, x).union(series(spark, x[:40], "short"))
+    wanted = spark.createDataFrame([("a", 150.0), ("a", 1.5), ("short", 10.0)], "series_id string, period double")
+    rows = {(r.series_id, r.period): r for r in stability.walk_forward(bars, wanted).collect()}
+    powers = [stability.share_at(x[s : s + 120][None], 150.0)[0] for s in range(0, 480, 30)]
+    slope = np.polyfit(np.arange(16), powers, 1)[0]
+    long = rows[("a", 150.0)]
+    assert (long.detection_rate, long.period_cv, long.n_windows, long.power_mean) == (0, 1, 16, 0)
+    assert long.decay_per_year == pytest.approx(-slope * 252 / 30, abs=1e-9) and long.decay_per_year != 0
+    assert (rows[("a", 1.5)].detection_rate, rows[("a", 1.5)].decay_per_year, rows[("short", 10.0)].n_windows, rows[("short", 10.0)].decay_per_year) == (0, 0, 1, 0)
+
+
+def test_stability_of_detected_cycles(spark):
+    x = np.sin(2 * np.pi * np.arange(400) / 20) + 0.3 * np.random.default_rng(5).standard_normal(400)
+    bars = series(spark, x)
+    found = cycles.detect(bars, "close").cache()
+    rows = stability.detected_stability(bars, found, most=6, draws=30).orderBy("place").collect()
+    assert len(rows) == found.where("rank <= 6").count()
+    scores = [r.stability_score for r in rows]
+    assert scores == sorted(scores, reverse=True)
+    assert all(r.overall_score == pytest.approx(np.mean(scores)) and r.n_stable == sum(s >= 0.5 for s in scores) for r in rows)
+    near = next(r for r in rows if abs(r.period - 20) < 2)
+    assert near.is_stable and near.place == 1
