@@ -51,3 +51,10 @@ def emas(bars: DataFrame, x: str, spans: Sequence[int]) -> DataFrame:
         return frame.assign(**{n: frame[x].astype(float).ewm(span=s, adjust=False).mean() for n, s in names.items()})
 
     return per_series(bars, [f.name for f in kept if f.name != "ts"], lambda f: run(f)[[*[k.name for k in kept], *names]], kinds + "".join(f", {n} double" for n in names))
+
+
+def correlation(a: str, b: str, over: WindowSpec | None = None) -> Column:
+    """Pearson correlation of the rows where both columns are known, as an aggregate or over a window; null where either is constant, instead of an error."""
+    within = lambda c: c.over(over) if over is not None else c
+    deviation = lambda x, y: within(F.stddev_pop(F.when(F.col(y).isNotNull(), F.col(x))))
+    return F.try_divide(within(F.covar_pop(a, b)), deviation(a, b) * deviation(b, a))

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.functions.rolling import along, emas, lag, lead, rolling
+from periodica.functions.rolling import along, correlation, emas, lag, lead, rolling
 
 HORIZONS = (1, 2, 3, 5, 10, 20, 40, 60, 120, 252)
 EPS = 1e-10
@@ -91,7 +91,7 @@ def rolling_autocorrelation(bars: DataFrame, width: int = 60) -> DataFrame:
     out = bars.withColumn("_r", log_return(1))
     for n in (1, 2, 3, 5, 10, 20):
         over = along().rowsBetween(-(width - n - 1), 0)
-        value = F.when(F.count("_r").over(along().rowsBetween(-(width - 1), 0)) >= width, F.corr("_r", f"_lag_{n}").over(over))
+        value = F.when(F.count("_r").over(along().rowsBetween(-(width - 1), 0)) >= width, correlation("_r", f"_lag_{n}", over))
         out = out.withColumn(f"_lag_{n}", lag("_r", n)).withColumn(f"autocorrelation_{n}", value).drop(f"_lag_{n}")
     return out.drop("_r")
 
@@ -101,7 +101,7 @@ def target(bars: DataFrame, horizon: int = 5) -> DataFrame:
 
 
 def f_scores(features: DataFrame, names: list[str], aim: str = "target") -> DataFrame:
-    """One-factor F statistic of each feature against aim, by series: r^2 / (1 - r^2) (n - 2)."""
+    """One-factor F statistic of each feature against aim, by series: r^2 / (1 - r^2) (n - 2); 0 where either is constant or r is 1."""
     long = features.unpivot(["series_id", aim], names, "feature", "value").where(F.col("value").isNotNull() & F.col(aim).isNotNull())
-    grouped = long.groupBy("series_id", "feature").agg(F.corr("value", aim).alias("r"), F.count("*").alias("n"))
-    return grouped.withColumn("f_score", F.coalesce(F.col("r") * F.col("r") / (1 - F.col("r") * F.col("r")) * (F.col("n") - 2), F.lit(0.0)))
+    grouped = long.groupBy("series_id", "feature").agg(correlation("value", aim).alias("r"), F.count("*").alias("n"))
+    return grouped.withColumn("f_score", F.coalesce(F.try_divide(F.col("r") * F.col("r"), 1 - F.col("r") * F.col("r")) * (F.col("n") - 2), F.lit(0.0)))

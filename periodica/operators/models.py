@@ -46,8 +46,8 @@ def linear_embeddings(windows: DataFrame, size: int = 8) -> DataFrame:
     return out.withColumn("anomaly_score", (F.col("reconstruction_error") - low) / (high - low + 1e-10))
 
 
-def forest_importance(features: DataFrame, names: list[str], aim: str = "target", seed: int = 42) -> DataFrame:
-    """(feature, importance) of a random forest of 50 trees of depth 5 for aim."""
+def forest_importance(features: DataFrame, names: list[str], aim: str = "target", seed: int = 42, trees: int = 100, depth: int = 6) -> DataFrame:
+    """(feature, importance) of a random forest for aim; each split tries the root of the number of features."""
     rows = VectorAssembler(inputCols=names, outputCol="_features").transform(features.where(F.col(aim).isNotNull()).select(aim, *names).na.fill(0.0))
-    model = RandomForestRegressor(featuresCol="_features", labelCol=aim, numTrees=50, maxDepth=5, seed=seed).fit(rows)
+    model = RandomForestRegressor(featuresCol="_features", labelCol=aim, numTrees=trees, maxDepth=depth, featureSubsetStrategy="sqrt", seed=seed).fit(rows)
     return features.sparkSession.createDataFrame([(n, float(v)) for n, v in zip(names, model.featureImportances.toArray(), strict=True)], "feature string, importance double")

@@ -7,6 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from periodica.functions.rolling import correlation
 from periodica.functions.series import dtw, per_series, windows, z_scored
 from periodica.functions.statistics import correlation_p
 from periodica.operators.cleaning import numbered
@@ -18,7 +19,7 @@ def lag_correlation(left: DataFrame, right: DataFrame, most: int = 20, least: in
     order = Window.partitionBy("series_id", "other_id").orderBy("ts")
     rows = met.select("series_id", "other_id", "value", "other", F.row_number().over(order).alias("bar"))
     lagged = rows.withColumn("lag", F.explode(F.sequence(F.lit(-most), F.lit(most)))).select("series_id", "other_id", "lag", (F.col("bar") + F.col("lag")).alias("bar"), "other")
-    out = rows.drop("other").join(lagged, ["series_id", "other_id", "bar"]).groupBy("series_id", "other_id", "lag").agg(F.corr("value", "other").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
+    out = rows.drop("other").join(lagged, ["series_id", "other_id", "bar"]).groupBy("series_id", "other_id", "lag").agg(correlation("value", "other").alias("r"), F.count("*").alias("n")).where(F.col("n") >= least)
     return out.withColumn("t", F.col("r") * F.sqrt((F.col("n") - 2) / (1 - F.col("r") * F.col("r"))))
 
 

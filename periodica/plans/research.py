@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.storage import checkpointed
-from periodica.operators import autoencoder, cleaning, cycles, ephemeris, features, information, models, modes, relations, spectrogram, stability, warping
-from periodica.plans.queries import BARS_SQL, KEYS, NUMBERED_SQL, W, order_bars, rounded, sql, table
+from periodica.operators import autoencoder, cleaning, cycles, ephemeris, features, information, models, modes, ranking, relations, spectral, spectrogram, stability, warping
+from periodica.plans.queries import BARS_SQL, KEYS, NUMBERED_SQL, PEAKS_SQL, W, order_bars, rounded, sql, table
 from periodica.sources import bars as sources
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -183,3 +183,22 @@ def stability_of_detected(bars: DataFrame) -> DataFrame:
 add("trained_embeddings", trained, ["series_id", "start_bar", "end_bar"], ["reconstruction_error", "anomaly_score"], None)
 add("embedding_analogs", lambda b: autoencoder.embedding_analogs(trained(b)), ["series_id", "rank", "start_bar", "end_bar"], ["similarity"], None)
 add("detected_cycle_stability", stability_of_detected, ["series_id", "place", "method", "cycle_rank", "n_windows", "half_life_bars", "is_significant", "is_stable", "n_stable"], ["period", "detection_rate", "power_mean", "power_std", "decay_per_year", "is_power", "oos_power", "oos_ratio", "percentile", "stability_score", "overall_score"], None)
+
+
+def spectral_cycles(bars: DataFrame) -> DataFrame:
+    """The strongest peaks of the periodogram, with ranks."""
+    return spectral.score(spectral.peaks(spectral.periodogram(bars, "close"), "k", "power", 0.01).withColumn("confidence", F.lit(0.0)))
+
+
+NAMES = ["ret_1", "ret_5", "ret_20", "cat_momentum_5_20", "cat_momentum_20_60", "cat_calendar_weekday"]
+MIXED = lambda b: ranking.filled(features.target(features.calendar(features.momentum(b))).withColumnsRenamed({"momentum_5_20": NAMES[3], "momentum_20_60": NAMES[4], "weekday": NAMES[5]}), NAMES)
+RETURN_SQL = {n: f"ln(close / lag(close, {n}) over ({W}))" for n in (1, 5, 20, 60)}
+GAPS_SQL = f"select series_id, ts, ln(lead(close, 5) over ({W}) / close) as target, {RETURN_SQL[1]} as ret_1, {RETURN_SQL[5]} as ret_5, {RETURN_SQL[20]} as ret_20, {RETURN_SQL[5]} - {RETURN_SQL[20]} as cat_momentum_5_20, {RETURN_SQL[20]} - {RETURN_SQL[60]} as cat_momentum_20_60, (isodow(ts) - 1) / 6 as cat_calendar_weekday from bars"
+FILLED_SQL = f"select series_id, ts, target, {', '.join(f'coalesce(last_value({n} ignore nulls) over ({W} rows between unbounded preceding and current row), 0) as {n}' for n in NAMES)} from ({GAPS_SQL})"
+add("phase_features", lambda b: ranking.phase_features(b, spectral_cycles(b)), [*KEYS, "rank"], ["cycle_sin", "cycle_cos", "cycle_amplitude"], f"""with c as (select series_id, period, phase, 2 * sqrt(power) / n as amplitude, row_number() over (partition by series_id order by strength desc, period) as rank from (select *, round(least(0.6 * power / max(power) over (partition by series_id) + 0.09 + 0.1 * least(greatest(1 - abs(period - n / 4) / (n / 4), 0.1), 1), 1), 4) as strength from ({PEAKS_SQL})))
+  select series_id, ts, rank, sin(2 * pi() * bar / period + phase) as cycle_sin, cos(2 * pi() * bar / period + phase) as cycle_cos, amplitude as cycle_amplitude from ({NUMBERED_SQL}) join c using (series_id) where rank <= 10""")
+add("feature_matrix", MIXED, KEYS, [*NAMES, "target"], FILLED_SQL)
+add("f_ranking", lambda b: ranking.f_ranking(MIXED(b), NAMES), ["series_id", "feature", "n"], ["f_score", "f_norm"], f"""select *, f_score / (max(f_score) over (partition by series_id) + 1e-10) as f_norm from (select series_id, feature, count(*) as n, coalesce(corr(value, target) ** 2 / (1 - corr(value, target) ** 2) * (count(*) - 2), 0) as f_score
+  from (unpivot ({FILLED_SQL}) on {', '.join(NAMES)} into name feature value value) where target is not null group by 1, 2)""")
+add("feature_ranking", lambda b: ranking.ranked(MIXED(b), NAMES), ["series_id", "place", "feature", "category"], ["rf_importance", "mi_score", "f_norm", "composite"], None)
+add("category_importance", lambda b: ranking.category_importance(ranking.ranked(MIXED(b), NAMES)), ["series_id", "place", "category", "n_features"], ["importance"], None)
