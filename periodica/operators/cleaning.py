@@ -44,19 +44,20 @@ def interpolate(bars: DataFrame, column: str = "close", most: int = 5, carry: in
 
 
 def winsorize(bars: DataFrame, column: str = "close", share: float = 0.005, to: str = "winsorized") -> DataFrame:
-    """The int(share n) least and largest values of a series take the next value inwards."""
-    place = F.row_number().over(whole().orderBy(column)) - 1
+    """The int(share n) least and largest values of a series take the next value inwards; gaps stay gaps."""
+    place = F.row_number().over(whole().orderBy(F.asc_nulls_last(column))) - 1
     cut = F.floor(F.lit(share) * F.count(column).over(whole()))
     out = bars.withColumn("_place", place).withColumn("_cut", cut).withColumn("_n", F.count(column).over(whole()))
     low = F.max(F.when(F.col("_place") == F.col("_cut"), F.col(column))).over(whole())
     high = F.max(F.when(F.col("_place") == F.col("_n") - F.col("_cut") - 1, F.col(column))).over(whole())
-    return out.withColumn(to, F.least(F.greatest(F.col(column), low), high)).drop("_place", "_cut", "_n")
+    return out.withColumn(to, F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), low), high))).drop("_place", "_cut", "_n")
 
 
 def iqr_clip(bars: DataFrame, column: str = "close", width: float = 3.0, to: str = "clipped") -> DataFrame:
+    """Values outside the quartiles by more than width times their distance take that bound; gaps stay gaps."""
     quarter = lambda p: F.percentile(column, F.lit(p)).over(whole())
     spread = width * (quarter(0.75) - quarter(0.25))
-    return bars.withColumn(to, F.least(F.greatest(F.col(column), quarter(0.25) - spread), quarter(0.75) + spread))
+    return bars.withColumn(to, F.when(F.col(column).isNotNull(), F.least(F.greatest(F.col(column), quarter(0.25) - spread), quarter(0.75) + spread)))
 
 
 def z_outliers(bars: DataFrame, column: str = "close", limit: float = 4.0) -> DataFrame:
@@ -127,14 +128,18 @@ def preprocess(bars: DataFrame) -> DataFrame:
 
 
 def summary(bars: DataFrame) -> DataFrame:
-    """Counts, range, returns, volatility, Sharpe ratio and deepest fall of each series."""
+    """Counts, range, returns, volatility, Sharpe ratio, deepest fall, and sample skewness (of 3 returns or more) and excess kurtosis (of 4) of each series."""
     out = returns(bars).withColumn("fall", (F.col("close") - F.max("close").over(along())) / F.max("close").over(along()))
     year = F.lit(float(TRADING_DAYS))
     grouped = out.groupBy("series_id").agg(
         F.count("*").alias("n_bars"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.min("close").alias("min_close"), F.max("close").alias("max_close"), F.avg("close").alias("mean_close"),
         (F.max_by("close", "ts") / F.min_by("close", "ts") - 1).alias("total_return"), (F.stddev_samp("log_return") * F.sqrt(year)).alias("annual_volatility"), (F.avg("log_return") * year).alias("annual_return"), F.min("fall").alias("max_drawdown"),
+        F.count("log_return").alias("_n"), F.skewness("log_return").alias("_skew"), F.kurtosis("log_return").alias("_kurt"),
     )
-    return grouped.withColumn("sharpe", F.col("annual_return") / (F.col("annual_volatility") + 1e-10))
+    n = F.col("_n").cast("double")  # sample corrections of the population moments
+    skew = F.when(n > 2, F.col("_skew") * F.sqrt(n * (n - 1)) / (n - 2))
+    kurt = F.when(n > 3, ((n + 1) * F.col("_kurt") + 6) * (n - 1) / ((n - 2) * (n - 3)))
+    return grouped.withColumns({"sharpe": F.col("annual_return") / (F.col("annual_volatility") + 1e-10), "skewness": skew, "kurtosis": kurt}).drop("_n", "_skew", "_kurt")
 
 
 def hp_trend(x: np.ndarray, smoothness: float) -> np.ndarray:

@@ -36,6 +36,7 @@ def momentum(bars: DataFrame) -> DataFrame:
 def rolling_moments(bars: DataFrame) -> DataFrame:
     out = bars.withColumns({f"z_{n}": (F.col("close") - rolling("close", n, F.avg)) / (rolling("close", n, F.stddev_samp) + EPS) for n in (20, 60, 120)})
     out = out.withColumn("r", log_return(1)).withColumns({f"vol_{n}": rolling("r", n, F.stddev_samp) for n in (5, 10, 20, 40, 60, 120)})
+    out = out.withColumns({f"vol_year_{n}": F.col(f"vol_{n}") * math.sqrt(252) for n in (5, 10, 20, 40, 60, 120)})
     for n in (20, 60):  # sample corrections of the population moments
         skew = rolling("r", n, F.skewness) * math.sqrt(n * (n - 1)) / (n - 2)
         kurt = ((n + 1) * rolling("r", n, F.kurtosis) + 6) * (n - 1) / ((n - 2) * (n - 3))

@@ -59,3 +59,27 @@ def outlier_counts(bars: DataFrame, column: str, width: float = 3.0) -> DataFram
     wide: Column = width * (F.col("_q")[1] - F.col("_q")[0])
     out = (F.col(column) < F.col("_q")[0] - wide) | (F.col(column) > F.col("_q")[1] + wide)
     return bars.join(fences, "series_id").groupBy("series_id").agg(F.count(column).alias("n"), F.count_if(out).alias("outliers"))
+
+
+def aligned(left: DataFrame, right: DataFrame, columns: list[str], names: tuple[str, str] = ("left", "right"), by: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """Full outer join of two tables by keys: <column>_<name> of both sides, null where a side has no row. Null keys meet nothing and stay."""
+    sides = [side.select(*by, *[F.col(c).alias(f"{c}_{n}") for c in columns]) for side, n in zip((left, right), names, strict=True)]
+    return sides[0].join(sides[1], list(by), "full")
+
+
+def present(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """Rows of left whose keys right has, each once however often right has them."""
+    return left.join(right.select(*by), list(by), "left_semi")
+
+
+def absent(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("series_id", "ts")) -> DataFrame:
+    """Rows of left whose keys right does not have; rows with a null key stay."""
+    return left.join(right.select(*by), list(by), "left_anti")
+
+
+def set_sizes(left: DataFrame, right: DataFrame, by: tuple[str, ...] = ("series_id",), of: str = "ts") -> DataFrame:
+    """For each group of by how many different values of of are in either side, in both, and in one only: (by, n_either, n_both, n_left, n_right), by one grouping of both sides together."""
+    side = lambda rows, bit: rows.select(*by, of).withColumn("_side", F.lit(bit))
+    each = side(left, 1).unionByName(side(right, 2)).groupBy(*by, of).agg(F.bit_or("_side").alias("_sides"))
+    count = lambda s: F.count_if(F.col("_sides") == s)
+    return each.groupBy(*by).agg(F.count("*").alias("n_either"), count(3).alias("n_both"), count(1).alias("n_left"), count(2).alias("n_right"))

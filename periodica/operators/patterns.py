@@ -63,6 +63,47 @@ def volatility_runs(bars: DataFrame, high: float = 1.0, low: float = -0.5) -> Da
     return runs.select("series_id", "state", "start_bar", "end_bar", (F.col("end_bar") - F.col("start_bar")).alias("duration"))
 
 
+def _ahead(h: int) -> Column:
+    """Sum of the log returns of a bar and the h - 1 after it, null within h bars of the end of the series."""
+    return F.when(F.col("bar") + h < F.count("*").over(whole()), F.sum("log_return").over(along().rowsBetween(0, h - 1)))
+
+
+def volatility_cycles(bars: DataFrame, high: float = 1.0, low: float = -0.5, least: int = 3) -> DataFrame:
+    """Occurrences of high and of low volatility: (series_id, pattern_id, start_bar, end_bar, start_ts, end_ts, similarity, forward_5), of kinds with at least least of them in a series.
+
+    As in volatility_runs, but the bars before the first rolling deviation take that one; forward_5 sums 5 log returns from the last bar of a run on.
+    """
+    v, later = rolling("log_return", 20, F.stddev_samp), along().rowsBetween(0, Window.unboundedFollowing)
+    out = numbered(returns(bars)).withColumn("_v", v).withColumn("_v", F.first("_v", ignorenulls=True).over(later)).withColumn("_ahead", _ahead(5))
+    z = (F.col("_v") - F.avg("_v").over(whole())) / (F.stddev_samp("_v").over(whole()) + 1e-10)
+    out = out.withColumn("_z", z).withColumn("pattern_id", F.when(F.col("_z") > high, "volcycle_high_vol").when(F.col("_z") < low, "volcycle_low_vol")).where("pattern_id is not null")
+    island = F.col("bar") - F.row_number().over(Window.partitionBy("series_id", "pattern_id").orderBy("bar"))
+    runs = out.withColumn("_island", island).groupBy("series_id", "pattern_id", "_island").agg(
+        F.min("bar").alias("start_bar"), F.max("bar").alias("end_bar"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.lit(1.0).alias("similarity"), F.max_by("_ahead", "bar").alias("forward_5")
+    )
+    return runs.drop("_island").withColumn("_n", F.count("*").over(Window.partitionBy("series_id", "pattern_id"))).where(F.col("_n") >= least).drop("_n")
+
+
+def turning_cycles(bars: DataFrame, column: str = "close", lengths: tuple[int, ...] = (2, 3, 4), least: int = 3, top: int = 3) -> DataFrame:
+    """Occurrences of repeating runs of steps between extrema: (series_id, pattern_id, length, start_bar, end_bar, similarity, forward_5), of the top most frequent runs of each length with at least least of them.
+
+    A run begins at an extremum and names the bars to, and the kind of, each of the next ones; ties go to the run seen first. Series of fewer than 3 maxima or minima, or
+    of fewer steps than 4 or twice the length, give none. forward_5 sums 5 log returns from the last bar on.
+    """
+    order, each = Window.partitionBy("series_id").orderBy("bar"), whole()
+    sums = numbered(returns(bars)).withColumn("forward_5", _ahead(5)).select("series_id", F.col("bar").alias("end_bar"), "forward_5")
+    found = extrema(bars, column).withColumn("_steps", F.count("*").over(each) - 1).where("_steps >= 4")
+    found = found.withColumn("_tops", F.count_if(F.col("kind") == "max").over(each)).where("_tops >= 3 and _steps + 1 - _tops >= 3")
+    bar, kind = [F.lead("bar", k).over(order) for k in range(max(lengths) + 1)], [F.lead("kind", k).over(order) for k in range(max(lengths) + 1)]
+    steps = [F.concat_ws(":", bar[k] - bar[k - 1], kind[k]) for k in range(1, max(lengths) + 1)]
+    runs = [F.struct(F.lit(n).alias("length"), bar[n].alias("end_bar"), F.concat_ws(">", *steps[:n]).alias("pattern_id")) for n in lengths]
+    runs = found.select("series_id", F.col("bar").alias("start_bar"), "_steps", F.array(*runs).alias("_runs")).select("series_id", "start_bar", "_steps", F.inline("_runs"))
+    same, of_length = Window.partitionBy("series_id", "length", "pattern_id"), Window.partitionBy("series_id", "length")
+    runs = runs.where("end_bar is not null and _steps >= 2 * length").withColumn("_n", F.count("*").over(same)).withColumn("_first", F.min("start_bar").over(same))
+    runs = runs.withColumn("_place", F.dense_rank().over(of_length.orderBy(F.desc("_n"), "_first"))).where((F.col("_n") >= least) & (F.col("_place") <= top))
+    return runs.join(sums, ["series_id", "end_bar"]).select("series_id", "pattern_id", "length", "start_bar", "end_bar", F.lit(1.0).alias("similarity"), "forward_5")
+
+
 def forward_returns(bars: DataFrame, horizons: tuple[int, ...] = (5, 20)) -> DataFrame:
     """Sum of the next log returns; null where the series ends before."""
     out = returns(bars)

@@ -62,7 +62,7 @@ def false_discovery(tests: DataFrame, p: str = "p", level: float = 0.05, by: tup
 
 
 def historical_analogs(bars: DataFrame, column: str = "close", lookback: int = 60, top: int = 10, separation: int = 30, method: str = "multi", horizons: tuple[int, ...] = (5, 10, 20, 60)) -> DataFrame:
-    """Past windows of lookback + 1 bars most like the last one of each series, by the Euclidean distance of their z-scored values, by time warping, or (multi) by the mean of both; those that begin within separation of a nearer one are left out, and none comes near the query.
+    """Past windows of lookback + 1 bars most like the last one of each series, by the Euclidean distance of their z-scored values, by time warping (dtw), or by the mean of both (mean). multi, the default, is the mean of the methods that give a distance to every window, which is the Euclidean one: time warping takes no part in it. Those that begin within separation of a nearer one are left out, and none comes near the query.
 
     (series_id, rank, start_bar, end_bar, start_ts, end_ts, similarity, distance, forward_<h> for each horizon, direction). Forward
     returns are sums of log returns of close, 0 where the series ends before; no later bar takes part in the search.
@@ -81,7 +81,7 @@ def historical_analogs(bars: DataFrame, column: str = "close", lookback: int = 6
         for low in range(0, len(rows), 16_384):
             shapes = z_scored(rows[low : low + 16_384])
             both = [np.linalg.norm(shapes - query, axis=1)] if method != "dtw" else []
-            apart.append(np.mean(both + ([dtw(query, shapes)] if method != "euclidean" else []), axis=0))
+            apart.append(np.mean(both + ([dtw(query, shapes)] if method in ("dtw", "mean") else []), axis=0))
         distance = np.concatenate(apart)
         left, picked = distance.copy(), []
         while len(picked) < max(50, top) and np.isfinite(left).any():

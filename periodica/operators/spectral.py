@@ -4,27 +4,35 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from periodica.functions.rolling import whole
+from periodica.functions.series import per_series
 from periodica.operators.cleaning import numbered
 
 
 def periodogram(series: DataFrame, column: str, min_period: float = 5.0, max_period: float = 200.0) -> DataFrame:
     """Power of a Hann-tapered series at the frequencies k/n with periods between the bounds: (series_id, k, n, frequency, period, power, phase, amplitude).
 
-    Every bar meets its series' frequencies; sums are taken before the shuffle, so it moves one row for each series, frequency and task.
+    A fast transform of each series of at least 32 bars, power over its largest within the bounds; gaps count as 0.
     """
-    bars = numbered(series).select("series_id", "bar", F.col(column).alias("x"), F.count("*").over(whole()).alias("n"))
-    taper = F.when(F.col("n") > 1, 0.5 - 0.5 * F.cos(2 * math.pi * F.col("bar") / (F.col("n") - 1))).otherwise(1.0)
-    low, high = F.floor(F.col("n") / max_period) + 1, F.ceil(F.col("n") / min_period) - 1
-    rows = bars.where(F.col("n") >= 32).where(high >= low).withColumn("w", F.col("x") * taper).withColumn("k", F.explode(F.sequence(low, F.least(high, F.floor(F.col("n") / 2)))))
-    angle = 2 * math.pi * (F.col("k") * F.col("bar") % F.col("n")) / F.col("n")
-    sums = rows.groupBy("series_id", "n", "k").agg(F.sum(F.col("w") * F.cos(angle)).alias("re"), F.sum(-F.col("w") * F.sin(angle)).alias("im"))
-    raw = F.col("re") * F.col("re") + F.col("im") * F.col("im")
-    power = raw / F.max(raw).over(whole())
-    return sums.select("series_id", "k", "n", (F.col("k") / F.col("n")).alias("frequency"), (F.col("n") / F.col("k")).alias("period"), power.alias("power"), F.atan2("im", "re").alias("phase"), (2 * F.sqrt(power) / F.col("n")).alias("amplitude"))
+
+    def transform(frame: pd.DataFrame) -> pd.DataFrame:
+        x = np.nan_to_num(frame[column].to_numpy(float, na_value=np.nan))
+        n = len(x)
+        k = np.arange(math.floor(n / max_period) + 1, min(math.ceil(n / min_period) - 1, n // 2) + 1)
+        if n < 32 or not len(k):
+            return pd.DataFrame(columns=["k", "n", "frequency", "period", "power", "phase", "amplitude"])
+        wave = np.fft.rfft(x * np.hanning(n))[k]
+        raw = np.abs(wave) ** 2
+        power = raw / raw.max() if raw.max() > 0 else np.full(len(k), np.nan)
+        return pd.DataFrame({"k": k, "n": n, "frequency": k / n, "period": n / k, "power": power, "phase": np.angle(wave), "amplitude": 2 * np.sqrt(power) / n})
+
+    out = per_series(series, [column], transform, "k long, n long, frequency double, period double, power double, phase double, amplitude double")
+    return out.withColumns({c: F.nullif(F.col(c), F.lit(float("nan"))) for c in ("power", "amplitude")})
 
 
 def autocorrelation(series: DataFrame, column: str, max_lag: int = 60) -> DataFrame:
@@ -61,19 +69,6 @@ def turning_points(cycles: DataFrame) -> DataFrame:
     return cycles.withColumn("next_turning_point_bars", F.least(peak, trough)).withColumn("turning_point_type", F.when(peak <= trough, "peak").otherwise("trough"))
 
 
-def rescaled_range(series: DataFrame, column: str, lags: tuple[int, ...] = (10, 20, 40, 80, 160)) -> DataFrame:
-    """Mean range over deviation of chunks of each lag, and the Hurst exponent as slope of its logarithm, held to 0..1."""
-    bars = numbered(series).select("series_id", "bar", F.col(column).alias("x"), F.count("*").over(whole()).alias("n"))
-    rows = bars.withColumn("lag", F.explode(F.array(*map(F.lit, lags)))).withColumn("chunk", F.floor(F.col("bar") / F.col("lag"))).where((F.col("chunk") + 1) * F.col("lag") < F.col("n"))
-    chunk = Window.partitionBy("series_id", "lag", "chunk")
-    walk = F.sum(F.col("x") - F.col("m")).over(chunk.orderBy("bar").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("m", F.avg("x").over(chunk)).withColumn("walk", walk)
-    each = rows.groupBy("series_id", "lag", "chunk").agg((F.max("walk") - F.min("walk")).alias("r"), F.stddev_samp("x").alias("s")).where("s > 0")
-    means = each.groupBy("series_id", "lag").agg(F.avg(F.col("r") / F.col("s")).alias("rs")).where("rs > 0")
-    slope = F.regr_slope(F.ln("rs"), F.ln("lag"))
-    return means.groupBy("series_id").agg(F.least(F.greatest(slope, F.lit(0.0)), F.lit(1.0)).alias("hurst"))
-
-
 def welch(series: DataFrame, column: str, segment: int = 256) -> DataFrame:
     """Mean power over half-overlapping, mean-removed, Hann-tapered segments of min(segment, n // 2) bars, over its largest: (series_id, k, length, period, power)."""
     bars = numbered(series).select("series_id", "bar", F.col(column).alias("x"), F.count("*").over(whole()).alias("n")).where("n >= 32")
@@ -92,13 +87,30 @@ def welch(series: DataFrame, column: str, segment: int = 256) -> DataFrame:
 
 
 def lomb_scargle(series: DataFrame, column: str, min_period: float = 5.0, max_period: float = 200.0, grid: int = 500) -> DataFrame:
-    """Generalised Lomb-Scargle power with a floating mean at grid frequencies between 1 / max_period and 1 / min_period: the share of variance that the best sine explains."""
-    bars = numbered(series).select("series_id", "bar", F.col(column).cast("double").alias("x")).where("x is not null")
-    step = (1 / min_period - 1 / max_period) / (grid - 1)
-    rows = bars.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(grid - 1)))).withColumn("a", 2 * math.pi * (1 / max_period + F.col("j") * step) * F.col("bar"))
-    c, s = F.cos("a"), F.sin("a")
-    out = rows.groupBy("series_id", "j").agg(*[F.covar_pop(a, b).alias(n) for n, a, b in (("yy", "x", "x"), ("yc", "x", c), ("ys", "x", s), ("cc", c, c), ("ss", s, s), ("cs", c, s))], F.count("*").alias("n")).where("n >= 32 and yy > 0")
-    det = F.col("cc") * F.col("ss") - F.col("cs") * F.col("cs")
-    power = (F.col("ss") * F.col("yc") * F.col("yc") + F.col("cc") * F.col("ys") * F.col("ys") - 2 * F.col("cs") * F.col("yc") * F.col("ys")) / (F.col("yy") * det)
-    frequency = 1 / max_period + F.col("j") * step
-    return out.where(det > 1e-12).select("series_id", F.col("j").alias("k"), frequency.alias("frequency"), (1 / frequency).alias("period"), power.alias("power"))
+    """Generalised Lomb-Scargle power with a floating mean at grid frequencies between 1 / max_period and 1 / min_period: the share of variance that the best sine explains.
+
+    Series of fewer than 32 values or without variance give none; gaps keep their places in time. One pass over each series, in steps of bounded size.
+    """
+
+    def explained(frame: pd.DataFrame) -> pd.DataFrame:
+        x = frame[column].to_numpy(float, na_value=np.nan)
+        t = np.flatnonzero(np.isfinite(x)).astype(float)
+        y = x[np.isfinite(x)]
+        none = pd.DataFrame(columns=["k", "frequency", "period", "power"])
+        if len(y) < 32 or not y.var() > 0:
+            return none
+        y, n = y - y.mean(), len(y)
+        frequency = 1 / max_period + np.arange(grid) * (1 / min_period - 1 / max_period) / (grid - 1)
+        power, step = np.full(grid, np.nan), max(1, 2_000_000 // n)
+        for at in range(0, grid, step):
+            angle = 2 * np.pi * frequency[at : at + step, None] * t
+            c, s = np.cos(angle), np.sin(angle)
+            c, s = c - c.mean(axis=1, keepdims=True), s - s.mean(axis=1, keepdims=True)
+            yc, ys, cc, ss, cs = c @ y / n, s @ y / n, (c * c).mean(axis=1), (s * s).mean(axis=1), (c * s).mean(axis=1)
+            det = cc * ss - cs * cs
+            with np.errstate(divide="ignore", invalid="ignore"):
+                power[at : at + step] = np.where(det > 1e-12, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (y @ y / n * det), np.nan)
+        ok = np.isfinite(power)
+        return pd.DataFrame({"k": np.arange(grid)[ok], "frequency": frequency[ok], "period": 1 / frequency[ok], "power": power[ok]})
+
+    return per_series(series, [column], explained, "k int, frequency double, period double, power double")

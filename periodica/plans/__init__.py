@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from periodica.plans import queries, research
+from periodica.plans import queries, reports, research
 
-QUERIES = queries.QUERIES | research.QUERIES
-ORACLES = queries.ORACLES | research.ORACLES
+QUERIES = queries.QUERIES | research.QUERIES | reports.QUERIES
+ORACLES = queries.ORACLES | research.ORACLES | reports.ORACLES

@@ -84,8 +84,8 @@ VOLATILITY_SQL = f"select *, first_value(v ignore nulls) over ({W} rows between
 add("volatility", lambda b: cleaning.volatility(cleaning.returns(b)), KEYS, ["volatility"], VOLATILITY_SQL)
 add("vol_adjusted", lambda b: cleaning.adjust(cleaning.volatility(cleaning.returns(b))), KEYS, ["vol_adjusted"], f"select series_id, ts, coalesce(log_return * least(0.16 / sqrt(252) / greatest(volatility / sqrt(252), 1e-8), 3), 0) as vol_adjusted from ({VOLATILITY_SQL})")
 add("preprocess", cleaning.preprocess, KEYS, ["close", "log_return", "detrended", "normalized", "volatility", "vol_adjusted"], None)
-add("series_summary", cleaning.summary, ["series_id", "n_bars", "first_ts", "last_ts"], ["min_close", "max_close", "mean_close", "total_return", "annual_volatility", "annual_return", "max_drawdown", "sharpe"], f"""select *, annual_return / (annual_volatility + 1e-10) as sharpe from (select series_id, count(*) as n_bars, min(ts) as first_ts, max(ts) as last_ts, min(close) as min_close, max(close) as max_close, avg(close) as mean_close,
-  arg_max(close, ts) / arg_min(close, ts) - 1 as total_return, stddev_samp(log_return) * sqrt(252) as annual_volatility, avg(log_return) * 252 as annual_return, min(fall) as max_drawdown from (select *, (close - max(close) over ({W})) / max(close) over ({W}) as fall from ({RETURNS_SQL})) group by 1)""")
+add("series_summary", cleaning.summary, ["series_id", "n_bars", "first_ts", "last_ts"], ["min_close", "max_close", "mean_close", "total_return", "annual_volatility", "annual_return", "max_drawdown", "sharpe", "skewness", "kurtosis"], f"""select *, annual_return / (annual_volatility + 1e-10) as sharpe from (select series_id, count(*) as n_bars, min(ts) as first_ts, max(ts) as last_ts, min(close) as min_close, max(close) as max_close, avg(close) as mean_close,
+  arg_max(close, ts) / arg_min(close, ts) - 1 as total_return, stddev_samp(log_return) * sqrt(252) as annual_volatility, avg(log_return) * 252 as annual_return, min(fall) as max_drawdown, skewness(log_return) as skewness, kurtosis(log_return) as kurtosis from (select *, (close - max(close) over ({W})) / max(close) over ({W}) as fall from ({RETURNS_SQL})) group by 1)""")
 
 CALENDAR = ["weekday", "monthday", "month", "quarter", "week", "yearday", "weekday_sin", "weekday_cos", "month_sin", "week_cos", "yearday_sin"]
 add("calendar_features", features.calendar, [*KEYS, "is_month_end", "is_quarter_end"], CALENDAR, """select series_id, ts, (ts::date = last_day(ts))::int as is_month_end, (ts::date = last_day(ts) and month(ts) % 3 = 0)::int as is_quarter_end, (isodow(ts) - 1) / 6 as weekday, day(ts) / 31 as monthday, month(ts) / 12 as month, quarter(ts) / 4 as quarter,
@@ -162,8 +162,8 @@ add("welch", lambda b: spectral.welch(b, "close"), ["series_id", "k", "length"],
   w as (select series_id, length, part, place, (x - avg(x) over (partition by series_id, part)) * (0.5 - 0.5 * cos(2 * pi() * place / length)) as v from g),
   p as (select series_id, length, k, avg(re * re + im * im) * case when 2 * k = length then 1 else 2 end as p from (select series_id, length, part, k, sum(v * cos(2 * pi() * ((k * place) % length) / length)) as re, sum(v * sin(2 * pi() * ((k * place) % length) / length)) as im from (select *, unnest(range(1, length // 2 + 1)) as k from w) group by 1, 2, 3, 4) group by 1, 2, 3)
   select series_id, k, length, length / k as period, p / max(p) over (partition by series_id) as power from p""")
-add("lomb_scargle", lambda b: spectral.lomb_scargle(b, "close", grid=100), ["series_id", "k"], ["period", "power"], f"""select series_id, j as k, 1 / (0.005 + j * 0.195 / 99) as period, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) as power from (select series_id, j, covar_pop(x, x) as yy, covar_pop(x, cos(a)) as yc, covar_pop(x, sin(a)) as ys, covar_pop(cos(a), cos(a)) as cc, covar_pop(sin(a), sin(a)) as ss, covar_pop(cos(a), sin(a)) as cs
-  from (select series_id, close as x, j, 2 * pi() * (0.005 + j * 0.195 / 99) * bar as a from (select *, unnest(range(100)) as j from ({NUMBERED_SQL}))) group by 1, 2)""")
+add("lomb_scargle", lambda b: spectral.lomb_scargle(b, "close"), ["series_id", "k"], ["period", "power"], f"""select series_id, j as k, 1 / (0.005 + j * 0.195 / 499) as period, (ss * yc * yc + cc * ys * ys - 2 * cs * yc * ys) / (yy * (cc * ss - cs * cs)) as power from (select series_id, j, covar_pop(x, x) as yy, covar_pop(x, cos(a)) as yc, covar_pop(x, sin(a)) as ys, covar_pop(cos(a), cos(a)) as cc, covar_pop(sin(a), sin(a)) as ss, covar_pop(cos(a), sin(a)) as cs
+  from (select series_id, close as x, j, 2 * pi() * (0.005 + j * 0.195 / 499) * bar as a from (select *, unnest(range(500)) as j from ({NUMBERED_SQL}))) group by 1, 2)""")
 add("hopping_windows", lambda b: models.hopping_windows(b).select("series_id", "start_bar", F.posexplode("window").alias("place", "z")), ["series_id", "start_bar", "place"], ["z"], f"""select series_id, start_bar, place, (close - m) / s as z from (select *, bar - start_bar as place, avg(close) over (partition by series_id, start_bar) as m, stddev_pop(close) over (partition by series_id, start_bar) as s
   from (select b.*, start_bar from (select *, count(*) over (partition by series_id) as n from ({NUMBERED_SQL})) b join (select unnest(range(0, 100000, 5)) as start_bar) on bar between start_bar and start_bar + 19 and start_bar < n - 20)) where s > 1e-8""")
 add("variance_thirds", lambda b: stability.variance_thirds(cleaning.returns(b)), ["series_id"], ["v1", "v2", "v3", "ratio_12", "ratio_23", "variance_stability"], f"""select *, least(greatest(1 - 0.5 * abs(1 - ratio_12), 0), 1) as variance_stability from (select *, round(v1 / (v2 + 1e-10), 4) as ratio_12, round(v2 / (v3 + 1e-10), 4) as ratio_23 from (select series_id, var_pop(log_return) filter (part < 0.25) as v1, var_pop(log_return) filter (part >= 0.25 and part < 0.75) as v2, var_pop(log_return) filter (part >= 0.75) as v3

@@ -7,7 +7,7 @@ import pytest
 from periodica.plans import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
-TABLES = ("orders", "lineitem", "events", "part")
+TABLES = ("orders", "lineitem", "events", "part", "documents")
 
 
 def plain(rows):
