@@ -178,3 +178,17 @@ ORACLES |= {
     "absent_bars": f"select f.series_id, f.ts, round(f.close, 6) as close from {STATUS_SQL['f']} f anti join {STATUS_SQL['o']} o using (series_id, ts)",
     "set_sizes": f"select series_id, count(*) as n_either, count(*) filter (f and o) as n_both, count(*) filter (not o) as n_left, count(*) filter (not f) as n_right from (select series_id, ts, bool_or(side = 1) as f, bool_or(side = 2) as o from (select series_id, ts, 1 as side from {STATUS_SQL['f']} union all select series_id, ts, 2 from {STATUS_SQL['o']}) group by 1, 2) group by 1",
 }
+SHAPED_SQL = f"""select *, case when s < 1e-8 then list_transform(l, lambda x: 0.0) else list_transform(l, lambda x: (x - m) / s) end as z from (select series_id, bar, ts, count(*) over (partition by series_id) as n, list(close) over w as l, avg(close) over w as m, stddev_pop(close) over w as s, count(*) over w as c
+  from ({NUMBERED_SQL}) window w as ({W} rows between current row and {{more}} following)) where c = {{more}} + 1"""
+ORACLES["analogs"] = sql(f"""select series_id, start_bar, start_bar + 19 as end_bar, similarity, row_number() over (partition by series_id order by similarity desc, start_bar) as rank from (select a.series_id, a.bar as start_bar, list_dot_product(a.z, q.z) / 20 as similarity
+  from ({SHAPED_SQL.format(more=19)}) a join ({SHAPED_SQL.format(more=19)}) q on a.series_id = q.series_id and q.bar = q.n - 20 and a.bar % 5 = 0 and a.bar + 40 <= a.n where a.s * sqrt(20) > 1e-8) qualify rank <= 5""", ["series_id", "rank", "start_bar", "end_bar"], ["similarity"])
+PAST_SQL = f"""with recursive shaped as materialized ({SHAPED_SQL.format(more=60)}), apart as materialized (select a.series_id, a.bar, list_distance(a.z, q.z) as d from shaped a join shaped q on a.series_id = q.series_id and q.bar = q.n - 61 and a.bar < q.bar - 90),
+  picks as (select distinct series_id, 0 as rank, []::bigint[] as held, -1::bigint as pick, 0::double as d from apart
+    union all select series_id, rank + 1, list_append(held, pick), pick, d from (select p.series_id, p.rank, p.held, arg_min(a.bar, a.d) as pick, min(a.d) as d from picks p join apart a on a.series_id = p.series_id where p.rank < 50 and len(list_filter(p.held, lambda h: abs(h - a.bar) < 30)) = 0 group by 1, 2, 3)),
+  scaled as (select *, max(d) over (partition by series_id) + 1e-10 as largest from picks where rank > 0), z as (select *, count(*) over (partition by series_id) as n from ({NUMBERED_SQL}))
+  select p.series_id, p.rank, p.pick as start_bar, p.pick + 60 as end_bar, a.ts as start_ts, b.ts as end_ts, least(greatest(1 - p.d / largest, 0), 1) as similarity, p.d as distance, {', '.join(f'case when p.pick + 60 + {h} < a.n - 1 then ln(f{h}.close / b.close) else 0 end as forward_{h}' for h in (5, 10, 20, 60))}
+  from scaled p join z a on a.series_id = p.series_id and a.bar = p.pick join z b on b.series_id = p.series_id and b.bar = p.pick + 60 {' '.join(f'left join z f{h} on f{h}.series_id = p.series_id and f{h}.bar = p.pick + 60 + {h}' for h in (5, 10, 20, 60))} where p.rank <= 10"""
+AHEADS = [f"forward_{h}" for h in (5, 10, 20, 60)]
+ORACLES["historical_analogs"] = sql(f"select *, case when forward_5 > 0.005 then 'up' when forward_5 < -0.005 then 'down' else 'sideways' end as direction from ({PAST_SQL})", ["series_id", "rank", "start_bar", "end_bar", "start_ts", "end_ts", "direction"], ["similarity", "distance", *AHEADS])
+ORACLES["analog_projection"] = sql(f"""select series_id, n_analogs, least(greatest(1 - 10 * spread, 0.1), 0.99) as confidence, {', '.join(f'total_{h} / (weight + 1e-10) as projected_{h}' for h in (5, 10, 20, 60))}
+  from (select series_id, count(*) as n_analogs, stddev_pop(forward_5) as spread, sum(similarity) as weight, {', '.join(f'sum(similarity * forward_{h}) as total_{h}' for h in (5, 10, 20, 60))} from ({PAST_SQL}) group by 1)""", ["series_id", "n_analogs"], [*[f"projected_{h}" for h in (5, 10, 20, 60)], "confidence"])
