@@ -60,7 +60,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.near_duplicates(table(spark, sf_dir, "documents"))
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "class_size", "kept", "size")
 
 
 def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +105,24 @@ links as (select a.vec_id as a, b.vec_id as b from usable a join usable b on a.l
 reached as (select vec_id as a, vec_id as b from embeddings union select r.a, l.b from reached r join links l on l.a = r.b),
 counted as (select a, count(*) as n from links group by a)
 select e.vec_id, coalesce(n, 0)::bigint as n_links, c.component_id, e.vec_id = c.component_id as kept from embeddings e left join counted on counted.a = e.vec_id join (select a, min(b) as component_id from reached group by a) c on c.a = e.vec_id""",
+    "op9_ngram_join": r"""with recursive grams as (select doc_id, list_sort(list_distinct(case when len(w) = 0 then [] when len(w) < 5 then [array_to_string(w, ' ')] else list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) end)) as g
+  from (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents)),
+sets as (select g, min(doc_id) as a, count(*) as copies, len(g) as size from grams where len(g) > 0 group by g),
+each as (select a, size, unnest(g) as s from sets),
+links as (select a, b from (select x.a, y.a as b, any_value(x.size) as size_a, any_value(y.size) as size_b, count(*) as c from each x join each y on x.s = y.s and x.a <> y.a group by x.a, y.a) where c / (size_a + size_b - c) >= 0.8),
+reached as (select a, a as b from sets union select r.a, l.b from reached r join links l on l.a = r.b),
+classes as (select a, min(b) as class_id from reached group by a),
+linked as (select l.a, sum(copies) as n from links l join sets s on s.a = l.b group by l.a),
+rows as (select d.doc_id, coalesce(c.class_id, d.doc_id) as class_id, coalesce(s.copies - 1, 0) + coalesce(n, 0) as n_links, coalesce(s.size, 0) as size from grams d left join sets s on s.g = d.g and len(d.g) > 0 left join classes c using (a) left join linked using (a))
+select doc_id, class_id, n_links::bigint as n_links, count(*) over (partition by class_id) as class_size, doc_id = class_id as kept, size::bigint as size from rows""",
+    "op10_suffix_dedup": """with texts as (select doc_id, encode(coalesce(text, '')) as h, strlen(coalesce(text, '')) as n from documents),
+starts as (select doc_id, p, md5_number(h[p + 1:p + 50]) as s from (select doc_id, h, unnest(range(n - 49)) as p from texts where n >= 50)),
+firsts as (select s, min(doc_id) as first from starts group by s having min(doc_id) <> max(doc_id)),
+hits as (select doc_id, p, lag(p) over (partition by doc_id order by p) as before from starts join firsts using (s) where doc_id > first),
+runs as (select doc_id, min(p) as low, max(p) + 50 as high from (select *, sum((before is null or p > before + 50)::int) over (partition by doc_id order by p) as run from hits) group by doc_id, run),
+edges as (select doc_id, low, high, coalesce(lag(high) over (partition by doc_id order by low), 0) as after from runs),
+pieces as (select r.doc_id, string_agg(hex(h[after + 1:low]), '' order by low) as kept, max(high) as last, sum(high - low) as removed, count(*) as spans from edges r join texts using (doc_id) group by r.doc_id)
+select doc_id, n::bigint as n_bytes, coalesce(removed, 0)::bigint as n_removed, coalesce(spans, 0)::bigint as n_spans, sha256(case when last is null then h else unhex(kept || hex(h[last + 1:])) end) as kept_sha256 from texts left join pieces using (doc_id)""",
     "op11_line_dedup": """with lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) as place from documents),
 keyed as (select *, translate(trim(line, concat(chr(32), chr(9), chr(10), chr(11), chr(12), chr(13))), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as line_key from lines),
 repeated as (select line_key, max(doc_id) as last from keyed where length(line_key) >= 40 group by line_key having count(distinct doc_id) >= 5),
