@@ -10,7 +10,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from periodica.llm.common import encoded, in_groups, map_frames, stored
+from periodica.llm.common import encoded, freed, in_groups, map_frames, stored
 
 HASHES_IN_RANGE = 4_000_000
 LEAST_RANGES = 16
@@ -53,7 +53,8 @@ def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarra
     """(doc, places) of the hashes that find gives (hash, text, place) for texts and that at least two documents have; docs has text and doc, which tells documents apart; expected is about the number of hashes. A doc may have several rows.
 
     Places whose hash two documents of a batch share are settled: they stay with their document, and one of each hash travels
-    on, so what stands in very many documents sends at most one place per batch. What travels is packed, by batch and range of hashes.
+    on, so what stands in very many documents sends at most one place per batch. What travels is packed, by batch and range of hashes;
+    it takes more room the more ranges there are, so it and its shuffle are gone before anything else is made of the result, a table of stored().
     """
 
     ranges = max(LEAST_RANGES, expected // HASHES_IN_RANGE)
@@ -92,7 +93,9 @@ def shared_places(docs: DataFrame, find: Callable[[list[bytes]], tuple[np.ndarra
 
     found = stored(map_frames(docs.select("doc", "text"), scatter, "part long, docs binary, counts binary, steps binary, hashes binary, doc long, places array<int>"), "hash-places")
     travelled = in_groups(found.where("part is not null").select("part", "docs", "counts", "steps", "hashes"), ["part"], gather, "doc long, places array<int>")
-    return found.where("doc is not null").select("doc", "places").union(travelled)
+    shared = stored(found.where("doc is not null").select("doc", "places").union(travelled), "shared-places")
+    freed(found)
+    return shared
 
 
 def by_owner(owner: np.ndarray, place: np.ndarray) -> list[tuple[int, np.ndarray]]:
@@ -112,7 +115,7 @@ def packed_texts(docs: DataFrame) -> DataFrame:
     """Texts compressed for a shuffle."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        press = zstandard.ZstdCompressor(level=6, write_checksum=False)
+        press = zstandard.ZstdCompressor(level=1, write_checksum=False)
         for batch in batches:
             yield batch.drop(columns="text").assign(packed=[press.compress(t) for t in encoded(batch["text"])])
 

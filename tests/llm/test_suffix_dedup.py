@@ -3,8 +3,9 @@ import random
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from periodica.llm import shared_hashes, suffix_dedup
+from periodica.llm import common, shared_hashes, suffix_dedup
 from periodica.llm.queries import op10_suffix_dedup
 
 
@@ -50,3 +51,46 @@ def test_passages_at_all_offsets(spark, tmp_path, monkeypatch, hot):
     rows += [(200 + i, make(400, "ab")) for i in range(20)] + [(300, "x" * 500), (301, "x" * 70), (302, "xy" * 100), (303, "é" * 60), (304, "é" * 30), (305, "\0" * 90), (306, "\0" * 51 + "a"), (307, passage), (308, passage[:50]), (309, passage[1:50])]
     random.shuffle(rows)
     assert got(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5), tmp_path) == plain(rows)
+
+
+def test_room_on_disk(spark, odd, tmp_path, monkeypatch):
+    """Tables are gone when they are read for the last time, anchors are judged in parts, and texts are shuffled once to meet their places."""
+    live, seen, kept = set(), [], common.stored
+
+    def stored(df, name, by=()):
+        out = kept(df, name, by)
+        live.add(name)
+        seen.append((name, frozenset(live)))
+        return out
+
+    def freed(*tables):
+        removed(*tables)
+        live.difference_update(t for x in tables for t in list(live) if any(f"/{t}-" in f for f in x.inputFiles()))
+
+    removed = common.freed
+    for module in (shared_hashes, suffix_dedup):
+        monkeypatch.setattr(module, "stored", stored)
+        monkeypatch.setattr(module, "freed", freed)
+    monkeypatch.setattr(suffix_dedup, "PASSES", 3)
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    out = suffix_dedup.remove_repeats(docs)
+    assert live == {"suffix-removed"}
+    assert all("hash-places" not in at for name, at in seen if name.startswith("suffix-") and name != "suffix-texts")
+    assert sum(name == "suffix-distinct" for name, _ in seen) == 3
+    assert all("suffix-distinct" not in at for name, at in seen if name == "suffix-removed")
+    assert out.count() == docs.count()
+
+
+def test_texts_are_shuffled_once(spark, odd):
+    text = F.coalesce("text", F.lit(""))
+    named = odd.select("doc_id", "text", shared_hashes.second_hash(text).alias("text_hash"), F.xxhash64(text).alias("doc"), F.coalesce("doc_id", F.lit(suffix_dedup.LAST)).alias("rank"))
+    first = named.groupBy("doc", "text_hash").agg(F.min("rank").alias("first"))
+    shared = shared_hashes.shared_places(named, lambda texts: suffix_dedup.anchors(texts, 50), 1)
+    name, before = "spark.sql.autoBroadcastJoinThreshold", spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set(name, "-1")
+    try:
+        plan = suffix_dedup.slices(named, shared, first, 50)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(name, before)
+    assert "Exchange" not in plan[plan.index("first(packed") : plan.index("SortMergeJoin")]
